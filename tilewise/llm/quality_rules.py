@@ -29,8 +29,8 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_r
 RULES: tuple[tuple[str, str], ...] = (
     ("few_words", "n_words < 20"),
     ("repeated_windows", "100 * n_repeat_words > 30 * n_words"),
-    ("many_symbols", "n_symbols > n_words"),
-    ("duplicate_lines", "100 * n_dup_lines > 50 * n_lines"),
+    ("many_symbols", "10 * n_symbols > n_words"),
+    ("duplicate_lines", "100 * n_dup_lines > 40 * n_lines"),
     ("short_words", "word_chars < 2 * n_words"),
     ("long_words", "word_chars > 25 * n_words"),
 )
@@ -45,7 +45,7 @@ POLICIES = {
 }
 
 
-def _measure(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def measure(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """One column of MEASURES for each text of a run."""
     n = len(offsets) - 1
     out = np.zeros((len(MEASURES), n), np.int64)
@@ -84,7 +84,7 @@ def _measure(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         data, offsets = tk.texts_of(b.column(1))
-        parts = [_measure(d, o) for _, _, d, o in tk.runs(data, offsets)]
+        parts = [measure(d, o) for _, _, d, o in tk.runs(data, offsets)]
         got = np.concatenate(parts, axis=1) if parts else np.zeros((len(MEASURES), 0), np.int64)
         yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, got)], ["doc_id", *MEASURES])
 
