@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilewise.llm import textkernel as tk
-from tilewise.llm.quality_rules import MEASURES, measure
+from tilewise.llm.quality_rules import MEASURES, SYMBOLS, measure
 from tilewise.llm.shared import pick
 
 #: Documents on which the scorer is fitted, at most.
@@ -34,28 +34,34 @@ FIT_ROWS = 4000
 BITS = 14
 #: Words of each document that the scorer's word features weigh together.
 WORD_WEIGHT = 4.0
-LABELLERS = ("repeats", "symbols", "lines", "variety", "sentences", "word_length")
+LABELLERS = ("repeats", "variety", "stutter", "lines", "symbols", "marked_words", "lone_signs", "few_stops", "prose")
 
 
 def _facts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(facts per text, word text index, word hash). Facts are ratios in [0, 1] or so."""
+    """(facts per text, word text index, word hash): mostly shares of the words."""
     n = len(offsets) - 1
     m = dict(zip(MEASURES, measure(data, offsets), strict=True))
     start, end, of, h = tk.word_hashes(data, offsets, tk.SPACE_DELIMS, True)
     words = np.maximum(m["n_words"], 1)
     seen = np.unique(tk.splitmix(h + of.astype(tk.U) * tk.U(0x9E3779B97F4A7C15)), return_index=True)[1]
-    distinct = np.bincount(of[seen], minlength=n)
-    stops = np.isin(data[end - 1], np.frombuffer(b".!?", np.uint8)) if len(end) else np.zeros(0, bool)
-    lone = (end - start == 1) & ~(np.isin(data[start], np.frombuffer(b"aeiouyAEIOUY0123456789", np.uint8)) | (data[start] >= 0x80)) if len(end) else np.zeros(0, bool)
+    sign = np.isin(data, np.frombuffer(SYMBOLS.encode(), np.uint8))
+    signs = np.concatenate([[0], np.cumsum(sign)])
+
+    def share(is_so: np.ndarray) -> np.ndarray:
+        return np.bincount(of[is_so], minlength=n) / words
+
+    stutter = np.zeros(len(of), bool)
+    stutter[1:] = (h[1:] == h[:-1]) & (of[1:] == of[:-1])
     facts = np.stack(
         [
             m["n_repeat_words"] / words,
-            m["n_symbols"] / words,
+            np.bincount(of[seen], minlength=n) / np.sqrt(2.0 * words),
+            share(stutter),
             m["n_dup_lines"] / np.maximum(m["n_lines"], 1),
-            distinct / np.sqrt(2.0 * words),
-            np.bincount(of[stops], minlength=n) / words,
-            m["word_chars"] / words,
-            np.bincount(of[lone], minlength=n) / words,
+            m["n_symbols"] / words,
+            share(signs[end] - signs[start] > 0),
+            share((end - start == 1) & sign[start]) if len(start) else np.zeros(n),
+            share(np.isin(data[end - 1], np.frombuffer(b".!?", np.uint8))) if len(end) else np.zeros(n),
             np.log2(words),
         ],
         axis=1,
@@ -64,16 +70,27 @@ def _facts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def votes(facts: np.ndarray) -> np.ndarray:
-    """1 good, -1 bad, 0 no opinion: one column per labeller."""
-    rep, sym, dup, variety, stop, length, lone, size = facts.T
-    out = np.zeros((len(facts), len(LABELLERS)), np.int8)
-    out[:, 0] = np.where(rep > 0.25, -1, np.where(rep < 0.1, 1, 0))
-    out[:, 1] = np.where(sym > 0.1, -1, np.where(sym < 0.02, 1, 0))
-    out[:, 2] = np.where(dup > 0.4, -1, np.where(dup == 0, 1, 0))
-    out[:, 3] = np.where(size < 4, 0, np.where(variety < 1.3, -1, 1))
-    out[:, 4] = np.where(size < 4, 0, np.where(stop < 0.02, -1, np.where((stop > 0.04) & (stop < 0.5), 1, 0)))
-    out[:, 5] = np.where(size < 4, 0, np.where((length < 2.2) | (length > 14) | (lone > 0.15), -1, 1))
-    return out
+    """1 good, -1 bad, 0 no opinion: one column per labeller.
+
+    Fault finders only ever vote bad; the last labeller also knows what prose is like.
+    """
+    rep, variety, stutter, dup, sym, marked, lone, stops, size = facts.T
+    fault = lambda is_so: np.where(is_so, -1, 0)
+    long = size >= 5
+    return np.stack(
+        [
+            fault(long & (rep > 0.6)),
+            fault(long & (variety < 1.3)),
+            fault(long & (stutter > 0.1)),
+            fault(dup > 0.4),
+            fault(sym > 0.1),
+            fault(marked > 0.1),
+            fault(lone > 0.1),
+            fault(long & (stops < 0.02)),
+            np.where((rep < 0.1) & (sym < 0.02) & (dup < 0.2) & (stops > 0.03) & (stops < 0.5), 1, fault((rep > 0.8) | (sym > 0.5))),
+        ],
+        axis=1,
+    ).astype(np.int8)
 
 
 def _pattern(v: np.ndarray) -> np.ndarray:
@@ -100,8 +117,8 @@ def label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 50) -> d
     """
     v = _unpattern(patterns) + 1
     w = counts.astype(float)
-    rate = np.tile(np.array([[0.6, 0.3, 0.1], [0.1, 0.3, 0.6]])[None], (len(LABELLERS), 1, 1))
-    prior = np.array([0.3, 0.7])
+    rate = np.tile(np.array([[0.5, 0.45, 0.05], [0.01, 0.69, 0.3]])[None], (len(LABELLERS), 1, 1))
+    prior = np.array([0.2, 0.8])
     post = np.zeros((len(v), 2))
     for _ in range(rounds):
         logs = np.log(prior) + sum(np.log(rate[k][:, v[:, k]]).T for k in range(len(LABELLERS)))
@@ -124,7 +141,7 @@ def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     text = [of]
     where = [(h >> tk.U(64 - BITS)).astype(np.int64)]
     weight = [WORD_WEIGHT / np.maximum(size, 1)[of]]
-    level = np.clip(np.floor(facts * np.array([20, 20, 10, 4, 20, 2, 20, 1])), 0, 40).astype(np.int64)
+    level = np.clip(np.floor(facts * np.array([20, 4, 20, 10, 20, 20, 20, 20, 1])), 0, 40).astype(np.int64)
     for k in range(facts.shape[1]):
         key = tk.splitmix((level[:, k] + 1000 * (k + 1)).astype(tk.U))
         text.append(np.arange(n))
