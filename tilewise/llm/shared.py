@@ -10,7 +10,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,3 +42,18 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Only the columns an operator needs; extra ones (whatever their names) are left out."""
     return df.select(*[df[f"`{n}`"] for n in names])
+
+
+def doc_key() -> Column:
+    """The id as a long that is never null."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long"))
+
+
+def doc_stamp() -> Column:
+    """Hash of id and text: with ``doc_key`` it tells rows apart, other than exact repeats."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("doc_id").isNull(), F.coalesce(F.col("text"), F.lit("")))
+
+
+def named(docs: DataFrame) -> DataFrame:
+    """``doc_id, doc, stamp, text`` without null texts."""
+    return pick(docs, "doc_id", "text").select("doc_id", doc_key().alias("doc"), doc_stamp().alias("stamp"), F.coalesce("text", F.lit("")).alias("text"))
