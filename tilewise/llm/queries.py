@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewise.llm import embedding_dedup, license_scan, mixing, packing, quality_classifier, quality_rules, suffix_dedup, token_counts, warc
+from tilewise.llm import embedding_dedup, license_scan, mixing, ngram_join, packing, quality_classifier, quality_rules, suffix_dedup, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_warc": op2_warc,
@@ -61,6 +65,7 @@ QUERIES = {
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_token_counts": op9_token_counts,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 SQL: dict[str, str] = {"op1_license_scan": license_scan.oracle()}
