@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -188,6 +189,17 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
 
 
+def _cut_texts(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The named columns, with covered bytes cut from ``text``; the last column has the spans."""
+    at = names.index("text")
+    for b in batches:
+        spans = b.column(b.num_columns - 1)
+        rest = next(_cut(iter([pa.RecordBatch.from_arrays([b.column(at), b.column(at), spans], ["doc_id", "text", "spans"])]))).column(5)
+        has = pa.array([bool(x) for x in spans.to_pylist()], pa.bool_())
+        text = pc.if_else(has, rest, b.column(at).cast(pa.string()))
+        yield pa.RecordBatch.from_arrays([text if k == at else b.column(k) for k in range(len(names))], names)
+
+
 def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text`` of each document.
 
@@ -211,13 +223,4 @@ def without_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     thin, maybe = marked(rows, "__stamp", spans, "stamp")
     s = spans.select(F.col("doc").alias("__doc"), F.col("stamp").alias("__stamp"), F.col("spans").alias("__spans"))
     joined = thin.filter(maybe).join(s, ["__doc", "__stamp"], "left")
-    at = docs.columns.index("text")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rest = next(_cut(iter([pa.RecordBatch.from_arrays([b.column(at), b.column(at), b.column(b.num_columns - 1)], ["doc_id", "text", "spans"])]))).column(5)
-            has = pa.array([bool(x) for x in b.column(b.num_columns - 1).to_pylist()])
-            text = pc.if_else(has, rest, b.column(at).cast(pa.string()))
-            yield pa.RecordBatch.from_arrays([text if k == at else b.column(k) for k in range(len(docs.columns))], docs.columns)
-
-    return thin.filter(~maybe).select(*docs.columns).unionByName(joined.select(*docs.columns, "__spans").mapInArrow(cut, docs.schema))
+    return thin.filter(~maybe).select(*docs.columns).unionByName(joined.select(*docs.columns, "__spans").mapInArrow(partial(_cut_texts, names=docs.columns), docs.schema))
