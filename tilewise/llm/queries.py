@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tilewise.llm import embedding_dedup, license_scan, mixing, ngram_join, packing, quality_classifier, quality_rules, suffix_dedup, token_counts, warc
+from tilewise.llm.oracles import SQL
+
+__all__ = ["QUERIES", "SQL"]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,7 +20,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.archive_and_index(_table(spark, sf_dir, "pages"))
-    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured")
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "captured")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,5 +70,3 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_ngram_join": op10_ngram_join,
 }
-
-SQL: dict[str, str] = {"op1_license_scan": license_scan.oracle()}
