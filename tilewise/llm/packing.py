@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache, partial
 
@@ -32,37 +33,76 @@ from tilewise.llm.token_counts import PLAIN, specials, tokenizer
 CAPACITY = 2048
 #: Pieces that one task packs at once.
 GROUP = 12_000
-MEMO_WORDS = 400_000
+#: Words whose ids a Python worker remembers, at most.
+MEMO_WORDS = 1_000_000
 _LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ž"
 _NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
 #: How the tokenizer parts a text of PLAIN characters; each part is encoded apart.
 PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\s{_LETTER}{_NUMBER}]+|\s+(?!\S)|\s+")
 
 
-@lru_cache(maxsize=2)
-def _memo(path: str) -> dict[str, bytes]:
-    return {}
+#: White space other than single spaces and single line ends: its parts depend on what follows.
+UNEVEN = re.compile(r" [ \n]|[\t\r]|\n[ \n]| $")
+#: Signs that are a part of their own after a letter and before white space.
+STOPS = frozenset(".,;:!?")
+
+
+def byte_letters() -> dict[str, str]:
+    """The letter that byte-level tokenizers write for each byte: printable bytes stand for
+    themselves, the others are numbered on from 256."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): chr(b) for b in shown} | {chr(b): chr(256 + k) for k, b in enumerate(hidden)}
+
+
+LETTERS = str.maketrans(byte_letters())
+
+
+class _Memo(dict):
+    """Ids of the words met so far, each with ``before`` in front of it; a new word is
+    encoded by the library's model."""
+
+    def __init__(self, path: str, before: str):
+        super().__init__()
+        self.model, self.before = tokenizer(path).model, before
+
+    def parts(self, text: str) -> bytes:
+        ids = [x.id for w in PARTS.findall(text) for x in self.model.tokenize(w.encode().decode("latin-1").translate(LETTERS))]
+        return array("I", ids).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= MEMO_WORDS:
+            self.clear()
+        if word[-1:] in STOPS and word[-2:-1].isalpha():
+            ids = self[word[:-1]] + self.parts(word[-1])
+        else:
+            ids = self.parts(self.before + word)
+        self[word] = ids
+        return ids
+
+
+@lru_cache(maxsize=4)
+def _memo(path: str, before: str) -> _Memo:
+    return _Memo(path, before)
 
 
 def encode(text: str, path: str) -> bytes:
     """The text's ids as the library gives them, little-endian unsigned 32-bit.
 
-    Parts of plain texts are encoded by the library once each and remembered; other
-    texts are encoded whole.
+    Plain texts fall apart at single spaces and line ends, and each word (with the space
+    before it) is encoded by the library's model once and remembered; other texts are
+    encoded whole.
     """
-    t, memo = tokenizer(path), _memo(path)
     if any(m in text for m in specials(path)) or not PLAIN.fullmatch(text):
-        return np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-    parts = PARTS.findall(text)
-    try:
-        return b"".join(map(memo.__getitem__, parts))
-    except KeyError:
-        new = [w for w in dict.fromkeys(parts) if w not in memo]
-        if len(memo) + len(new) > MEMO_WORDS:
-            memo.clear()
-            new = list(dict.fromkeys(parts))
-        memo.update(zip(new, (np.array(e.ids, "<u4").tobytes() for e in t.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        return b"".join(map(memo.__getitem__, parts))
+        return np.array(tokenizer(path).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    spaced, bare = _memo(path, " "), _memo(path, "")
+    if UNEVEN.search(text):
+        return bare.parts(text)
+    lines = []
+    for line in text.split("\n"):
+        first, *words = line.split(" ")
+        lines.append(bare[first] + b"".join([spaced[w] for w in words]))
+    return bare["\n"].join(lines)
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iterator[pa.RecordBatch]:
