@@ -152,7 +152,7 @@ def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def _fit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        data, offsets = tk.texts_of(b.column(0))
+        data, offsets = tk.texts_of(b.column(1))
         out = []
         for i, j, d, o in tk.runs(data, offsets):
             text, where, weight, pattern = _features(d, o)
@@ -163,7 +163,7 @@ def _fit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 f, inv = np.unique(where[at], return_inverse=True)
                 out.append((int(pattern[k]), f.astype("<i4").tobytes(), np.bincount(inv, weight[at]).astype("<f4").tobytes()))
         cols = list(zip(*out, strict=True)) or [[], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], ["pattern", "f", "w"])
+        yield pa.RecordBatch.from_arrays([b.column(2), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], ["key", "pattern", "f", "w"])
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray, float]], epochs: int = 8, rate: float = 0.5, decay: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -187,8 +187,11 @@ def train(docs: DataFrame) -> tuple[np.ndarray, float]:
     if not found:
         return np.zeros(1 << BITS), 0.0
     soft = label_model(np.array([r[0] for r in found]), np.array([r[1] for r in found]))
-    order = texts.withColumn("key", F.xxhash64("doc_id", "text")).orderBy("key", "doc_id").limit(FIT_ROWS).select("text")
-    rows = [(np.frombuffer(r[1], "<i4"), np.frombuffer(r[2], "<f4").astype(float), soft[r[0]]) for r in order.mapInArrow(_fit_rows, "pattern long, f binary, w binary").collect()]
+    # the FIT_ROWS smallest hashes are found on the hashes alone; no text is sorted
+    keyed = texts.withColumn("key", F.xxhash64("doc_id", "text"))
+    last = keyed.select("key").orderBy("key").limit(FIT_ROWS).agg(F.max("key")).first()[0]
+    chosen = keyed.filter(F.col("key") <= last).mapInArrow(_fit_rows, "key long, pattern long, f binary, w binary").collect()
+    rows = [(np.frombuffer(r[2], "<i4"), np.frombuffer(r[3], "<f4").astype(float), soft[r[1]]) for r in sorted(chosen)[:FIT_ROWS]]
     return fit(rows)
 
 
