@@ -146,7 +146,7 @@ SQL = {
     "roc_curve": _with(LBL, CURVE) + "SELECT clsname, score, tp::BIGINT AS tp, fp::BIGINT AS fp, round(tpr, 6) AS tpr, round(fpr, 6) AS fpr, round(precision, 6) AS precision FROM curve",
     "image_auroc": _with(LBL, CURVE) + f"SELECT clsname, round(image_auroc, 6) AS image_auroc FROM ({AUROC})",
     "image_threshold": _with(LBL, CURVE) + YOUDEN,
-    "metrics_by_category": _with(LBL, CURVE) + f"SELECT clsname, round(image_auroc, 6) AS image_auroc, image_threshold, n_images FROM ({AUROC}) JOIN ({YOUDEN}) USING (clsname) JOIN (SELECT clsname, count(*)::BIGINT AS n_images FROM lbl GROUP BY clsname) USING (clsname)",
+    "metrics_by_category": _with(LBL, CURVE) + f"SELECT clsname, round(image_auroc, 6) AS image_auroc, image_threshold, n_images FROM (SELECT clsname, count(*)::BIGINT AS n_images FROM lbl GROUP BY clsname) LEFT JOIN ({AUROC}) USING (clsname) LEFT JOIN ({YOUDEN}) USING (clsname)",
     "metric_report": _with(LBL, CURVE, f"m AS (SELECT * FROM ({AUROC}) JOIN ({YOUDEN}) USING (clsname))") + "SELECT clsname, round(image_auroc, 6) AS image_auroc, image_threshold FROM m UNION ALL SELECT 'mean', round(avg(image_auroc), 6), NULL FROM m",
     "annotation_gates": _with(LBL) + " UNION ALL ".join(_GATE.format(by=b, key=k, mask=m) for b, k, m in (("lang", "clsname", "true"), ("source", "source", "true"), ("no masks", "clsname", "false"))),
     "pixel_pairs": _with(GRID) + "SELECT image, clsname, sum(CASE WHEN image % 5 = 0 THEN 0 ELSE gt END)::BIGINT AS n_true, count(*)::BIGINT AS n FROM grid GROUP BY ALL",

@@ -94,7 +94,7 @@ def centroid_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return calibration_table(spark, sf_dir).select("clsname", "normal_image_count", F.round("threshold", 6).alias("threshold"), F.round("pixel_threshold", 6).alias("pixel_threshold"))
+    return calibration_table(spark, sf_dir).select("clsname", "normal_image_count", F.round("threshold", 9).alias("threshold"), F.round("pixel_threshold", 9).alias("pixel_threshold"))
 
 
 def threshold_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,7 +193,7 @@ SQL = {
     "finite_guard": _with(*_BASE) + "SELECT image, token FROM dist WHERE image % 50 = 0 OR image % 70 = 0",
     "detector_scores": _with(*_BASE, TOP, IMG) + "SELECT image, clsname, score FROM img",
     "centroid_detector": _with(*_BASE, TOP, IMG) + "SELECT clsname, normal, count(*)::BIGINT AS n, round(avg(score::DOUBLE), 5) AS mean_score FROM img GROUP BY ALL",
-    "calibration": _with(*_BASE, TOP, IMG, STAT, CAL) + "SELECT clsname, normal_image_count, round(threshold, 6) AS threshold, round(pixel_threshold, 6) AS pixel_threshold FROM cal",
+    "calibration": _with(*_BASE, TOP, IMG, STAT, CAL) + "SELECT clsname, normal_image_count, round(threshold, 9) AS threshold, round(pixel_threshold, 9) AS pixel_threshold FROM cal",
     "threshold_lookup": _with(*_ALL) + "SELECT image, round(threshold::DOUBLE, 5) AS threshold, round(pixel_threshold::DOUBLE, 5) AS pixel_threshold FROM dec_",
     "image_decisions": _with(*_ALL) + "SELECT image, clsname, score > threshold AS is_defect FROM dec_",
     "map_quantile": _with(STAT) + "SELECT image, pixel_stat FROM stat",
