@@ -2,8 +2,8 @@
 
 Documents longer than a sequence are cut into full pieces (the first may be shorter).
 Pieces are placed, longest first, where the squared counts of open bins per residual
-gap become smallest; ties go to the smallest gap, and a new bin is opened only if that
-is better. Groups of bounded size are packed apart, then the bins that stayed open in
+gap become smallest; ties go to the smallest gap, and a new bin is opened only where
+none fits (so that few sequences are needed for small corpora too). Groups of bounded size are packed apart, then the bins that stayed open in
 all groups are packed as wholes by the same rule, so the waste doesn't add up over groups.
 
 Defined cases: null text is the one token that ends every document; repeated rows are
@@ -127,13 +127,10 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
     for i in np.argsort(-lengths, kind="stable"):
         s = int(lengths[i])
         gaps = np.nonzero(count[s:capacity])[0] + s
-        opened = 2 * count[capacity - s] + 1 if s < capacity else 0
         gap = capacity
         if len(gaps):
             change = np.where(gaps > s, 2 * (count[gaps - s] - count[gaps] + 1), 1 - 2 * count[gaps])
-            k = int(np.argmin(change))
-            if change[k] <= opened:
-                gap = int(gaps[k])
+            gap = int(gaps[np.argmin(change)])
         if gap == capacity:
             bin_of[i] = made
             made += 1
