@@ -42,13 +42,26 @@ BATCHES = 4
 HOT_KINDS = 2000
 
 
+def folded(text: np.ndarray, start: np.ndarray, count: np.ndarray, key: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Adds ``n``: equal suffixes that follow each other in a text become one entry of n.
+
+    Periodic texts would else send one entry for each period to the same place.
+    """
+    if not len(text):
+        return text, start, count, key, mark, count
+    new = np.ones(len(text), bool)
+    new[1:] = (text[1:] != text[:-1]) | (key[1:] != key[:-1]) | (mark[1:] != mark[:-1]) | (start[1:] != start[:-1] + count[:-1])
+    at = np.nonzero(new)[0]
+    return text[at], start[at], np.add.reduceat(count, at), key[at], mark[at], np.diff(np.append(at, len(text)))
+
+
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         data, offsets = tk.texts_of(b.column(2))
         doc, stamp = np.asarray(b.column(0)), np.asarray(b.column(1))
         for i, _, d, o in tk.runs(data, offsets):
-            text, start, count, key, mark = suffixes(d, o)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[text + i], stamp[text + i], start, count, key, mark)], ["doc", "stamp", "start", "count", "key", "mark"])
+            text, start, count, key, mark, n = folded(*suffixes(d, o))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[text + i], stamp[text + i], start, count, key, mark, n)], ["doc", "stamp", "start", "count", "key", "mark", "n"])
 
 
 def _scan(new: DataFrame, levels: list[DataFrame]) -> DataFrame:
@@ -77,7 +90,7 @@ def index_batches(entries: DataFrame, batches: int = BATCHES) -> DataFrame:
     levels: list[tuple[int, DataFrame]] = []
     found = None
     for k in range(batches):
-        batch = entries.filter(F.pmod(F.xxhash64("doc", "stamp"), F.lit(batches)) == k).select("key", "mark", F.lit(1).cast("long").alias("n"))
+        batch = entries.filter(F.pmod(F.xxhash64("doc", "stamp"), F.lit(batches)) == k).select("key", "mark", "n")
         new = _run(batch)
         hits = stored(_scan(new, [level for _, level in levels]), "suffix-hits")
         found = hits if found is None else found.unionByName(hits)
@@ -146,8 +159,9 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_spans(rows: DataFrame, batches: int = BATCHES) -> DataFrame:
     """``doc, stamp, first, stop``: byte spans covered by repeated strings; they may overlap."""
-    entries = stored(rows.select("doc", "stamp", "text").mapInArrow(_entries, "doc long, stamp long, start long, count long, key long, mark long"), "suffixes")
-    kinds = index_batches(entries, batches)
+    entries = stored(rows.select("doc", "stamp", "text").mapInArrow(_entries, "doc long, stamp long, start long, count long, key long, mark long, n long"), "suffixes")
+    # stored, so that the join's two sides are plain shuffles and a frequent suffix can be split
+    kinds = stored(index_batches(entries, batches), "suffix-kinds")
     met = stored(entries.join(kinds, ["key", "mark"]), "suffix-met")
     whole = met.filter("repeated").select("doc", "stamp", F.col("start").alias("first"), (F.col("start") + F.col("count") - 1 + LENGTH).alias("stop"))
     one = met.filter("kinds > 0").groupBy("key", "mark").agg(F.min(F.struct("doc", "stamp", "start", "count", "kinds")).alias("e")).select("key", "e.*")
