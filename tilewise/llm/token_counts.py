@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tilewise.llm.shared import new_path, pick
+from tilewise.llm.shared import new_path, pick, stored
 
 #: Characters on which lower-casing, NFC and the letter classes agree everywhere.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-įı-ňŊ-ž]*")
@@ -161,5 +161,6 @@ def token_counts(docs: DataFrame, path: str | None = None, cache: str | None = N
     cache = cache or new_path(spark, "token-cache")
     fill_cache(docs, cache, path)
     digests = pick(docs, "doc_id", "text").mapInArrow(partial(_digests, path=path), "doc_id long, digest binary, n_bytes long")
-    counts = _cached(spark, cache, version_digest(path)).groupBy("digest").agg(F.first("n_tokens").alias("n_tokens"))
+    # stored, so that the join's two sides are plain shuffles and a frequent digest can be split
+    counts = stored(_cached(spark, cache, version_digest(path)).groupBy("digest").agg(F.first("n_tokens").alias("n_tokens")), "token-counts")
     return digests.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
