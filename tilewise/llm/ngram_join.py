@@ -9,11 +9,12 @@ together survive every loss that the similarity allows. (With small sets, all ar
 indexed alone.)
 
 Sets that share a signature are candidates. Equal sets are one node from the start.
-Neighbours in each signature's list are verified first; nodes that these links join need
-no further comparison. What remains are pairs of nodes in different components: those
-of short lists are verified directly; long lists are compared block by block with a
-bitmap bound on the symmetric difference, and what passes is verified. All verification
-is exact on the sets of 64-bit shingle hashes.
+Every node has a small bitmap that bounds the symmetric difference of two sets from below,
+so most candidates are ruled out without their texts. Neighbours in each signature's list
+are verified first; nodes that these links join need no further comparison. What remains
+are pairs of nodes in different components, from short lists directly and from long lists
+block by block; the nearest pair of two components is verified first, then what is still
+open. All verification is exact on the sets of 64-bit shingle hashes.
 
 Which shingles count as frequent only affects speed, not results.
 
@@ -82,20 +83,21 @@ def node_of(s: np.ndarray) -> int:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind 0: doc_id, doc, stamp, set size, node of each row; kind 1: a shingle and how often it was seen."""
+    """kind 0: doc_id, doc, stamp, set size, node, bitmap of each row; kind 1: a shingle and how often it was seen."""
 
     def often(held: list[np.ndarray]) -> pa.RecordBatch:
         token, n = np.unique(np.concatenate(held), return_counts=True)
         token, n = token[n >= SEEN_OFTEN].astype(np.int64), n[n >= SEEN_OFTEN]
         none = pa.nulls(len(token), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(token), np.int32)), none, pa.array(token), none, pa.array(n), none], NAMES)
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(token), np.int32)), none, pa.array(token), none, pa.array(n), none, pa.nulls(len(token), pa.binary())], NAMES)
 
     held, size = [], 0
     for b in batches:
         data, offsets = tk.texts_of(b.column(3))
-        sizes, nodes = [], []
+        sizes, nodes, maps = [], [], []
         for _, _, d, o in tk.runs(data, offsets):
             for s in shingle_sets(d, o):
+                maps.append(bitmap(s))
                 sizes.append(len(s))
                 nodes.append(node_of(s) if len(s) else None)
                 held.append(s)
@@ -103,12 +105,12 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if size >= COUNT_AT_ONCE:
                 yield often(held)
                 held, size = [], 0
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(b.num_rows, np.int32)), b.column(0), b.column(1), b.column(2), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64())], NAMES)
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(b.num_rows, np.int32)), b.column(0), b.column(1), b.column(2), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(maps, pa.binary())], NAMES)
     if held:
         yield often(held)
 
 
-NAMES = ["kind", "doc_id", "a", "b", "n", "node"]
+NAMES = ["kind", "doc_id", "a", "b", "n", "node", "bitmap"]
 
 
 def allowed_loss(n: int, percent: int) -> int:
@@ -170,25 +172,37 @@ def _signed(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, level: np.n
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).astype(np.int64)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sizes))], ["sig", "node", "n"])
 
 
-def _texts(batches: Iterator[pa.RecordBatch], keep: str) -> Iterator[pa.RecordBatch]:
-    """node, and its text or bitmap."""
-    for b in batches:
-        if keep == "text":
-            yield b
-            continue
-        data, offsets = tk.texts_of(b.column(1))
-        maps = [bitmap(s) for _, _, d, o in tk.runs(data, offsets) for s in shingle_sets(d, o)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(maps, pa.binary())], ["node", "bitmap"])
-
-
 def bitmap(s: np.ndarray) -> bytes:
-    """The parity of the shingles that fall on each of (about eight times their number) bits."""
-    bits = 1 << max(6, (8 * len(s) - 1).bit_length())
+    """The parity of the shingles that fall on each of two to four times their number of bits."""
+    bits = 1 << max(6, (2 * len(s) - 1).bit_length())
     at = (s & tk.U(bits - 1)).astype(np.int64)
     odd = np.bincount(at, minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
+def _apart(a: bytes, b: bytes) -> int:
+    """Set bits of a xor b: never more than the symmetric difference of the sets.
+
+    The wider bitmap is folded onto the narrower.
+    """
+    x, y = sorted((np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _bounded(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs that the bitmaps don't rule out, with how far apart they are at least."""
+    for b in batches:
+        nu, nv, x, y = (b.column(k).to_pylist() for k in (2, 3, 4, 5))
+        apart = np.array([_apart(p, q) for p, q in zip(x, y, strict=True)], np.int64)
+        total = np.array(nu, np.int64) + np.array(nv, np.int64)
+        # with d apart at least, the intersection is (total - d) / 2 at most
+        both = (total - apart) // 2
+        keep = pa.array(100 * both >= percent * (total - both))
+        yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep), pa.array(apart).filter(keep)], ["u", "v", "apart"])
+
+
 def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """The pairs whose texts reach the similarity."""
     for b in batches:
@@ -202,39 +216,34 @@ def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([b.column(0).filter(kept), b.column(1).filter(kept)], ["u", "v"])
 
 
-def _block_pairs(table: pa.Table, percent: int) -> pa.Table:
-    """Pairs of nodes in different components, one from each block, that may be similar.
-
-    popcount(a xor b) never exceeds the symmetric difference of the sets; nodes come from
-    bitmaps of different widths, and the wider is folded onto the narrower.
-    """
+def _block_pairs(table: pa.Table) -> pa.Table:
+    """Pairs of nodes in different components, one from each block, that the bitmaps allow."""
     t = {c: table.column(c).to_pylist() for c in ("side", "node", "n", "part", "bitmap")}
     one_block = 2 in t["side"]
+    percent = table.column("percent")[0].as_py()
     by_width: dict[tuple[int, int], list[int]] = {}
     for i, m in enumerate(t["bitmap"]):
         by_width.setdefault((t["side"][i], len(m)), []).append(i)
     node, n, part = np.array(t["node"]), np.array(t["n"]), np.array(t["part"])
     raw = {k: np.frombuffer(b"".join(t["bitmap"][i] for i in at), "<u8").reshape(len(at), -1) for k, at in by_width.items()}
-    out_u, out_v = [], []
+    out: list[tuple[np.ndarray, ...]] = []
     for (sa, wa), ia in by_width.items():
         for (sb, wb), ib in by_width.items():
             if (one_block and wa < wb) or (not one_block and (sa, sb) != (0, 1)) or max(wa, wb) > 2 * min(wa, wb):
                 continue
             x, y = raw[sa, wa], raw[sb, wb]
             w = min(x.shape[1], y.shape[1])
-            fold = lambda m: m if m.shape[1] == w else m[:, :w] ^ m[:, w:]  # noqa: B023, E731
-            x, y = fold(x), fold(y)
-            na, nb = n[ia], n[ib]
+            x, y = (m if m.shape[1] == w else m[:, :w] ^ m[:, w:] for m in (x, y))
             for r in range(len(ia)):
                 apart = np.bitwise_count(x[r] ^ y).sum(axis=1, dtype=np.int64)
-                both = (na[r] + nb - apart) // 2
-                hit = (100 * both >= percent * (na[r] + nb - both)) & (part[ia[r]] != part[ib])
-                v = node[ib][hit]
-                out_u.append(np.full(len(v), node[ia[r]]))
-                out_v.append(v)
-    u = np.concatenate(out_u) if out_u else np.zeros(0, np.int64)
-    v = np.concatenate(out_v) if out_v else np.zeros(0, np.int64)
-    return pa.table({"u": np.minimum(u, v), "v": np.maximum(u, v)})
+                total = n[ia[r]] + n[ib]
+                both = (total - apart) // 2
+                hit = np.nonzero((100 * both >= percent * (total - both)) & (part[ia[r]] != part[ib]))[0]
+                at = np.array(ib)[hit]
+                out.append((np.full(len(hit), node[ia[r]]), node[at], apart[hit], np.full(len(hit), part[ia[r]]), part[at]))
+    u, v, apart, pu, pv = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 5
+    swap = u > v
+    return pa.table({"u": np.where(swap, v, u), "v": np.where(swap, u, v), "apart": apart, "pu": np.where(swap, pv, pu), "pv": np.where(swap, pu, pv)})
 
 
 class _Join:
@@ -243,8 +252,8 @@ class _Join:
     def __init__(self, docs: DataFrame, percent: int):
         self.percent = percent
         self.rows = named(docs)
-        found = stored(self.rows.select("doc_id", "doc", "stamp", "text").mapInArrow(_sets, "kind int, doc_id long, a long, b long, n long, node long"), "shingle-sets")
-        self.sets = found.filter("kind = 0").select("doc_id", F.col("a").alias("doc"), F.col("b").alias("stamp"), "n", "node")
+        found = stored(self.rows.select("doc_id", "doc", "stamp", "text").mapInArrow(_sets, "kind int, doc_id long, a long, b long, n long, node long, bitmap binary"), "shingle-sets")
+        self.sets = found.filter("kind = 0").select("doc_id", F.col("a").alias("doc"), F.col("b").alias("stamp"), "n", "node", "bitmap")
         often = found.filter("kind = 1").groupBy(F.col("a").alias("token")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(FREQUENT).collect()
         tokens = np.array([r[0] for r in often], np.int64).astype(tk.U)
         order = np.argsort(tokens)
@@ -260,33 +269,29 @@ class _Join:
         once = listed.filter("before IS NULL OR before <> node")  # a node that several tasks sent
         return once.withColumn("size", F.count("*").over(by)).filter("size > 1")
 
-    def content(self, pairs: list[DataFrame], keep: str) -> DataFrame:
-        """Text or bitmap of the nodes in the columns u, v or node of the tables."""
-        ends = [t.select(F.col(c).alias("node")) for t in pairs for c in ("u", "v", "node") if c in t.columns]
-        wanted = ends[0]
-        for e in ends[1:]:
-            wanted = wanted.unionByName(e)
-        one = self.sets.join(wanted.distinct(), "node").groupBy("node").agg(F.min(F.struct("doc", "stamp")).alias("r")).select("node", "r.doc", "r.stamp")
-        one = stored(one, "join-nodes")
-        thin, maybe = marked(self.rows.select("doc", "stamp", "text"), "stamp", one, "stamp")
-        texts = thin.filter(maybe).dropDuplicates(["doc", "stamp"]).join(one, ["doc", "stamp"]).select("node", "text")
-        return stored(texts.mapInArrow(partial(_texts, keep=keep), f"node long, {keep} {'string' if keep == 'text' else 'binary'}"), "join-content")
+    def bounded(self, pairs: DataFrame) -> DataFrame:
+        """``u, v, apart``: the pairs that sizes and bitmaps don't rule out."""
+        of = lambda c, n, m: self.nodes.select(F.col("node").alias(c), F.col("n").alias(n), F.col("bitmap").alias(m))
+        sized = pairs.select("u", "v").join(of("u", "nu", "x"), "u").join(of("v", "nv", "y"), "v").filter(f"100 * least(nu, nv) >= {self.percent} * greatest(nu, nv)")
+        return sized.select("u", "v", "nu", "nv", "x", "y").mapInArrow(partial(_bounded, percent=self.percent), "u long, v long, apart long")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        texts = self.content([pairs], "text")
-        right = pairs.join(texts.withColumnRenamed("node", "v").withColumnRenamed("text", "y"), "v")
-        both = right.join(texts.withColumnRenamed("node", "u").withColumnRenamed("text", "x"), "u")
+        """The links among the pairs, by the sets of both texts."""
+        wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+        one = stored(self.nodes.join(wanted, "node").select("node", "doc", "stamp"), "join-nodes")
+        thin, maybe = marked(self.rows.select("doc", "stamp", "text"), "stamp", one, "stamp")
+        texts = stored(thin.filter(maybe).dropDuplicates(["doc", "stamp"]).join(one, ["doc", "stamp"]).select("node", "text"), "join-texts")
+        right = pairs.select("u", "v").join(texts.select(F.col("node").alias("v"), F.col("text").alias("y")), "v")
+        both = right.join(texts.select(F.col("node").alias("u"), F.col("text").alias("x")), "u")
         return stored(both.select("u", "v", "x", "y").mapInArrow(partial(_linked, percent=self.percent), "u long, v long"), "join-links")
 
     def links(self) -> DataFrame:
         """Enough of the links to give the components: ``u, v``."""
-        pct = self.percent
         lists = stored(self.lists(), "join-lists")
-        sizes = lists.select("node", "n")
-        n_of = sizes.groupBy("node").agg(F.first("n").alias("n"))
+        met = self.sets.join(lists.select("node").distinct(), "node")
+        self.nodes = stored(met.groupBy("node").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), F.min(F.struct("doc", "stamp")).alias("r")).select("node", "n", "bitmap", "r.doc", "r.stamp"), "join-bitmaps")
         near = lists.filter("before IS NOT NULL").select(F.col("before").alias("u"), F.col("node").alias("v")).distinct()
-        fits = lambda p: p.join(n_of.select(F.col("node").alias("u"), F.col("n").alias("nu")), "u").join(n_of.select(F.col("node").alias("v"), F.col("n").alias("nv")), "v").filter(f"100 * least(nu, nv) >= {pct} * greatest(nu, nv)").select("u", "v")
-        tried = stored(fits(near), "join-tried")
+        tried = stored(self.bounded(near), "join-near")
         first = self.verified(tried)
         parts = connected_components(first).select("node", F.col("component_id").alias("part"))
         member = lists.select("sig", "node", "n", "size").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
@@ -296,32 +301,41 @@ class _Join:
         short = apart.filter(F.col("size") <= LONG_LIST)
         a = short.select("sig", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("part").alias("pu"))
         b = short.select("sig", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("part").alias("pv"))
-        pairs = a.join(b, "sig").filter(f"u < v AND pu <> pv AND 100 * least(nu, nv) >= {pct} * greatest(nu, nv)").select("u", "v").distinct()
-        more = pairs.unionByName(self.long_pairs(apart.filter(F.col("size") > LONG_LIST))).distinct()
-        second = self.verified(stored(more.join(tried, ["u", "v"], "left_anti"), "join-rest"))
-        return first.unionByName(second)
+        pairs = a.join(b, "sig").filter(f"u < v AND pu <> pv AND 100 * least(nu, nv) >= {self.percent} * greatest(nu, nv)").select("u", "v", "pu", "pv").distinct()
+        pairs = stored(pairs, "join-short")
+        fit = self.bounded(pairs).join(pairs, ["u", "v"]).unionByName(self.long_pairs(apart.filter(F.col("size") > LONG_LIST))).distinct()
+        rest = stored(fit.join(tried, ["u", "v"], "left_anti"), "join-rest")
+        # the nearest pair of two components first: where it links, their other pairs are settled
+        best = rest.groupBy(F.least("pu", "pv").alias("p"), F.greatest("pu", "pv").alias("q")).agg(F.min(F.struct("apart", "u", "v")).alias("b")).select("b.u", "b.v")
+        best = stored(best, "join-best")
+        second = self.verified(best)
+        now = connected_components(first.unionByName(second)).withColumnRenamed("component_id", "part")
+        end = lambda c: now.select(F.col("node").alias(c), F.col("part").alias(f"now_{c}"))
+        still = rest.join(best, ["u", "v"], "left_anti").join(end("u"), "u", "left").join(end("v"), "v", "left").filter("coalesce(now_u, u) <> coalesce(now_v, v)")
+        third = self.verified(stored(still.select("u", "v"), "join-still"))
+        return first.unionByName(second).unionByName(third)
 
     def long_pairs(self, long: DataFrame) -> DataFrame:
-        """Pairs of long lists that pass the bitmap bound.
+        """Pairs of long lists that the bitmaps allow: ``u, v, apart, pu, pv``.
 
         Lists that share nodes are taken together, so a pair that meets in many lists is
         looked at once; blocks of bounded size are compared two at a time.
         """
-        spark = long.sparkSession
+        schema = "u long, v long, apart long, pu long, pv long"
         if not long.take(1):
-            return spark.createDataFrame([], "u long, v long")
+            return long.sparkSession.createDataFrame([], schema)
         chain = long.withColumn("before", F.lag("node").over(W.partitionBy("sig").orderBy("node"))).filter("before IS NOT NULL").select(F.col("before").alias("u"), F.col("node").alias("v")).distinct()
         family = connected_components(chain).withColumnRenamed("component_id", "family")
-        nodes = long.groupBy("node").agg(F.first("n").alias("n"), F.first("part").alias("part")).join(family, "node")
+        nodes = long.groupBy("node").agg(F.first("part").alias("part")).join(family, "node")
         blocks = nodes.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-        maps = self.content([nodes.select("node")], "bitmap")
-        dealt = stored(nodes.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(maps, "node"), "join-blocks")
+        dealt = nodes.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(self.nodes.select("node", "n", "bitmap"), "node")
+        dealt = stored(dealt, "join-blocks")
         other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
         sent = dealt.withColumn("other", other).select(
             "family", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"),
-            F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"), "node", "n", "part", "bitmap",
+            F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"), "node", "n", "part", "bitmap", F.lit(self.percent).alias("percent"),
         )
-        return sent.groupBy("family", "b1", "b2").applyInArrow(partial(_block_pairs, percent=self.percent), "u long, v long").distinct()
+        return sent.groupBy("family", "b1", "b2").applyInArrow(_block_pairs, schema)
 
     def groups(self) -> DataFrame:
         """``doc_id, doc, stamp, n, node, root``: root names the group; null for empty sets."""
