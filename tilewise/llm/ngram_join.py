@@ -291,7 +291,9 @@ class _Join:
         met = self.sets.join(lists.select("node").distinct(), "node")
         self.nodes = stored(met.groupBy("node").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), F.min(F.struct("doc", "stamp")).alias("r")).select("node", "n", "bitmap", "r.doc", "r.stamp"), "join-bitmaps")
         near = lists.filter("before IS NOT NULL").select(F.col("before").alias("u"), F.col("node").alias("v")).distinct()
-        tried = stored(self.bounded(near), "join-near")
+        # one pair per node, its nearest: the others come again below if they still part components
+        nearest = self.bounded(near).groupBy("v").agg(F.min(F.struct("apart", "u")).alias("b"))
+        tried = stored(nearest.select("b.u", "v"), "join-near")
         first = self.verified(tried)
         parts = connected_components(first).select("node", F.col("component_id").alias("part"))
         member = lists.select("sig", "node", "n", "size").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
