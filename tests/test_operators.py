@@ -9,7 +9,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tests.compare import DATA
 from tilewise.operators import calibrate, decide, evaluate, features, manifest, pixels, regions, sampling, stitch, tiling
+from tilewise.plans import catalog
 from tilewise.sources import images as image_source
 from tilewise.streaming import decisions
 
@@ -289,3 +291,13 @@ def test_stream_equals_batch(spark, tmp_path):
     decisions.write_decisions(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     want = sorted((r.event_id, r.is_defect) for r in decide.decide_images(rows, cal).collect())
     assert sorted((r.event_id, r.is_defect) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == want
+
+
+def test_full_pixel_queries_have_all_bins(spark):
+    """Their bins tell scores apart that fall together among 1,024."""
+    full, short = (catalog.QUERIES[n](spark, DATA) for n in ("pixel_histogram_full", "pixel_histogram"))
+    count = lambda h: h.agg(F.count("*").alias("n"), F.max("bin").alias("last"), F.sum(F.col("pos") + F.col("neg")).alias("pixels")).first()
+    a, b = count(full), count(short)
+    assert a.last == evaluate.BINS - 1 and a.n > b.n and a.pixels == b.pixels
+    for name in ("pixel_histogram_full", "pixel_curve_full", "pixel_ap_full", "pixel_f1_full"):
+        assert "65536" in catalog.SQL[name] and "1024" not in catalog.SQL[name]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tilewise.operators import calibrate, decide, evaluate, pixels, regions
 from tilewise.sources import tables
 
+#: Of the short queries; the ``_full`` ones take the operator's ``evaluate.BINS``.
 BINS = 1024
 
 LBL = "lbl AS (SELECT doc_id AS image, lang AS clsname, source, n_chars::DOUBLE AS score, toxic::INT AS label FROM documents JOIN labels USING (doc_id))"
@@ -19,10 +20,19 @@ YOUDEN = "SELECT clsname, score AS image_threshold FROM (SELECT *, row_number()
 
 GRID = """n_ AS (SELECT count(*) AS n FROM embeddings),
 grid AS (SELECT a.vec_id AS image, a.label AS clsname, (p // 8)::INT AS y, (p % 8)::INT AS x, abs(a.embedding[p + 1])::FLOAT AS pred, (b.embedding[p + 1] > 0.15::FLOAT)::INT AS gt FROM n_, embeddings a JOIN embeddings b ON b.vec_id = (a.vec_id + 1) % (SELECT n FROM n_), range(0, 64) r(p))"""
-HIST = f"""bounds AS (SELECT clsname, min(pred) AS lo, max(pred) AS hi FROM grid GROUP BY clsname),
-hist AS (SELECT clsname, lo, hi, bin, count(*) FILTER (gt = 1) AS pos, count(*) FILTER (gt = 0) AS neg FROM (SELECT g.*, lo, hi, CASE WHEN hi > lo THEN least(greatest(trunc((pred - lo)::FLOAT * ({BINS}::FLOAT / (hi - lo)::FLOAT)::FLOAT)::BIGINT, 0), {BINS - 1}) ELSE {BINS - 1} END AS bin FROM grid g JOIN bounds USING (clsname)) GROUP BY ALL)"""
-PCURVE = f"""pcum AS (SELECT clsname, bin, lo, hi, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY clsname) AS p, sum(neg) OVER (PARTITION BY clsname) AS n FROM hist WINDOW w AS (PARTITION BY clsname ORDER BY bin DESC ROWS UNBOUNDED PRECEDING)),
-pcurve AS (SELECT clsname, bin, lo::DOUBLE + bin * ((hi::DOUBLE - lo::DOUBLE) / {BINS}) AS edge, (tp / p)::DOUBLE AS tpr, (fp / n)::DOUBLE AS fpr, coalesce((tp / nullif(tp + fp, 0))::DOUBLE, 0) AS precision FROM pcum)"""
+
+
+def _hist(bins: int) -> str:
+    return f"""bounds AS (SELECT clsname, min(pred) AS lo, max(pred) AS hi FROM grid GROUP BY clsname),
+hist AS (SELECT clsname, lo, hi, bin, count(*) FILTER (gt = 1) AS pos, count(*) FILTER (gt = 0) AS neg FROM (SELECT g.*, lo, hi, CASE WHEN hi > lo THEN least(greatest(trunc((pred - lo)::FLOAT * ({bins}::FLOAT / (hi - lo)::FLOAT)::FLOAT)::BIGINT, 0), {bins - 1}) ELSE {bins - 1} END AS bin FROM grid g JOIN bounds USING (clsname)) GROUP BY ALL)"""
+
+
+def _pcurve(bins: int) -> str:
+    return f"""pcum AS (SELECT clsname, bin, lo, hi, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY clsname) AS p, sum(neg) OVER (PARTITION BY clsname) AS n FROM hist WINDOW w AS (PARTITION BY clsname ORDER BY bin DESC ROWS UNBOUNDED PRECEDING)),
+pcurve AS (SELECT clsname, bin, lo::DOUBLE + bin * ((hi::DOUBLE - lo::DOUBLE) / {bins}) AS edge, (tp / p)::DOUBLE AS tpr, (fp / n)::DOUBLE AS fpr, coalesce((tp / nullif(tp + fp, 0))::DOUBLE, 0) AS precision FROM pcum)"""
+
+
+HIST, PCURVE = _hist(BINS), _pcurve(BINS)
 PAUROC = "SELECT clsname, sum((fpr - lf) * (tpr + lt) / 2) AS pixel_auroc, sum((tpr - lt) * precision) AS pixel_ap FROM (SELECT *, lag(fpr, 1, 0.0) OVER w AS lf, lag(tpr, 1, 0.0) OVER w AS lt FROM pcurve WINDOW w AS (PARTITION BY clsname ORDER BY bin DESC)) GROUP BY clsname"
 PF1 = "SELECT clsname, f1 AS pixel_f1, edge AS pixel_threshold FROM (SELECT *, row_number() OVER (PARTITION BY clsname ORDER BY f1 DESC, bin DESC) AS k FROM (SELECT *, round(coalesce(2 * precision * tpr / nullif(precision + tpr, 0), 0), 12) AS f1 FROM pcurve)) WHERE k = 1"
 REGIONS = """runs AS (SELECT image, y, min(x) AS x0, max(x) AS x1, y::BIGINT * 2147483648 + min(x) AS run FROM (SELECT image, y, x, x - row_number() OVER (PARTITION BY image, y ORDER BY x) AS g FROM grid WHERE gt = 1) GROUP BY image, y, g),
@@ -82,23 +92,55 @@ def label_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.label_or_mask(_pairs(spark, sf_dir), labels)
 
 
+def _histogram(spark: SparkSession, sf_dir: str, bins: int = evaluate.BINS) -> DataFrame:
+    return evaluate.pixel_histogram(tables.grid(spark, sf_dir), bins).select("clsname", "bin", "pos", "neg")
+
+
+def _curve(spark: SparkSession, sf_dir: str, bins: int = evaluate.BINS) -> DataFrame:
+    c = evaluate.pixel_curve(evaluate.pixel_histogram(tables.grid(spark, sf_dir), bins), bins)
+    return c.select("clsname", "bin", *[F.round(x, 6).alias(x) for x in ("edge", "tpr", "fpr", "precision")])
+
+
+def _ap(spark: SparkSession, sf_dir: str, bins: int = evaluate.BINS) -> DataFrame:
+    m = evaluate.pixel_metrics(tables.grid(spark, sf_dir), bins)
+    return m.select("clsname", F.round("pixel_auroc", 6).alias("pixel_auroc"), F.round("pixel_ap", 6).alias("pixel_ap"))
+
+
+def _f1(spark: SparkSession, sf_dir: str, bins: int = evaluate.BINS) -> DataFrame:
+    m = evaluate.best_f1(evaluate.pixel_curve(evaluate.pixel_histogram(tables.grid(spark, sf_dir), bins), bins))
+    return m.select("clsname", F.round("pixel_f1", 6).alias("pixel_f1"), F.round("pixel_threshold", 6).alias("pixel_threshold"))
+
+
 def pixel_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.pixel_histogram(tables.grid(spark, sf_dir), BINS).select("clsname", "bin", "pos", "neg")
+    return _histogram(spark, sf_dir, BINS)
 
 
 def pixel_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = evaluate.pixel_curve(evaluate.pixel_histogram(tables.grid(spark, sf_dir), BINS), BINS)
-    return c.select("clsname", "bin", *[F.round(x, 6).alias(x) for x in ("edge", "tpr", "fpr", "precision")])
+    return _curve(spark, sf_dir, BINS)
 
 
 def pixel_ap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = evaluate.pixel_metrics(tables.grid(spark, sf_dir), BINS)
-    return m.select("clsname", F.round("pixel_auroc", 6).alias("pixel_auroc"), F.round("pixel_ap", 6).alias("pixel_ap"))
+    return _ap(spark, sf_dir, BINS)
 
 
 def pixel_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = evaluate.best_f1(evaluate.pixel_curve(evaluate.pixel_histogram(tables.grid(spark, sf_dir), BINS), BINS))
-    return m.select("clsname", F.round("pixel_f1", 6).alias("pixel_f1"), F.round("pixel_threshold", 6).alias("pixel_threshold"))
+    return _f1(spark, sf_dir, BINS)
+
+
+def pixel_histogram_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _histogram(spark, sf_dir)
+
+
+def pixel_curve_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _curve(spark, sf_dir)
+
+
+def pixel_ap_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ap(spark, sf_dir)
+
+
+def pixel_f1_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _f1(spark, sf_dir)
 
 
 def mask_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,7 +177,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         roc_curve, image_auroc, image_threshold, metrics_by_category, metric_report, annotation_gates, pixel_pairs, label_fallback, pixel_histogram,
-        pixel_curve, pixel_ap, pixel_f1, mask_regions, pro, pixel_decisions, anomaly_pixels, display_scale,
+        pixel_curve, pixel_ap, pixel_f1, pixel_histogram_full, pixel_curve_full, pixel_ap_full, pixel_f1_full, mask_regions, pro, pixel_decisions, anomaly_pixels, display_scale,
     )
 }
 
@@ -173,3 +215,5 @@ SQL = {
     "display_scale": _with(GRID, _Q)
     + "SELECT image, y, x, round(CASE WHEN image % 2 = 0 THEN least(greatest(v / (2 * t), 0), 1) WHEN hi > lo THEN (v - lo) / (hi - lo) ELSE 0 END, 6)::DOUBLE AS shown FROM (SELECT *, pred::DOUBLE AS v, min(pred::DOUBLE) OVER (PARTITION BY image) AS lo, max(pred::DOUBLE) OVER (PARTITION BY image) AS hi FROM grid JOIN q USING (image))",
 }
+for _name in ("pixel_histogram", "pixel_curve", "pixel_ap", "pixel_f1"):
+    SQL[f"{_name}_full"] = SQL[_name].replace(HIST, _hist(evaluate.BINS)).replace(PCURVE, _pcurve(evaluate.BINS))
