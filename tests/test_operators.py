@@ -301,3 +301,12 @@ def test_full_pixel_queries_have_all_bins(spark):
     assert a.last == evaluate.BINS - 1 and a.n > b.n and a.pixels == b.pixels
     for name in ("pixel_histogram_full", "pixel_curve_full", "pixel_ap_full", "pixel_f1_full"):
         assert "65536" in catalog.SQL[name] and "1024" not in catalog.SQL[name]
+
+
+def test_all_tiles_have_their_pixels(spark):
+    """Nine tiles of sixteen pixels for each image; only the last row and column of tiles overhang."""
+    got = catalog.QUERIES["tile_pixels_all"](spark, DATA).toPandas()
+    images = spark.read.parquet(f"{DATA}/embeddings.parquet").count()
+    assert len(got) == images * 9 * 16 and not got.duplicated(["image", "tile_id", "ty", "tx"]).any()
+    out = ((got.tile_id >= 6) & (got.ty == 3)) | ((got.tile_id % 3 == 2) & (got.tx == 3))
+    assert (got.z[out] == 0).all() and (got.z[~out] == got.v[~out]).all()

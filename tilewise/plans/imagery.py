@@ -89,6 +89,15 @@ def tile_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edge.join(zero, ["image", "ty", "tx"])
 
 
+def tile_pixels_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nine tiles, the last row and column moved to 5 so that they overhang by one; z as in ``tile_pixels``."""
+    moved = lambda c: F.when(F.col(c) == 4, 5).otherwise(F.col(c)).alias(c)
+    t = _small_tiles(spark, sf_dir).select("image", "tile_id", moved("x"), moved("y"), "width", "height")
+    edge = stitch.tile_cells(t, _cells(spark, sf_dir), 4).select("image", "tile_id", "ty", "tx", F.round(F.col("v").cast("double"), 6).alias("v"))
+    zero = stitch.tile_cells(t, _cells(spark, sf_dir), 4, "zero").select("image", "tile_id", "ty", "tx", F.round(F.col("v").cast("double"), 6).alias("z"))
+    return edge.join(zero, ["image", "tile_id", "ty", "tx"])
+
+
 def _tile_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each tile's map is the image's, raised by its number / 100: overlaps disagree."""
     t = _small_tiles(spark, sf_dir)
@@ -178,7 +187,7 @@ def gaussian_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        tiles, tiles_multires, tile_union, context_join, context_index, index_json, fair_sample, round_robin, tile_pixels, overlap_add, coverage_gaps, fuse_max,
+        tiles, tiles_multires, tile_union, context_join, context_index, index_json, fair_sample, round_robin, tile_pixels, tile_pixels_all, overlap_add, coverage_gaps, fuse_max,
         tile_predictions, task_merge, roi_crop, roi_bounds, foreground_mask, resize_nearest, resize_bilinear, upsample_aligned, pixel_normalize, minmax_post, gaussian_smooth,
     )
 }
@@ -216,6 +225,8 @@ SQL = {
     "fair_sample": _with(IMG, _T) + "SELECT image_path, tile_id FROM (SELECT *, row_number() OVER (PARTITION BY image_path ORDER BY md5(concat('s:', image_path, ':', tile_id)), tile_id) - 1 AS p, count(*) OVER (PARTITION BY image_path) AS n FROM tl) WHERE ((p - 12) % n + n) % n < least(4, n)",
     "round_robin": _with(IMG) + "SELECT ordinal, ((row_number() OVER (PARTITION BY clsname ORDER BY ordinal) - 1) % 7)::BIGINT AS bucket FROM img",
     "tile_pixels": _with(GRID) + "SELECT g.image, ty::INT AS ty, tx::INT AS tx, round(g.pred::DOUBLE, 6) AS v, CASE WHEN 5 + ty > 7 OR 5 + tx > 7 THEN 0 ELSE round(g.pred::DOUBLE, 6) END::DOUBLE AS z FROM range(0, 4) r(ty), range(0, 4) q(tx), grid g WHERE g.y = least(5 + ty, 7) AND g.x = least(5 + tx, 7)",
+    "tile_pixels_all": _with(GRID, "t9 AS (SELECT (r * 3 + k)::INT AS tile_id, [0, 2, 5][r + 1] AS y0, [0, 2, 5][k + 1] AS x0 FROM range(0, 3) a(r), range(0, 3) b(k))")
+    + "SELECT g.image, tile_id, ty::INT AS ty, tx::INT AS tx, round(g.pred::DOUBLE, 6) AS v, CASE WHEN y0 + ty > 7 OR x0 + tx > 7 THEN 0 ELSE round(g.pred::DOUBLE, 6) END::DOUBLE AS z FROM t9, range(0, 4) r(ty), range(0, 4) q(tx), grid g WHERE g.y = least(y0 + ty, 7) AND g.x = least(x0 + tx, 7)",
     "overlap_add": _with(GRID, _TILES4, _MAPS) + f"SELECT image, y, x, round((sum(v * w) / sum(w))::FLOAT::DOUBLE, 5) AS v FROM (SELECT *, 0.05::DOUBLE + 0.95::DOUBLE * {_HANN.format('ty')} * {_HANN.format('tx')} AS w FROM maps) GROUP BY image, y, x",
     "coverage_gaps": _with(GRID, _TILES4, _MAPS) + "SELECT image, y, x FROM grid EXCEPT SELECT image, y, x FROM maps WHERE NOT (image % 3 = 0 AND tile_id IN (0, 4))",
     "fuse_max": _with(GRID) + "SELECT image, y, x, round(CASE WHEN image % 2 = 1 THEN greatest(pred::DOUBLE, avg(pred::DOUBLE) OVER (PARTITION BY image, y // 4, x // 4)) ELSE pred::DOUBLE END, 6) AS v FROM grid",
