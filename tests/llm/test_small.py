@@ -193,6 +193,15 @@ def test_mixing(docs, none):
     assert mixing.mixed_documents(docs).columns == docs.columns
 
 
+def test_mixed_documents_with_repeated_ids(spark):
+    """Ids that repeat or are null and equal rows: each source keeps its target, to less than one document."""
+    rows = [(i % 2 or None, prose(20 if i < 15 else i, 20), "en", "abc"[i % 3], 0) for i in range(60)]
+    got = Counter()
+    for r in mixing.mixed_documents(spark.createDataFrame(rows, DOCS)).collect():
+        got[r.source] += len(split(r.text))
+    assert all(target <= got[s] < target + 20 for s, target in (("a", 200), ("b", 400), ("c", 600)))
+
+
 def test_suffix_dedup(docs, none):
     want = []
     raw = [(i, x.encode()) for i, x in texts(docs)]

@@ -27,14 +27,21 @@ MOST_EPOCHS = 3
 RANGE_ROWS = 4096
 
 
-def sized(docs: DataFrame, seed: str = "mix") -> DataFrame:
-    """``doc_id, source, size, key``: the key is a uniform hexadecimal string."""
-    d = pick(docs, "doc_id", "source", "text")
+def sized(docs: DataFrame, seed: str = "mix", row: str | None = None) -> DataFrame:
+    """``doc_id, source, size, key``: the key is a uniform hexadecimal string.
+
+    With ``row``, the name of a column that tells rows apart, that column stays too, and
+    the key hashes id and text: rows that share an id (or have none) are spread.
+    """
+    own = [row] if row else []
+    d = pick(docs, "doc_id", "source", "text", *own)
+    salt = [F.lit(":"), F.xxhash64("text").cast("string")] if row else []
     return d.select(
+        *own,
         "doc_id",
         "source",
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("key"),
+        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), *salt)).alias("key"),
     )
 
 
@@ -60,16 +67,17 @@ def source_targets(rows: DataFrame) -> DataFrame:
     return free.select("source", "rank", "source_size", "n_rows", target.alias("target"))
 
 
-def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
-    """``doc_id, size, source_size, target, taken`` of each document."""
-    rows = stored(sized(docs, seed), "mix-sized")
+def mix(docs: DataFrame, seed: str = "mix", row: str | None = None) -> DataFrame:
+    """``doc_id, size, source_size, target, taken`` of each document; with ``row`` (see ``sized``) that column too."""
+    own = [row] if row else []
+    rows = stored(sized(docs, seed, row), "mix-sized")
     targets = stored(source_targets(rows), "mix-targets")
     digits = F.greatest(F.lit(0), F.ceil(F.log(F.col("n_rows") / RANGE_ROWS) / F.log(F.lit(16.0)))).cast("int")
     t = targets.withColumn("digits", digits).withColumnRenamed("source", "t_source")
     keyed = rows.join(t, rows["source"].eqNullSafe(t["t_source"])).drop("t_source", "source").withColumn("range", F.expr("substr(key, 1, digits)"))
     before = W.partitionBy("rank").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
     ranges = keyed.groupBy("rank", "range").agg(F.sum("size").alias("range_size")).select("rank", "range", F.coalesce(F.sum("range_size").over(before), F.lit(0)).alias("range_start"))
-    inside = W.partitionBy("rank", "range").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
+    inside = W.partitionBy("rank", "range").orderBy("key", "doc_id", "size", *own).rowsBetween(W.unboundedPreceding, W.currentRow)
     placed = keyed.withColumn("upto", F.sum("size").over(inside)).join(ranges, ["rank", "range"])
     start = F.col("range_start") + F.col("upto") - F.col("size")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
@@ -77,17 +85,16 @@ def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
     return (
         placed.withColumn("epochs", epochs)
         .withColumn("rest", rest)
-        .select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - start))).cast("long").alias("taken"))
+        .select(*own, "doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - start))).cast("long").alias("taken"))
     )
 
 
 def mixed_documents(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """The documents as often as the mix takes them (a part counts as once more).
 
-    Ids that repeat in ``docs`` are refused by nothing: each copy of an id appears as
-    often as the copy that the mix takes most.
+    Rows are numbered and stored first, so each row has its own share, also where ids
+    repeat or are null; equal rows share a key and hence a task of the mix.
     """
-    share = mix(docs, seed).filter("taken > 0").groupBy("doc_id").agg(F.max(F.expr("ceil(taken / size)")).cast("int").alias("n_copies"))
-    d = docs.alias("d")
-    s = share.withColumnRenamed("doc_id", "m_id")
-    return d.join(s, F.col("d.doc_id").eqNullSafe(F.col("m_id"))).withColumn("n_copies", F.explode(F.sequence(F.lit(1), F.col("n_copies")))).select("d.*")
+    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-rows")
+    share = mix(rows, seed, "__row").filter("taken > 0").select("__row", F.expr("ceil(taken / size)").cast("int").alias("__copies"))
+    return rows.join(share, "__row").withColumn("__copies", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__row", "__copies")
