@@ -358,6 +358,28 @@ def test_classifier_small(docs, none):
     assert out.columns == docs.columns
 
 
+def test_fitting_rows_are_bounded(spark, monkeypatch):
+    """Rows that are equal, even more of them than FIT_ROWS, reach the driver once."""
+    rows = [(None, prose(1, 30), "en", "a", 0)] * 300 + [(i, prose(i, 30), "en", "a", 0) for i in range(40)]
+    docs = spark.createDataFrame(rows, DOCS)
+    kind, sizes = type(docs), []
+    plain = kind.collect
+
+    def collect(frame):
+        got = plain(frame)
+        sizes.append(len(got))
+        return got
+
+    fitted = []
+    monkeypatch.setattr(kind, "collect", collect)
+    monkeypatch.setattr(quality_classifier, "fit", lambda rows: fitted.extend(rows))
+    for n in (30, 341):
+        monkeypatch.setattr(quality_classifier, "FIT_ROWS", n)
+        fitted.clear()
+        quality_classifier.train(docs)
+        assert len(fitted) == min(n, len(rows)) and max(sizes) <= 41
+
+
 def test_classifier_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     scored = quality_classifier.scores(spark.read.parquet(f"{sf}/documents.parquet")).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")

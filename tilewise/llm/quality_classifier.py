@@ -163,7 +163,7 @@ def _fit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 f, inv = np.unique(where[at], return_inverse=True)
                 out.append((int(pattern[k]), f.astype("<i4").tobytes(), np.bincount(inv, weight[at]).astype("<f4").tobytes()))
         cols = list(zip(*out, strict=True)) or [[], [], []]
-        yield pa.RecordBatch.from_arrays([b.column(2), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], ["key", "pattern", "f", "w"])
+        yield pa.RecordBatch.from_arrays([b.column(2), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary()), b.column(3)], ["key", "pattern", "f", "w", "n"])
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray, float]], epochs: int = 8, rate: float = 0.5, decay: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -190,8 +190,12 @@ def train(docs: DataFrame) -> tuple[np.ndarray, float]:
     # the FIT_ROWS smallest hashes are found on the hashes alone; no text is sorted
     keyed = texts.withColumn("key", F.xxhash64("doc_id", "text"))
     last = keyed.select("key").orderBy("key").limit(FIT_ROWS).agg(F.max("key")).first()[0]
-    chosen = keyed.filter(F.col("key") <= last).mapInArrow(_fit_rows, "key long, pattern long, f binary, w binary").collect()
-    rows = [(np.frombuffer(r[2], "<i4"), np.frombuffer(r[3], "<f4").astype(float), soft[r[1]]) for r in sorted(chosen)[:FIT_ROWS]]
+    # equal rows come once, with their number: however many there are, few rows reach the driver
+    each = keyed.filter(F.col("key") <= last).groupBy("doc_id", "text", "key").agg(F.count("*").alias("n"))
+    chosen = each.mapInArrow(_fit_rows, "key long, pattern long, f binary, w binary, n long").collect()
+    rows = []
+    for _, pattern, f, w, n in sorted(chosen):
+        rows += [(np.frombuffer(f, "<i4"), np.frombuffer(w, "<f4").astype(float), soft[pattern])] * min(n, FIT_ROWS - len(rows))
     return fit(rows)
 
 
