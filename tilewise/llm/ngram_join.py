@@ -8,13 +8,15 @@ shingles survives the loss of c - 2 of them, so the prefix is extended until the
 together survive every loss that the similarity allows. (With small sets, all are
 indexed alone.)
 
-Sets that share a signature are candidates. Equal sets are one node from the start.
-Every node has a small bitmap that bounds the symmetric difference of two sets from below,
-so most candidates are ruled out without their texts. Neighbours in each signature's list
-are verified first; nodes that these links join need no further comparison. What remains
-are pairs of nodes in different components, from short lists directly and from long lists
-block by block; the nearest pair of two components is verified first, then what is still
-open. All verification is exact on the sets of 64-bit shingle hashes.
+Sets that share a signature are candidates. Equal sets are one node from the start. A
+signature's list of nodes is parted into blocks of bounded size; each node is compared,
+inside a task and by exact sets, with its block of its shortest and of its longest list.
+Nodes that these links join need no further comparison. What remains are pairs of nodes
+in different components. Lists of few nodes give pairs, most of which a small bitmap of
+each set rules out (it bounds the symmetric difference from below) before the texts are
+compared. Long lists give no pairs: the nodes outside the largest component are compared
+with all others block by block inside tasks, and a block returns as many links as join
+its nodes, at most one for each. All verification is exact on 64-bit shingle hashes.
 
 Which shingles count as frequent only affects speed, not results.
 
@@ -39,7 +41,7 @@ from pyspark.sql.window import Window as W
 from tilewise.llm import textkernel as tk
 from tilewise.llm.components import connected_components
 from tilewise.llm.narrowing import marked
-from tilewise.llm.shared import doc_key, doc_stamp, named, stored
+from tilewise.llm.shared import doc_key, doc_stamp, named, shuffle_partitions, stored
 
 WORDS = 5
 PERCENT = 75
@@ -48,12 +50,19 @@ FREQUENT = 1 << 16
 #: A shingle is reported as frequent by a task that sees it so often in one go.
 SEEN_OFTEN = 4
 #: Shingles that a task counts in one go.
-COUNT_AT_ONCE = 1 << 22
+COUNT_AT_ONCE = 1 << 20
 #: Sets below this size index all shingles alone.
 SMALL = 16
 #: Lists longer than this are compared block by block.
 LONG_LIST = 48
-BLOCK = 256
+#: Nodes, and their shingles, that a task compares with each other at once, about.
+BLOCK = 512
+BLOCK_SHINGLES = 1 << 19
+#: Rows of blocks that a task gets, about.
+ROWS_OF_A_TASK = 20_000
+#: A shingle of at most so many sets of a block is counted pair by pair.
+FEW_SETS = 8
+COLUMNS = 2048
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
@@ -158,7 +167,7 @@ def _signed(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, level: np.n
     sent: set[int] = set()
     for b in batches:
         data, offsets = tk.texts_of(b.column(0))
-        for _, _, d, o in tk.runs(data, offsets, 4 * tk.RUN_BYTES):
+        for _, _, d, o in tk.runs(data, offsets):
             sigs, nodes, sizes = [], [], []
             for s in shingle_sets(d, o):
                 if not len(s) or (node := node_of(s)) in sent:
@@ -216,40 +225,113 @@ def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([b.column(0).filter(kept), b.column(1).filter(kept)], ["u", "v"])
 
 
-def _block_pairs(table: pa.Table) -> pa.Table:
-    """Pairs of nodes in different components, one from each block, that the bitmaps allow."""
-    t = {c: table.column(c).to_pylist() for c in ("side", "node", "n", "part", "bitmap")}
-    one_block = 2 in t["side"]
-    percent = table.column("percent")[0].as_py()
-    by_width: dict[tuple[int, int], list[int]] = {}
-    for i, m in enumerate(t["bitmap"]):
-        by_width.setdefault((t["side"][i], len(m)), []).append(i)
-    node, n, part = np.array(t["node"]), np.array(t["n"]), np.array(t["part"])
-    raw = {k: np.frombuffer(b"".join(t["bitmap"][i] for i in at), "<u8").reshape(len(at), -1) for k, at in by_width.items()}
-    out: list[tuple[np.ndarray, ...]] = []
-    for (sa, wa), ia in by_width.items():
-        for (sb, wb), ib in by_width.items():
-            if (one_block and wa < wb) or (not one_block and (sa, sb) != (0, 1)) or max(wa, wb) > 2 * min(wa, wb):
-                continue
-            x, y = raw[sa, wa], raw[sb, wb]
-            w = min(x.shape[1], y.shape[1])
-            x, y = (m if m.shape[1] == w else m[:, :w] ^ m[:, w:] for m in (x, y))
-            for r in range(len(ia)):
-                apart = np.bitwise_count(x[r] ^ y).sum(axis=1, dtype=np.int64)
-                total = n[ia[r]] + n[ib]
-                both = (total - apart) // 2
-                hit = np.nonzero((100 * both >= percent * (total - both)) & (part[ia[r]] != part[ib]))[0]
-                at = np.array(ib)[hit]
-                out.append((np.full(len(hit), node[ia[r]]), node[at], apart[hit], np.full(len(hit), part[ia[r]]), part[at]))
-    u, v, apart, pu, pv = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 5
-    swap = u > v
-    return pa.table({"u": np.where(swap, v, u), "v": np.where(swap, u, v), "apart": apart, "pu": np.where(swap, pv, pu), "pv": np.where(swap, pu, pv)})
+def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set of ``left`` with every one of ``right``."""
+    n, m = len(left), len(right)
+    out = np.zeros(n * m, np.int64)
+    token = np.concatenate([*left, *right])
+    at = np.repeat(np.arange(n + m), [len(s) for s in (*left, *right)])
+    order = np.lexsort((at, token))
+    token, at = token[order], at[order]
+    cut = np.nonzero(np.concatenate([[True], token[1:] != token[:-1]]))[0]
+    group = np.cumsum(np.bincount(cut, minlength=len(token))) - 1
+    on_left = np.bincount(group, at < n, minlength=len(cut)).astype(np.int64)
+    size = np.diff(np.append(cut, len(token)))
+    common = (on_left > 0) & (on_left < size)
+    few = common & (size <= FEW_SETS)
+    # shingles of few sets: each entry meets the ones that follow it
+    keep = few[group]
+    g, a = group[keep], at[keep]
+    for lag in range(1, FEW_SETS):
+        hit = np.nonzero((g[lag:] == g[:-lag]) & (a[:-lag] < n) & (a[lag:] >= n))[0]
+        out += np.bincount(a[hit] * m + a[hit + lag] - n, minlength=n * m)
+    # shingles of many sets: products of incidence matrices, some columns at a time
+    keep = (common & ~few)[group]
+    column, a = group[keep], at[keep]
+    column = np.cumsum(np.concatenate([[0], column[1:] != column[:-1]])) if len(column) else column
+    total = np.zeros((n, m), np.float32)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        i, j = np.searchsorted(column, [first, first + COLUMNS])
+        x = np.zeros((n + m, COLUMNS), np.float32)
+        x[a[i:j], column[i:j] - first] = 1
+        total += x[:n] @ x[n:].T
+    return out.reshape(n, m) + total.astype(np.int64)
+
+
+def spanning(n: int, pairs: np.ndarray) -> list[int]:
+    """Positions of pairs that join 0 .. n - 1 as much as all pairs do."""
+    up = list(range(n))
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    out = []
+    for k, (a, b) in enumerate(pairs.tolist()):
+        p, q = root(a), root(b)
+        if p != q:
+            up[p] = q
+            out.append(k)
+    return out
+
+
+def block_links(side: np.ndarray, node: np.ndarray, part: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between the sides of a block, enough to join what its links join.
+
+    ``side`` 0, 1, or 2 for rows that are compared with each other. Rows of one part need
+    no link. A block has a bounded number of rows.
+    """
+    left, right = np.nonzero(side != 1)[0], np.nonzero(side != 0)[0]
+    if not len(left) or not len(right):
+        return []
+    size = np.array([len(s) for s in sets])
+    both = intersections([sets[k] for k in left], [sets[k] for k in right])
+    hit = (100 * both >= percent * (size[left][:, None] + size[right][None, :] - both)) & (part[left][:, None] != part[right][None, :])
+    i, j = np.nonzero(hit)
+    pairs = np.stack([left[i], right[j]], axis=1)
+    return [(int(node[a]), int(node[b])) for a, b in pairs[spanning(len(side), pairs)]]
+
+
+def _linked_blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Spanning links of each block; the rows come sorted by block (``a, b, c``)."""
+    held: list[pa.RecordBatch] = []
+
+    def flush(rows: list[pa.RecordBatch]) -> list[tuple[int, int]]:
+        t = pa.Table.from_batches(rows)
+        if t.num_rows < 2:
+            return []
+        sets = [s for _, _, d, o in tk.runs(*tk.texts_of(t.column("text"))) for s in shingle_sets(d, o)]
+        return block_links(*(np.asarray(t.column(c)) for c in ("side", "node", "part")), sets, percent)
+
+    def links_of(found: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["u", "v"])
+
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key = np.stack([np.asarray(b.column(k)).astype(np.int64) for k in range(3)])
+        cut = [0, *(np.nonzero((key[:, 1:] != key[:, :-1]).any(axis=0))[0] + 1).tolist(), b.num_rows]
+        found = []
+        for i, j in zip(cut, cut[1:], strict=False):
+            if held and tuple(key[:, i]) != last:
+                found += flush(held)
+                held = []
+            held.append(b.slice(i, j - i))
+            last = tuple(key[:, i])
+        yield links_of(found)
+    if held:
+        yield links_of(flush(held))
 
 
 class _Join:
     """The steps of one join, over the tables that they share."""
 
     def __init__(self, docs: DataFrame, percent: int):
+        if not 50 <= percent <= 100:
+            raise ValueError("signatures look at two size classes, which holds from 50 percent on")
         self.percent = percent
         self.rows = named(docs)
         found = stored(self.rows.select("doc_id", "doc", "stamp", "text").mapInArrow(_sets, "kind int, doc_id long, a long, b long, n long, node long, bitmap binary"), "shingle-sets")
@@ -277,67 +359,84 @@ class _Join:
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The links among the pairs, by the sets of both texts."""
-        wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-        one = stored(self.nodes.join(wanted, "node").select("node", "doc", "stamp"), "join-nodes")
-        thin, maybe = marked(self.rows.select("doc", "stamp", "text"), "stamp", one, "stamp")
-        texts = stored(thin.filter(maybe).dropDuplicates(["doc", "stamp"]).join(one, ["doc", "stamp"]).select("node", "text"), "join-texts")
-        right = pairs.select("u", "v").join(texts.select(F.col("node").alias("v"), F.col("text").alias("y")), "v")
-        both = right.join(texts.select(F.col("node").alias("u"), F.col("text").alias("x")), "u")
+        right = pairs.select("u", "v").join(self.texts.select(F.col("node").alias("v"), F.col("text").alias("y")), "v")
+        both = right.join(self.texts.select(F.col("node").alias("u"), F.col("text").alias("x")), "u")
         return stored(both.select("u", "v", "x", "y").mapInArrow(partial(_linked, percent=self.percent), "u long, v long"), "join-links")
 
+    def in_blocks(self, dealt: DataFrame, rows: int) -> DataFrame:
+        """Spanning links of the blocks of ``dealt``: ``a, b, c`` (the block), ``side, node, part``."""
+        n = max(shuffle_partitions(dealt.sparkSession), -(-rows // ROWS_OF_A_TASK))
+        with_text = dealt.join(self.texts, "node").select("a", "b", "c", "side", "node", "part", "text")
+        sorted_blocks = with_text.repartition(n, "a", "b", "c").sortWithinPartitions("a", "b", "c")
+        return stored(sorted_blocks.mapInArrow(partial(_linked_blocks, percent=self.percent), "u long, v long"), "join-links")
+
+    def inside_lists(self, lists: DataFrame, salt: int) -> DataFrame:
+        """Links inside blocks of each node's shortest and longest list."""
+        size = F.struct("size", "sig", "tokens")
+        ends = lists.groupBy("node").agg(F.min(size).alias("low"), F.max(size).alias("high"))
+        chosen = ends.select("node", F.explode(F.array_distinct(F.array("low", "high"))).alias("l")).select("node", "l.*")
+        blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("tokens") / BLOCK_SHINGLES))
+        dealt = chosen.select(F.col("sig").alias("a"), F.pmod(F.xxhash64("node", F.lit(salt)), blocks).alias("b"), F.lit(0).alias("c"), F.lit(2).alias("side"), "node", F.col("node").alias("part"))
+        return self.in_blocks(dealt, lists.count())
+
+    def parted(self, lists: DataFrame, links: DataFrame) -> DataFrame:
+        """The lists whose nodes the links don't join yet, with the ``part`` of each node."""
+        parts = connected_components(links).select("node", F.col("component_id").alias("part"))
+        member = stored(lists.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node")), "join-parts")
+        ends = member.groupBy("sig").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high")
+        # stored, so that the join's two sides are plain shuffles and a long list can be split
+        open_lists = stored(ends.select("sig"), "join-open")
+        return stored(member.join(open_lists, "sig"), "join-apart")
+
     def links(self) -> DataFrame:
         """Enough of the links to give the components: ``u, v``."""
         lists = stored(self.lists(), "join-lists")
         met = self.sets.join(lists.select("node").distinct(), "node")
         self.nodes = stored(met.groupBy("node").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), F.min(F.struct("doc", "stamp")).alias("r")).select("node", "n", "bitmap", "r.doc", "r.stamp"), "join-bitmaps")
-        near = lists.filter("before IS NOT NULL").select(F.col("before").alias("u"), F.col("node").alias("v")).distinct()
-        # one pair per node, its nearest: the others come again below if they still part components
-        nearest = self.bounded(near).groupBy("v").agg(F.min(F.struct("apart", "u")).alias("b"))
-        tried = stored(nearest.select("b.u", "v"), "join-near")
-        first = self.verified(tried)
-        parts = connected_components(first).select("node", F.col("component_id").alias("part"))
-        member = lists.select("sig", "node", "n", "size").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
-        by = W.partitionBy("sig")
-        apart = member.withColumn("low", F.min("part").over(by)).withColumn("high", F.max("part").over(by)).filter("low <> high")
-        apart = stored(apart.select("sig", "node", "n", "size", "part"), "join-apart")
-        short = apart.filter(F.col("size") <= LONG_LIST)
+        one = self.nodes.select("node", "doc", "stamp")
+        thin, maybe = marked(self.rows.select("doc", "stamp", "text"), "stamp", one, "stamp")
+        self.texts = stored(thin.filter(maybe).join(one, ["doc", "stamp"]).select("node", "text").dropDuplicates(["node"]), "join-texts")
+        tokens = stored(lists.groupBy("sig").agg(F.sum("n").alias("tokens")), "join-tokens")
+        lists = stored(lists.join(tokens, "sig"), "join-sized")
+        found = self.inside_lists(lists, 0)
+        lists = self.parted(lists, found)
+        large = lists.filter((F.col("size") > BLOCK) | (F.col("tokens") > BLOCK_SHINGLES))
+        if large.take(1):  # their blocks are dealt anew, which joins the blocks of the first deal
+            found = stored(found.unionByName(self.inside_lists(large, 1)), "join-links")
+            lists = self.parted(lists.drop("part"), found)
+        short = lists.filter(F.col("size") <= LONG_LIST)
         a = short.select("sig", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("part").alias("pu"))
         b = short.select("sig", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("part").alias("pv"))
-        pairs = a.join(b, "sig").filter(f"u < v AND pu <> pv AND 100 * least(nu, nv) >= {self.percent} * greatest(nu, nv)").select("u", "v", "pu", "pv").distinct()
-        pairs = stored(pairs, "join-short")
-        fit = self.bounded(pairs).join(pairs, ["u", "v"]).unionByName(self.long_pairs(apart.filter(F.col("size") > LONG_LIST))).distinct()
-        rest = stored(fit.join(tried, ["u", "v"], "left_anti"), "join-rest")
-        # the nearest pair of two components first: where it links, their other pairs are settled
-        best = rest.groupBy(F.least("pu", "pv").alias("p"), F.greatest("pu", "pv").alias("q")).agg(F.min(F.struct("apart", "u", "v")).alias("b")).select("b.u", "b.v")
-        best = stored(best, "join-best")
-        second = self.verified(best)
-        now = connected_components(first.unionByName(second)).withColumnRenamed("component_id", "part")
-        end = lambda c: now.select(F.col("node").alias(c), F.col("part").alias(f"now_{c}"))
-        still = rest.join(best, ["u", "v"], "left_anti").join(end("u"), "u", "left").join(end("v"), "v", "left").filter("coalesce(now_u, u) <> coalesce(now_v, v)")
-        third = self.verified(stored(still.select("u", "v"), "join-still"))
-        return first.unionByName(second).unionByName(third)
-
-    def long_pairs(self, long: DataFrame) -> DataFrame:
-        """Pairs of long lists that the bitmaps allow: ``u, v, apart, pu, pv``.
-
-        Lists that share nodes are taken together, so a pair that meets in many lists is
-        looked at once; blocks of bounded size are compared two at a time.
+        pairs = a.join(b, "sig").filter(f"u < v AND pu <> pv AND 100 * least(nu, nv) >= {self.percent} * greatest(nu, nv)").select("u", "v").distinct()
+        found = found.unionByName(self.verified(stored(self.bounded(pairs), "join-short")))
+        long = lists.filter(F.col("size") > LONG_LIST)
+        return found.unionByName(self.across_lists(long)) if long.take(1) else found
+
+    def across_lists(self, long: DataFrame) -> DataFrame:
+        """Links between the parts of long lists.
+
+        Lists that share nodes are a family, so a pair that meets in many lists is looked
+        at once. Every node outside its family's largest part is compared with all nodes
+        of the family: blocks of nodes against chunks of these outsiders, inside tasks.
         """
-        schema = "u long, v long, apart long, pu long, pv long"
-        if not long.take(1):
-            return long.sparkSession.createDataFrame([], schema)
-        chain = long.withColumn("before", F.lag("node").over(W.partitionBy("sig").orderBy("node"))).filter("before IS NOT NULL").select(F.col("before").alias("u"), F.col("node").alias("v")).distinct()
+        chain = long.filter("before IS NOT NULL").select(F.col("before").alias("u"), F.col("node").alias("v")).distinct()
         family = connected_components(chain).withColumnRenamed("component_id", "family")
-        nodes = long.groupBy("node").agg(F.first("part").alias("part")).join(family, "node")
-        blocks = nodes.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-        dealt = nodes.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(self.nodes.select("node", "n", "bitmap"), "node")
-        dealt = stored(dealt, "join-blocks")
-        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        sent = dealt.withColumn("other", other).select(
-            "family", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"),
-            F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"), "node", "n", "part", "bitmap", F.lit(self.percent).alias("percent"),
+        nodes = stored(long.groupBy("node").agg(F.first("part").alias("part"), F.first("n").alias("n")).join(family, "node"), "join-family")
+        share = nodes.groupBy("family", "part").agg(F.count("*").alias("rows"), F.sum("n").alias("tokens"))
+        blocks = lambda rows, tokens: F.greatest(F.lit(1), F.ceil(F.greatest(rows / BLOCK, tokens / BLOCK_SHINGLES))).cast("int")
+        total = share.groupBy("family").agg(F.sum("rows").alias("rows"), F.sum("tokens").alias("tokens"), F.max(F.struct("rows", "part", "tokens")).alias("top"))
+        plan = stored(
+            total.select(
+                "family", F.col("top.part").alias("main"), blocks(F.col("rows"), F.col("tokens")).alias("blocks"),
+                blocks(F.col("rows") - F.col("top.rows"), F.col("tokens") - F.col("top.tokens")).alias("chunks"),
+            ),
+            "join-plan",
         )
-        return sent.groupBy("family", "b1", "b2").applyInArrow(_block_pairs, schema)
+        dealt = stored(nodes.join(plan, "family").withColumn("h", F.xxhash64("node")), "join-dealt")
+        upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        own = dealt.select(F.col("family").alias("a"), F.pmod("h", "blocks").cast("int").alias("b"), upto("chunks").alias("c"), F.lit(0).alias("side"), "node", "part")
+        outside = dealt.filter("part <> main").select(F.col("family").alias("a"), upto("blocks").alias("b"), F.pmod("h", "chunks").cast("int").alias("c"), F.lit(1).alias("side"), "node", "part")
+        return self.in_blocks(own.unionByName(outside), nodes.count())
 
     def groups(self) -> DataFrame:
         """``doc_id, doc, stamp, n, node, root``: root names the group; null for empty sets."""
@@ -348,7 +447,8 @@ class _Join:
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of each document."""
     grouped = stored(_Join(docs, percent).groups(), "join-groups")
-    least = grouped.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
+    # stored, so that the join's two sides are plain shuffles and a large group can be split
+    least = stored(grouped.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least")), "join-least")
     return grouped.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 U = np.uint64
 #: Texts are taken in runs of about this many bytes (a longer text is its own run).
-RUN_BYTES = 1 << 20
+RUN_BYTES = 1 << 18
 
 #: `[^\x20\x09-\x0D]+`
 SPACE_DELIMS = np.zeros(256, bool)
@@ -46,7 +46,7 @@ _STEP = splitmix(np.arange(1, 65, dtype=U) * U(0xD1B54A32D192ED03)) | U(1)
 
 
 class Powers:
-    """Powers of the hash base and of its inverse, grown on demand."""
+    """Powers of the hash base and of its inverse; those for a very long text aren't kept."""
 
     up = np.ones(1, U)
     down = np.ones(1, U)
@@ -57,7 +57,10 @@ class Powers:
             m = max(n + 1, RUN_BYTES)
             up, down = np.full(m, _BASE, U), np.full(m, _INVERSE, U)
             up[0] = down[0] = 1
-            cls.up, cls.down = np.cumprod(up, dtype=U), np.cumprod(down, dtype=U)
+            up, down = np.cumprod(up, dtype=U), np.cumprod(down, dtype=U)
+            if m > 16 * RUN_BYTES:
+                return up, down
+            cls.up, cls.down = up, down
         return cls.up, cls.down
 
 
