@@ -8,15 +8,17 @@ shingles survives the loss of c - 2 of them, so the prefix is extended until the
 together survive every loss that the similarity allows. (With small sets, all are
 indexed alone.)
 
-Sets that share a signature are candidates. Equal sets are one node from the start. A
-signature's list of nodes is parted into blocks of bounded size; each node is compared,
-inside a task and by exact sets, with its block of its shortest and of its longest list.
-Nodes that these links join need no further comparison. What remains are pairs of nodes
-in different components. Lists of few nodes give pairs, most of which a small bitmap of
-each set rules out (it bounds the symmetric difference from below) before the texts are
-compared. Long lists give no pairs: the nodes outside the largest component are compared
-with all others block by block inside tasks, and a block returns as many links as join
-its nodes, at most one for each. All verification is exact on 64-bit shingle hashes.
+Sets that share a signature are candidates. Equal sets are one node from the start.
+Every node has a small bitmap that bounds the symmetric difference of two sets from below,
+so most candidates are ruled out without their texts. Neighbours in each signature's list
+are verified first, the nearest for each node. In long lists, each node is then compared
+with a block of bounded size of its shortest and of its longest list, inside a task and
+by exact sets. Nodes that links join need no further comparison. What remains are pairs
+of nodes in different components. Lists of few nodes give pairs, which the bitmaps thin
+out before texts are compared. Long lists give no pairs: the nodes outside the largest
+component are compared with all others block by block inside tasks, and a block returns
+as many links as join its nodes, at most one for each. All verification is exact on
+64-bit shingle hashes.
 
 Which shingles count as frequent only affects speed, not results.
 
@@ -357,21 +359,30 @@ class _Join:
         sized = pairs.select("u", "v").join(of("u", "nu", "x"), "u").join(of("v", "nv", "y"), "v").filter(f"100 * least(nu, nv) >= {self.percent} * greatest(nu, nv)")
         return sized.select("u", "v", "nu", "nv", "x", "y").mapInArrow(partial(_bounded, percent=self.percent), "u long, v long, apart long")
 
+    def texts(self, wanted: DataFrame) -> DataFrame:
+        """``node, text`` of the wanted nodes (a column ``node``), each once."""
+        one = stored(self.nodes.join(wanted.select("node").distinct(), "node").select("node", "doc", "stamp"), "join-nodes")
+        thin, maybe = marked(self.rows.select("doc", "stamp", "text"), "stamp", one, "stamp")
+        return stored(thin.filter(maybe).dropDuplicates(["doc", "stamp"]).join(one, ["doc", "stamp"]).select("node", "text"), "join-texts")
+
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The links among the pairs, by the sets of both texts."""
-        right = pairs.select("u", "v").join(self.texts.select(F.col("node").alias("v"), F.col("text").alias("y")), "v")
-        both = right.join(self.texts.select(F.col("node").alias("u"), F.col("text").alias("x")), "u")
+        texts = self.texts(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))))
+        right = pairs.select("u", "v").join(texts.select(F.col("node").alias("v"), F.col("text").alias("y")), "v")
+        both = right.join(texts.select(F.col("node").alias("u"), F.col("text").alias("x")), "u")
         return stored(both.select("u", "v", "x", "y").mapInArrow(partial(_linked, percent=self.percent), "u long, v long"), "join-links")
 
     def in_blocks(self, dealt: DataFrame, rows: int) -> DataFrame:
         """Spanning links of the blocks of ``dealt``: ``a, b, c`` (the block), ``side, node, part``."""
         n = max(shuffle_partitions(dealt.sparkSession), -(-rows // ROWS_OF_A_TASK))
-        with_text = dealt.join(self.texts, "node").select("a", "b", "c", "side", "node", "part", "text")
+        with_text = dealt.join(self.texts(dealt), "node").select("a", "b", "c", "side", "node", "part", "text")
         sorted_blocks = with_text.repartition(n, "a", "b", "c").sortWithinPartitions("a", "b", "c")
         return stored(sorted_blocks.mapInArrow(partial(_linked_blocks, percent=self.percent), "u long, v long"), "join-links")
 
     def inside_lists(self, lists: DataFrame, salt: int) -> DataFrame:
         """Links inside blocks of each node's shortest and longest list."""
+        tokens = stored(lists.groupBy("sig").agg(F.sum("n").alias("tokens")), "join-tokens")
+        lists = stored(lists.join(tokens, "sig"), "join-sized")
         size = F.struct("size", "sig", "tokens")
         ends = lists.groupBy("node").agg(F.min(size).alias("low"), F.max(size).alias("high"))
         chosen = ends.select("node", F.explode(F.array_distinct(F.array("low", "high"))).alias("l")).select("node", "l.*")
@@ -393,17 +404,16 @@ class _Join:
         lists = stored(self.lists(), "join-lists")
         met = self.sets.join(lists.select("node").distinct(), "node")
         self.nodes = stored(met.groupBy("node").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), F.min(F.struct("doc", "stamp")).alias("r")).select("node", "n", "bitmap", "r.doc", "r.stamp"), "join-bitmaps")
-        one = self.nodes.select("node", "doc", "stamp")
-        thin, maybe = marked(self.rows.select("doc", "stamp", "text"), "stamp", one, "stamp")
-        self.texts = stored(thin.filter(maybe).join(one, ["doc", "stamp"]).select("node", "text").dropDuplicates(["node"]), "join-texts")
-        tokens = stored(lists.groupBy("sig").agg(F.sum("n").alias("tokens")), "join-tokens")
-        lists = stored(lists.join(tokens, "sig"), "join-sized")
-        found = self.inside_lists(lists, 0)
+        near = lists.filter("before IS NOT NULL").select(F.col("before").alias("u"), F.col("node").alias("v")).distinct()
+        # one pair per node, its nearest: the others come again below if they still part components
+        nearest = self.bounded(near).groupBy("v").agg(F.min(F.struct("apart", "u")).alias("b"))
+        found = self.verified(stored(nearest.select("b.u", "v"), "join-near"))
         lists = self.parted(lists, found)
-        large = lists.filter((F.col("size") > BLOCK) | (F.col("tokens") > BLOCK_SHINGLES))
-        if large.take(1):  # their blocks are dealt anew, which joins the blocks of the first deal
-            found = stored(found.unionByName(self.inside_lists(large, 1)), "join-links")
-            lists = self.parted(lists.drop("part"), found)
+        for salt in (0, 1):  # blocks that are dealt anew join the blocks of the first deal
+            long = lists.filter(F.col("size") > (BLOCK if salt else LONG_LIST))
+            if long.take(1):
+                found = stored(found.unionByName(self.inside_lists(long, salt)), "join-links")
+                lists = self.parted(lists.drop("part"), found)
         short = lists.filter(F.col("size") <= LONG_LIST)
         a = short.select("sig", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("part").alias("pu"))
         b = short.select("sig", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("part").alias("pv"))
