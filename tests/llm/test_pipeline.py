@@ -2,8 +2,11 @@
 
 from collections import Counter
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from tests.llm.test_small import components, linked_by_shingles
+from tests.llm.test_small import DOCS, components, corpus, linked_by_shingles, prose
 from tilewise.llm import packing, quality_classifier
 from tilewise.llm.shared import stored
 
@@ -28,13 +31,14 @@ def test_stages(spark):
             part = components(range(len(rows)), linked)
             assert sorted(r.doc_id for r in docs.collect()) == sorted({rows[p][0] for p in part.values()})
         if k == 2:
-            n = Counter(t.encode()[i : i + 400] for t in old.values() for i in range(len(t.encode()) - 399))
+            w = corpus_pipeline.PASSAGE
+            n = Counter(t.encode()[i : i + w] for t in old.values() for i in range(len(t.encode()) - w + 1))
             for r in docs.collect():
                 b = old[r.doc_id].encode()
                 gone = bytearray(len(b))
-                for i in range(len(b) - 399):
-                    if n[b[i : i + 400]] > 1:
-                        gone[i : i + 400] = b"\1" * 400
+                for i in range(len(b) - w + 1):
+                    if n[b[i : i + w]] > 1:
+                        gone[i : i + w] = b"\1" * w
                 assert r.text == bytes(c for c, g in zip(b, gone, strict=True) if not g).decode("utf-8", "ignore")
                 assert r.n_chars == len(r.text)
         if k == 3:
@@ -44,5 +48,33 @@ def test_stages(spark):
             assert docs.agg({"length": "sum"}).first()[0] == sum(len(packing.encode(r.text, packing.public_tokenizers.path("byte_bpe_50k.json"))) // 4 + 1 for r in before.collect())
 
 
+def test_passages_of_over_50_words_are_cut(spark):
+    """Passages of 51 words and more that stand in several documents go, and nothing else."""
+    passages = [prose(900 + k, 51 + k) for k in range(4)]
+    rows = [(k, prose(k, 120) + "\n" + passages[k % 4] + "\n" + prose(100 + k, 120), "en", "a", 0) for k in range(12)]
+    rows += [(50 + k, prose(500 + k, 150), "en", "a", 0) for k in range(5)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {r.doc_id: r.text for r in corpus_pipeline.cut_repeats(spark, docs, SF).collect()}
+    for i, text, *_ in rows:
+        if i < 50:
+            assert not any(p[3:-3] in got[i] for p in passages) and len(text) - len(got[i]) <= len(passages[i % 4]) + 4
+        else:
+            assert got[i] == text
+
+
+@pytest.mark.parametrize("rows", ["cases", "none"])
+def test_all_stages_on_odd_tables(spark, tmp_path, rows, request):
+    """Nulls, blank and long texts, repeated rows and ids, clashing columns; and no rows at all."""
+    d = spark.createDataFrame(corpus() + [corpus()[3]] * 3 + [(None, prose(11, 100), None, None, None), (None, None, None, None, None)] if rows == "cases" else [], DOCS)
+    names = ["row", "stamp", "key", "node", "size", "bits", "start", "spans", "bin", "label", "m_id", "n_copies"]
+    d.withColumns({c: F.lit("extra") for c in names}).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    first = docs.columns
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = stored(stage(spark, docs, str(tmp_path)), "stage")
+        assert k == 4 or docs.columns == first
+    assert (docs.count() > 0) == (rows == "cases")
+
+
 def test_run_is_all_stages(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0

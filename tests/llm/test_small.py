@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tilewise.llm import embedding_dedup, license_scan, mixing, ngram_join, packing, quality_classifier, quality_rules, suffix_dedup, token_counts, warc
+from tilewise.llm import embedding_dedup, license_scan, mixing, ngram_join, packing, quality_classifier, quality_rules, suffix_dedup, suffix_kernel, token_counts, warc
 from tilewise.llm import textkernel as tk
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omikron pi rho sigma tau upsilon phi chi psi omega".split()
@@ -202,7 +202,10 @@ def test_mixed_documents_with_repeated_ids(spark):
     assert all(target <= got[s] < target + 20 for s, target in (("a", 200), ("b", 400), ("c", 600)))
 
 
-def test_suffix_dedup(docs, none):
+@pytest.mark.parametrize("range_rows", [100_000, 2])
+def test_suffix_dedup(docs, none, monkeypatch, range_rows):
+    monkeypatch.setattr(suffix_dedup, "RANGE_ROWS", range_rows)
+    monkeypatch.setattr(suffix_dedup, "SAMPLED", 2)
     want = []
     raw = [(i, x.encode()) for i, x in texts(docs)]
     n = Counter(b[k : k + 400] for _, b in raw for k in range(len(b) - 399))
@@ -221,6 +224,40 @@ def test_suffix_dedup(docs, none):
     assert cut.columns == docs.columns and cut.count() == docs.count()
 
 
+def test_suffix_levels_merge_geometrically(spark, monkeypatch):
+    """Batches one by one: equal levels are merged, and a scan or merge moves no row."""
+    written, plans = [], []
+    write = suffix_dedup._Levels.written
+
+    def counted(self, run):
+        name = write(self, run)
+        written.append(spark.table(name).count())
+        return name
+
+    def scanned(self, new, level, plain=suffix_dedup._Levels.scanned):
+        found = plain(self, new, level)
+        plans.append((level is not None, found._jdf.queryExecution().executedPlan().toString()))
+        return found
+
+    monkeypatch.setattr(suffix_dedup._Levels, "written", counted)
+    monkeypatch.setattr(suffix_dedup._Levels, "scanned", scanned)
+    docs = spark.createDataFrame([(i, prose(i, 200)) for i in range(64)], "doc_id long, text string")
+    assert suffix_dedup.remove_repeats(docs, 8).filter("n_removed > 0").count() == 0
+    assert sum(n for n, _ in plans) == 0 + 1 + 1 + 2 + 1 + 2 + 2 + 3 and len(plans) == 12 + 8
+    assert not any("Exchange" in p for _, p in plans)
+    assert len(written) == 8 + 7 and max(written) == sum(written) // 4  # each suffix is written four times: once new, thrice merged
+
+
+def test_suffix_heads_sort_as_bytes():
+    rng = np.random.default_rng(1)
+    data = rng.integers(0, 256, 500).astype(np.uint8)
+    at = np.arange(480)
+    head, tail = suffix_kernel.heads(data, at)
+    want = sorted(at, key=lambda k: data[k : k + 16].tobytes())
+    assert sorted(at, key=lambda k: (head[k], tail[k])) == want
+    assert list(np.argsort(suffix_dedup._sort_keys([head, tail, 0 * head, 0 * head]))) == want
+
+
 def test_suffix_dedup_hot_grams(docs, monkeypatch):
     plain = suffix_dedup.remove_repeats(docs).drop("kept_text").collect()
     monkeypatch.setattr(suffix_dedup, "HOT_KINDS", 1)

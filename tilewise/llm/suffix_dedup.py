@@ -1,129 +1,242 @@
-"""Exact removal of long repeated byte strings with a logarithmic family of suffix indexes.
-
-Documents come in batches. Each batch gets a sorted index of its sampled suffixes (see
-``suffix_kernel``); the index is scanned together with the existing levels, in key order,
-for suffixes that meet an equal one, and is then added as a level. Levels of equal size
-are merged, so their sizes grow geometrically and a suffix is rewritten a logarithmic
-number of times.
-
-Suffixes are ordered by the hash of their first GRAM bytes and then of all bytes of the
-strings they stand for, instead of by the bytes themselves: equal strings are adjacent in
-either order, and the entries stay small. Where all bytes agree, all strings of the
-suffix repeat. Where only the gram agrees, the bytes of one suffix of each kind are read
-again and their strings compared one by one, which finds the exact edges of a repeat.
-
-Strings are compared by two independent-by-range 64-bit hashes, not byte by byte.
-
-Defined cases: null text is empty; texts shorter than LENGTH bytes hold no string and stay
-as they are; repeated rows are documents of their own (all their strings repeat); null ids
-are carried; extra columns are ignored; an empty table gives an empty result.
+"""Exact removal of long repeated byte strings with a logarithmic family of suffix arrays.
+
+Documents come in batches. Each batch gets a suffix array of its sampled suffixes (see
+``suffix_kernel``): a run sorted by the bytes of the suffixes. The run is merge-scanned
+with the run of each existing level: suffixes that agree are neighbours in byte order.
+Then it is added as a level. Levels of equal size are merged, so their sizes grow
+geometrically and a suffix is rewritten a logarithmic number of times.
+
+A row of a run holds the suffix's first 16 bytes, by which runs are ordered; suffixes that
+agree in them stand together, ordered by hashes of their first gram and of all bytes of
+the strings they stand for, so that equal ones are adjacent. Equal rows of a run are
+folded to one with their number. Runs are cut into ranges of that order, at borders that
+all levels share, and stored in buckets by range: a scan or a merge reads a range of two
+runs side by side and moves no row between executors. The borders come from a sample of
+SAMPLED suffixes for each range and decide nothing but the balance; they may cut through
+suffixes that share a gram, so a very frequent gram is spread over many ranges.
+
+Where all bytes of two neighbours agree, all strings of the suffix repeat. Where only the
+gram agrees, the bytes of one suffix of each kind are read again from the texts and their
+strings compared one by one, which finds the exact edges of a repeat.
+
+Strings are compared by two independent 64-bit hashes, not byte by byte.
+
+Defined cases: null text is empty; texts shorter than ``length`` bytes hold no string and
+stay as they are; a very long text is its own run of the kernel, which takes about a
+hundred bytes per byte of it; repeated rows are documents of their own (all their strings
+repeat); null ids are carried; extra columns are ignored; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from tilewise.llm import textkernel as tk
 from tilewise.llm.narrowing import marked
-from tilewise.llm.shared import doc_key, doc_stamp, named, shuffle_partitions, stored
+from tilewise.llm.shared import doc_key, doc_stamp, named, new_path, shuffle_partitions, stored
 from tilewise.llm.suffix_kernel import LENGTH, suffixes
 
 BATCHES = 4
-#: A gram with more kinds of surroundings than this is compared by a shuffle of string hashes.
+#: A gram with more kinds of surroundings, or more bytes of them, is compared by a shuffle of string hashes.
 HOT_KINDS = 2000
+HOT_BYTES = 2 << 20
+#: Bytes of snippets that a task compares at once, about.
+COMPARED_BYTES = 1 << 19
+SUFFIX = ("head", "tail", "gram", "mark")
+#: Suffixes of a range, about, and suffixes sampled for its border.
+RANGE_ROWS = 100_000
+SAMPLED = 32
 
 
-def folded(text: np.ndarray, start: np.ndarray, count: np.ndarray, key: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, ...]:
+def folded(text: np.ndarray, start: np.ndarray, count: np.ndarray, head: np.ndarray, tail: np.ndarray, gram: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, ...]:
     """Adds ``n``: equal suffixes that follow each other in a text become one entry of n.
 
     Periodic texts would else send one entry for each period to the same place.
     """
     if not len(text):
-        return text, start, count, key, mark, count
+        return text, start, count, head, tail, gram, mark, count
     new = np.ones(len(text), bool)
-    new[1:] = (text[1:] != text[:-1]) | (key[1:] != key[:-1]) | (mark[1:] != mark[:-1]) | (start[1:] != start[:-1] + count[:-1])
+    new[1:] = (text[1:] != text[:-1]) | (gram[1:] != gram[:-1]) | (mark[1:] != mark[:-1]) | (start[1:] != start[:-1] + count[:-1])
     at = np.nonzero(new)[0]
-    return text[at], start[at], np.add.reduceat(count, at), key[at], mark[at], np.diff(np.append(at, len(text)))
+    return text[at], start[at], np.add.reduceat(count, at), head[at], tail[at], gram[at], mark[at], np.diff(np.append(at, len(text)))
+
+
+ENTRY = ("doc", "stamp", "start", "count", *SUFFIX, "n")
 
 
-def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _entries(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         data, offsets = tk.texts_of(b.column(2))
         doc, stamp = np.asarray(b.column(0)), np.asarray(b.column(1))
         for i, _, d, o in tk.runs(data, offsets):
-            text, start, count, key, mark, n = folded(*suffixes(d, o))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[text + i], stamp[text + i], start, count, key, mark, n)], ["doc", "stamp", "start", "count", "key", "mark", "n"])
+            text, *rest = folded(*suffixes(d, o, length))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[text + i], stamp[text + i], *rest)], list(ENTRY))
 
 
-def _scan(new: DataFrame, levels: list[DataFrame]) -> DataFrame:
-    """Merge-scan: kinds of suffixes that repeat, or that share a gram with another kind.
+RUN = ", ".join(f"{c} long" for c in (*SUFFIX, "n")) + ", range long"
+HIT = ", ".join(f"{c} long" for c in SUFFIX) + ", repeated boolean, contested boolean"
+
+
+def _sort_keys(columns: list[np.ndarray]) -> np.ndarray:
+    """One byte string for each row that sorts as its columns do."""
+    flipped = [np.asarray(c).astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63) for c in columns]
+    return np.ascontiguousarray(np.stack(flipped, axis=1).astype(">u8")).view("S32").reshape(-1)
+
+
+def _ranged(batches: Iterator[pa.RecordBatch], borders: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Adds the range of each suffix."""
+    for b in batches:
+        keys = _sort_keys([b.column(k) for k in range(4)])
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.searchsorted(borders, keys, "right"))], [*SUFFIX, "n", "range"])
 
-    ``new`` and the levels are runs of ``key, mark, n``, brought together in key order.
-    """
-    rows = new.withColumn("fresh", F.lit(1))
-    for level in levels:
-        rows = rows.unionByName(level.withColumn("fresh", F.lit(0)))
-    met = rows.repartition(shuffle_partitions(new.sparkSession), "key").groupBy("key", "mark").agg(F.sum("n").alias("n"), F.max("fresh").alias("fresh"))
-    gram = W.partitionBy("key")
-    seen = met.withColumn("kinds", F.count("*").over(gram)).withColumn("touched", F.max("fresh").over(gram))
-    repeated = (F.col("n") > 1) & (F.col("fresh") == 1)
-    contested = (F.col("kinds") > 1) & (F.col("touched") == 1)
-    return seen.select("key", "mark", repeated.alias("repeated"), F.when(contested, F.col("kinds")).otherwise(0).alias("kinds")).filter("repeated OR kinds > 0")
 
+def _in_order(runs: list[pa.Table]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """The rows of sorted runs merged: SUFFIX columns, n, number of the run, and starts of equal rows."""
+    columns = [np.concatenate([np.asarray(t.column(c)) for t in runs]) for c in (*SUFFIX, "n")]
+    run = np.repeat(np.arange(len(runs)), [t.num_rows for t in runs])
+    order = np.lexsort(columns[3::-1])
+    *suffix, n = (c[order] for c in columns)
+    new = np.ones(len(n), bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in suffix], axis=0)
+    return suffix, n, run[order], np.nonzero(new)[0]
 
-def _run(rows: DataFrame) -> DataFrame:
-    """A sorted run: one row per kind of suffix."""
-    return stored(rows.groupBy("key", "mark").agg(F.sum("n").cast("long").alias("n")).sortWithinPartitions("key", "mark"), "suffix-level")
+
+def _merged_run(old: pa.Table, new: pa.Table) -> pa.Table:
+    """One run of two, for one range."""
+    suffix, n, _, at = _in_order([old, new])
+    first = (old if old.num_rows else new).column("range")[0].as_py()
+    columns = [c[at] for c in suffix] + [np.add.reduceat(n, at), np.full(len(at), first)]
+    return pa.table(dict(zip((*SUFFIX, "n", "range"), columns, strict=True)))
+
+
+def _merge_scan(new: pa.Table, old: pa.Table, cut: np.ndarray) -> pa.Table:
+    """Kinds of suffixes that repeat, or that share a gram with another kind, one of them new.
+
+    ``cut``: grams through which borders run; all their kinds count as sharing them.
+    """
+    suffix, n, run, at = _in_order([new, old])
+    head, tail, gram, mark = (c[at] for c in suffix)
+    total, fresh = np.add.reduceat(n, at), np.minimum.reduceat(run, at) == 0
+    first = np.ones(len(at), bool)
+    first[1:] = (gram[1:] != gram[:-1]) | (head[1:] != head[:-1]) | (tail[1:] != tail[:-1])
+    group = np.cumsum(first) - 1
+    kinds = np.bincount(group)
+    touched = np.bincount(group, fresh) > 0
+    repeated = fresh & (total > 1)
+    contested = touched[group] & ((kinds[group] > 1) | np.isin(gram, cut))
+    hit = repeated | contested
+    return pa.table({"head": head[hit], "tail": tail[hit], "gram": gram[hit], "mark": mark[hit], "repeated": repeated[hit], "contested": contested[hit]})
+
+
+class _Levels:
+    """The family of suffix arrays: tables in buckets by range, each range sorted by SUFFIX."""
+
+    def __init__(self, entries: DataFrame):
+        self.spark = entries.sparkSession
+        ranges = -(-entries.count() // RANGE_ROWS)
+        self.buckets = max(1, min(ranges, 8 * shuffle_partitions(self.spark)))
+        sample = entries.select(*SUFFIX).orderBy(F.xxhash64("doc", "stamp", "start")).limit(SAMPLED * ranges).collect()
+        keys = np.sort(_sort_keys(np.array(sample, np.int64).reshape(-1, 4).T))
+        self.borders = np.unique(keys[SAMPLED::SAMPLED])
+        self.cut = (self.borders.view(">u8").reshape(-1, 4)[:, 2].astype(np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
+        self.tables: list[str] = []
+
+    def written(self, run: DataFrame) -> str:
+        name = f"suffix_array_{uuid.uuid4().hex}"
+        run.write.format("parquet").bucketBy(self.buckets, "range").sortBy("range", *SUFFIX).option("path", new_path(self.spark, "suffix-array")).saveAsTable(name)
+        self.tables.append(name)
+        return name
+
+    def ranges(self, name: str) -> GroupedData:
+        return self.spark.table(name).groupBy("range")
+
+    def suffix_array(self, entries: DataFrame) -> str:
+        """The sorted run of a batch: a row for each kind of suffix, with their number."""
+        kinds = entries.groupBy(*SUFFIX).agg(F.sum("n").alias("n")).mapInArrow(partial(_ranged, borders=self.borders), RUN)
+        return self.written(kinds.repartition(self.buckets, "range"))
+
+    def merged(self, old: str, new: str) -> str:
+        return self.written(self.ranges(old).cogroup(self.ranges(new)).applyInArrow(_merged_run, RUN))
+
+    def scanned(self, new: str, level: str | None) -> DataFrame:
+        """The hits of a new run in a level, or in itself."""
+        cut = self.cut
+
+        def alone(run: pa.Table) -> pa.Table:
+            return _merge_scan(run, run.slice(0, 0), cut)
+
+        def beside(run: pa.Table, old: pa.Table) -> pa.Table:
+            return _merge_scan(run, old, cut)
+
+        if level is None:
+            return self.ranges(new).applyInArrow(alone, HIT)
+        return self.ranges(new).cogroup(self.ranges(level)).applyInArrow(beside, HIT)
+
+    def drop(self) -> None:
+        for name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def index_batches(entries: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """``key, mark, repeated, kinds`` over all batches of ``entries``."""
-    levels: list[tuple[int, DataFrame]] = []
-    found = None
+    """``head, tail, gram, mark, repeated, contested`` over all batches of ``entries``."""
+    family = _Levels(entries)
+    levels: list[tuple[int, str]] = []
+    hits = []
     for k in range(batches):
-        batch = entries.filter(F.pmod(F.xxhash64("doc", "stamp"), F.lit(batches)) == k).select("key", "mark", "n")
-        new = _run(batch)
-        hits = stored(_scan(new, [level for _, level in levels]), "suffix-hits")
-        found = hits if found is None else found.unionByName(hits)
+        new = family.suffix_array(entries.filter(F.pmod(F.xxhash64("doc", "stamp"), F.lit(batches)) == k).select(*SUFFIX, "n"))
+        scans = [family.scanned(new, level) for level in [None, *(name for _, name in levels)]]
+        hits.append(stored(reduce(DataFrame.unionByName, scans), "suffix-hits"))
         size = 1
         while levels and levels[-1][0] == size:
-            _, level = levels.pop()
-            new, size = _run(level.unionByName(new)), 2 * size
+            new, size = family.merged(levels.pop()[1], new), 2 * size
         levels.append((size, new))
-    return found.groupBy("key", "mark").agg(F.max("repeated").alias("repeated"), F.max("kinds").alias("kinds"))
+    family.drop()
+    return reduce(DataFrame.unionByName, hits).groupBy(*SUFFIX).agg(F.max("repeated").alias("repeated"), F.max("contested").alias("contested"))
+
 
+SNIPPET = "doc long, stamp long, gram long, start long, bytes binary"
 
-def _snippets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _snippets(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """The bytes of the wanted suffixes of each document."""
+    out: list[tuple] = []
+    size = 0
+
+    def rows() -> pa.RecordBatch:
+        cols = list(zip(*out, strict=True)) or [[]] * 5
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.binary())], ["doc", "stamp", "gram", "start", "bytes"])
+
     for b in batches:
         data, offsets = tk.texts_of(b.column(2))
-        out: list[tuple] = []
         for k, (doc, stamp, wanted) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True)):
             for w in wanted:
                 at = offsets[k] + w["start"]
-                out.append((doc, stamp, w["key"], w["kinds"], w["start"], data[at : at + w["count"] - 1 + LENGTH].tobytes()))
-        cols = list(zip(*out, strict=True)) or [[]] * 6
-        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.binary())], ["doc", "stamp", "key", "kinds", "start", "bytes"])
+                out.append((doc, stamp, w["gram"], w["start"], data[at : at + w["count"] - 1 + length].tobytes()))
+                size += len(out[-1][4])
+            if size > COMPARED_BYTES:
+                yield rows()
+                out, size = [], 0
+    yield rows()
 
 
-def _strings(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, place in it, hash) of every string of LENGTH bytes of the rows' bytes."""
-    data, offsets = tk.texts_of(table.column("bytes"))
+def _strings(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place in it, hash) of every string of ``length`` bytes of the rows' bytes."""
     prefix = tk.prefix_hash(data)
-    count = np.diff(offsets) - LENGTH + 1
+    count = np.diff(offsets) - length + 1
     row = np.repeat(np.arange(len(count)), count)
     place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
     at = offsets[row] + place
-    return row, place, tk.span_hash(prefix, at, at + LENGTH)
+    return row, place, tk.span_hash(prefix, at, at + length)
 
 
 def _runs_of(row: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -138,42 +251,73 @@ def _runs_of(row: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray
 SPANS = "doc long, stamp long, first long, stop long"
 
 
-def _compared(table: pa.Table) -> pa.Table:
-    """Spans of the strings that occur in two of a gram's kinds (one gram's rows)."""
-    row, place, h = _strings(table)
-    _, same, n = np.unique(h, return_inverse=True, return_counts=True)
-    hit = n[same] > 1
-    row, first, last = _runs_of(row[hit], place[hit])
-    start = np.asarray(table.column("start"))[row]
-    return pa.table({"doc": np.asarray(table.column("doc"))[row], "stamp": np.asarray(table.column("stamp"))[row], "first": start + first, "stop": start + last + LENGTH})
+def _compared(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Spans of the strings that occur in two kinds of a gram; the rows come sorted by gram."""
+    held: list[pa.RecordBatch] = []
+    size = 0
 
+    def spans(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(rows)
+        data, offsets = tk.texts_of(t.column("bytes"))
+        row, place, h = _strings(data, offsets, length)
+        gram = np.asarray(t.column("gram"))[row].astype(tk.U)
+        _, same, n = np.unique(tk.splitmix(h ^ tk.splitmix(gram)), return_inverse=True, return_counts=True)
+        hit = n[same] > 1
+        row, first, last = _runs_of(row[hit], place[hit])
+        start = np.asarray(t.column("start"))[row]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (np.asarray(t.column("doc"))[row], np.asarray(t.column("stamp"))[row], start + first, start + last + length)], ["doc", "stamp", "first", "stop"])
 
-def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    last = None
+    for b in batches:
+        gram = np.asarray(b.column(2))
+        cut = [0, *(np.nonzero(gram[1:] != gram[:-1])[0] + 1).tolist(), b.num_rows]
+        for i, j in zip(cut, cut[1:], strict=False):
+            if i == j:
+                continue
+            if size > COMPARED_BYTES and gram[i] != last:  # whole grams only
+                yield spans(held)
+                held, size = [], 0
+            held.append(b.slice(i, j - i))
+            size += sum(map(len, b.column(4).slice(i, j - i).to_pylist()))
+            last = gram[i]
+    if held:
+        yield spans(held)
+
+
+def _hashed(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for at in range(0, b.num_rows, 500):
-            t = pa.Table.from_batches([b.slice(at, 500)])
-            row, place, h = _strings(t)
-            start = np.asarray(t.column("start"))[row] + place
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.asarray(t.column("doc"))[row], np.asarray(t.column("stamp"))[row], start, np.asarray(t.column("key"))[row], h.astype(np.int64))], ["doc", "stamp", "start", "key", "hash"])
+        data, offsets = tk.texts_of(b.column(4))
+        for i, _, d, o in tk.runs(data, offsets, COMPARED_BYTES):
+            row, place, h = _strings(d, o, length)
+            of = lambda k: np.asarray(b.column(k))[row + i]  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (of(0), of(1), of(3) + place, of(2), h.astype(np.int64))], ["doc", "stamp", "start", "gram", "hash"])
 
 
-def repeated_spans(rows: DataFrame, batches: int = BATCHES) -> DataFrame:
+def repeated_spans(rows: DataFrame, batches: int = BATCHES, length: int = LENGTH) -> DataFrame:
     """``doc, stamp, first, stop``: byte spans covered by repeated strings; they may overlap."""
-    entries = stored(rows.select("doc", "stamp", "text").mapInArrow(_entries, "doc long, stamp long, start long, count long, key long, mark long, n long"), "suffixes")
+    at = partial(_entries, length=length)
+    entries = stored(rows.select("doc", "stamp", "text").mapInArrow(at, ", ".join(f"{c} long" for c in ENTRY)), "suffixes")
     # stored, so that the join's two sides are plain shuffles and a frequent suffix can be split
     kinds = stored(index_batches(entries, batches), "suffix-kinds")
-    met = stored(entries.join(kinds, ["key", "mark"]), "suffix-met")
-    whole = met.filter("repeated").select("doc", "stamp", F.col("start").alias("first"), (F.col("start") + F.col("count") - 1 + LENGTH).alias("stop"))
-    one = met.filter("kinds > 0").groupBy("key", "mark").agg(F.min(F.struct("doc", "stamp", "start", "count", "kinds")).alias("e")).select("key", "e.*")
-    wanted = stored(one.groupBy("doc", "stamp").agg(F.collect_list(F.struct("key", "kinds", "start", "count")).alias("wanted")), "suffix-wanted")
+    met = stored(entries.join(kinds, list(SUFFIX)), "suffix-met")
+    whole = met.filter("repeated").select("doc", "stamp", F.col("start").alias("first"), (F.col("start") + F.col("count") - 1 + length).alias("stop"))
+    one = stored(met.filter("contested").groupBy(*SUFFIX).agg(F.min(F.struct("doc", "stamp", "start", "count")).alias("e")).select("gram", "e.*"), "suffix-one")
+    hot = stored(one.groupBy("gram").agg(F.count("*").alias("kinds"), F.sum(F.col("count") + length).alias("bytes")).filter((F.col("kinds") > HOT_KINDS) | (F.col("bytes") > HOT_BYTES)).select("gram"), "suffix-hot")
+    wanted = stored(one.groupBy("doc", "stamp").agg(F.collect_list(F.struct("gram", "start", "count")).alias("wanted")), "suffix-wanted")
     thin, maybe = marked(rows, "stamp", wanted, "stamp")
     bytes_of = thin.filter(maybe).select("doc", "stamp", "text").dropDuplicates(["doc", "stamp"]).join(wanted, ["doc", "stamp"])
-    snippets = stored(bytes_of.select("doc", "stamp", "text", "wanted").mapInArrow(_snippets, "doc long, stamp long, key long, kinds long, start long, bytes binary"), "suffix-bytes")
-    few = snippets.filter(F.col("kinds") <= HOT_KINDS).groupBy("key").applyInArrow(_compared, SPANS)
-    hashes = snippets.filter(F.col("kinds") > HOT_KINDS).mapInArrow(_hashed, "doc long, stamp long, start long, key long, hash long")
-    twice = hashes.groupBy("key", "hash").agg(F.count("*").alias("n")).filter("n > 1")
-    many = hashes.join(twice, ["key", "hash"]).select("doc", "stamp", F.col("start").alias("first"), (F.col("start") + LENGTH).alias("stop"))
-    return whole.unionByName(few).unionByName(many)
+    snippets = stored(bytes_of.select("doc", "stamp", "text", "wanted").mapInArrow(partial(_snippets, length=length), SNIPPET), "suffix-bytes")
+    n = shuffle_partitions(rows.sparkSession)
+    grouped = snippets.join(hot, "gram", "left_anti").select("doc", "stamp", "gram", "start", "bytes").repartition(n, "gram").sortWithinPartitions("gram")
+    few = grouped.mapInArrow(partial(_compared, length=length), SPANS)
+    spans = whole.unionByName(few)
+    if not hot.take(1):
+        return spans
+    hot_bytes = snippets.join(hot, "gram").select("doc", "stamp", "gram", "start", "bytes")
+    hashes = stored(hot_bytes.mapInArrow(partial(_hashed, length=length), "doc long, stamp long, start long, gram long, hash long"), "suffix-strings")
+    twice = stored(hashes.groupBy("gram", "hash").agg(F.count("*").alias("n")).filter("n > 1"), "suffix-twice")
+    many = hashes.join(twice, ["gram", "hash"]).select("doc", "stamp", F.col("start").alias("first"), (F.col("start") + length).alias("stop"))
+    return spans.unionByName(many)
 
 
 def covered(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -214,7 +358,7 @@ def _cut_texts(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[
         yield pa.RecordBatch.from_arrays([text if k == at else b.column(k) for k in range(len(names))], names)
 
 
-def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
+def remove_repeats(docs: DataFrame, batches: int = BATCHES, length: int = LENGTH) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text`` of each document.
 
     ``kept_text`` holds the remaining bytes as text; halves of a character that a cut
@@ -222,7 +366,7 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     was removed: the text stays as it is.
     """
     rows = named(docs)
-    spans = stored(repeated_spans(rows, batches).groupBy("doc", "stamp").agg(F.collect_set(F.struct("first", "stop")).alias("spans")), "suffix-spans")
+    spans = stored(repeated_spans(rows, batches, length).groupBy("doc", "stamp").agg(F.collect_set(F.struct("first", "stop")).alias("spans")), "suffix-spans")
     thin, maybe = marked(rows, "stamp", spans, "stamp")
     intact = lambda d: d.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), F.lit(None).cast("string").alias("kept_text"))
     joined = thin.filter(maybe).join(spans, ["doc", "stamp"], "left")
@@ -230,10 +374,10 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     return intact(thin.filter(~maybe)).unionByName(cut)
 
 
-def without_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
+def without_repeats(docs: DataFrame, batches: int = BATCHES, length: int = LENGTH) -> DataFrame:
     """The documents, all columns, with repeated strings cut from their texts."""
     rows = docs.withColumn("__stamp", doc_stamp()).withColumn("__doc", doc_key())
-    spans = stored(repeated_spans(named(docs), batches).groupBy("doc", "stamp").agg(F.collect_set(F.struct("first", "stop")).alias("spans")), "suffix-spans")
+    spans = stored(repeated_spans(named(docs), batches, length).groupBy("doc", "stamp").agg(F.collect_set(F.struct("first", "stop")).alias("spans")), "suffix-spans")
     thin, maybe = marked(rows, "__stamp", spans, "stamp")
     s = spans.select(F.col("doc").alias("__doc"), F.col("stamp").alias("__stamp"), F.col("spans").alias("__spans"))
     joined = thin.filter(maybe).join(s, ["__doc", "__stamp"], "left")
