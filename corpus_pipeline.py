@@ -2,12 +2,19 @@
 
 1. quality classifier: documents that it rejects go.
 2. n-gram Jaccard join: one document of each group of near copies stays.
-3. suffix-array dedup: byte strings that stand elsewhere too are cut from the texts.
+3. suffix-array dedup: strings of PASSAGE bytes that stand elsewhere too are cut from the
+   texts.
 4. mixing: sources are taken to their target weights, in whole documents; a document
    appears as often as the mix takes it.
 5. best-fit packing: the tokenised documents are packed into sequences.
 
 All but the last return the columns of ``documents``; the last returns the pieces.
+
+Defined cases: null and blank texts are judged by the classifier like others, the later
+stages keep them as they are; null sources are a source of their own; documents that
+repeat an id are documents of their own, and equal texts are one group of near copies, of
+which one row stays; very long texts are treated whole; an empty table goes through all
+stages and gives no pieces; extra columns, whatever their names, stay until the last stage.
 """
 
 from __future__ import annotations
@@ -19,6 +26,11 @@ from tilewise.llm import mixing, ngram_join, packing, quality_classifier, suffix
 from tilewise.llm.shared import new_path
 
 
+#: Bytes of a passage that must not repeat: passages of over 50 words are longer, unless
+#: their words have fewer than three letters on average.
+PASSAGE = 200
+
+
 def _with_length(docs: DataFrame) -> DataFrame:
     """``n_chars`` follows the text where the table has it."""
     if "n_chars" not in docs.columns:
@@ -36,7 +48,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _with_length(suffix_dedup.without_repeats(docs)).select(*docs.columns)
+    return _with_length(suffix_dedup.without_repeats(docs, length=PASSAGE)).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
