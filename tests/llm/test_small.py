@@ -12,6 +12,7 @@ from tokenizers import Tokenizer
 
 from tilewise.llm import embedding_dedup, license_scan, mixing, ngram_join, packing, quality_classifier, quality_rules, suffix_dedup, suffix_kernel, token_counts, warc
 from tilewise.llm import textkernel as tk
+from tilewise.llm.shared import new_path
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omikron pi rho sigma tau upsilon phi chi psi omega".split()
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -128,7 +129,7 @@ def test_quality_rules(docs, none):
 def test_token_counts_and_cache(spark, docs, none):
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     want = [(i, len(x.encode()), len(t.encode(x, add_special_tokens=False).ids), len(t.encode(x, add_special_tokens=False).ids) > 2048) for i, x in texts(docs)]
-    cache = token_counts.new_path(spark, "cache-test")
+    cache = new_path(spark, "cache-test")
     for _ in range(2):
         same(token_counts.token_counts(docs, cache=cache).collect(), want)
         stored = spark.read.parquet(cache)
@@ -136,6 +137,26 @@ def test_token_counts_and_cache(spark, docs, none):
     assert token_counts.token_counts(none).count() == 0
 
 
+def test_counts_by_word_equal_the_library():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    assert token_counts.splits_at_space(path) and not token_counts.splits_at_space(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = np.random.default_rng(5)
+    pieces = ["don't", "'s", "it's.", "we'll,", "end.", "x..", "?!", "...", ".", "A1b2", "12.5", "é", "naïve,", "Ünder", "a-b", "e.g.", "U.S.", "\u00a0", "ŉ", "w'd", "d'", "\n", "\t"]
+    made = ["".join(rng.choice([*pieces, *WORDS, " ", " "], rng.integers(0, 12))) for _ in range(3000)]
+    assert token_counts.count_tokens(made, path) == [len(t.encode(x, add_special_tokens=False).ids) for x in made]
+
+
+def test_a_later_call_encodes_new_texts_only(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, prose(i, 30)) for i in range(20)], "doc_id long, text string")
+    more = docs.union(spark.createDataFrame([(99, "a new text")], docs.schema))
+    want = sorted(tuple(r) for r in token_counts.token_counts(more).collect())
+    cache = f"{token_counts.shared_dir(spark)}/token-cache-{token_counts.version_digest(public_tokenizers.path('word_bpe_49k.json'))}"
+    before = spark.read.parquet(cache).count()
+    assert sorted(tuple(r) for r in token_counts.token_counts(docs).collect()) == [r for r in want if r[0] != 99]
+    assert spark.read.parquet(cache).count() == before
+
+
 def test_packing(docs, none):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     got = packing.pack(docs).toPandas()
@@ -206,19 +227,27 @@ def test_mixed_documents_with_repeated_ids(spark):
 def test_suffix_dedup(docs, none, monkeypatch, range_rows):
     monkeypatch.setattr(suffix_dedup, "RANGE_ROWS", range_rows)
     monkeypatch.setattr(suffix_dedup, "SAMPLED", 2)
-    want = []
+    want, short = [], []
     raw = [(i, x.encode()) for i, x in texts(docs)]
-    n = Counter(b[k : k + 400] for _, b in raw for k in range(len(b) - 399))
-    for i, b in raw:
-        gone = bytearray(len(b))
-        for k in range(len(b) - 399):
-            if n[b[k : k + 400]] > 1:
-                gone[k : k + 400] = b"\1" * 400
+
+    def repeated(w):
+        n = Counter(b[k : k + w] for _, b in raw for k in range(len(b) - w + 1))
+        for _, b in raw:
+            gone = bytearray(len(b))
+            for k in range(len(b) - w + 1):
+                if n[b[k : k + w]] > 1:
+                    gone[k : k + w] = b"\1" * w
+            yield gone
+
+    for (i, b), gone, passage in zip(raw, repeated(400), repeated(200), strict=True):
+        short.append((i, sum(passage)))
         runs = sum(1 for k in range(len(b)) if gone[k] and (not k or not gone[k - 1]))
         want.append((i, len(b), sum(gone), runs, hashlib.sha256(bytes(c for c, g in zip(b, gone, strict=True) if not g)).hexdigest()))
     assert sum(w[2] for w in want) > 5000
     for batches in (1, 3):
-        same(suffix_dedup.remove_repeats(docs, batches).drop("kept_text").collect(), want)
+        got = suffix_dedup.remove_repeats(docs, batches)
+        same(got.drop("kept_text", "n_passage_bytes").collect(), want)
+        same(got.select("doc_id", "n_passage_bytes").collect(), short)
     assert suffix_dedup.remove_repeats(none).count() == 0
     cut = suffix_dedup.without_repeats(docs)
     assert cut.columns == docs.columns and cut.count() == docs.count()
@@ -243,9 +272,9 @@ def test_suffix_levels_merge_geometrically(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup._Levels, "scanned", scanned)
     docs = spark.createDataFrame([(i, prose(i, 200)) for i in range(64)], "doc_id long, text string")
     assert suffix_dedup.remove_repeats(docs, 8).filter("n_removed > 0").count() == 0
-    assert sum(n for n, _ in plans) == 0 + 1 + 1 + 2 + 1 + 2 + 2 + 3 and len(plans) == 12 + 8
+    assert sum(n for n, _ in plans) == 2 * (0 + 1 + 1 + 2 + 1 + 2 + 2 + 3) and len(plans) == 2 * (12 + 8)  # for both lengths
     assert not any("Exchange" in p for _, p in plans)
-    assert len(written) == 8 + 7 and max(written) == sum(written) // 4  # each suffix is written four times: once new, thrice merged
+    assert len(written) == 2 * (8 + 7) and max(written[:15]) == sum(written[:15]) // 4  # each suffix is written four times: once new, thrice merged
 
 
 def test_suffix_heads_sort_as_bytes():

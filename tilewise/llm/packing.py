@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilewise.llm.shared import pick, stored
-from tilewise.llm.token_counts import PLAIN, specials, tokenizer
+from tilewise.llm.token_counts import LETTERS, PLAIN, STOPS, specials, tokenizer
 
 CAPACITY = 2048
 #: Pieces that one task packs at once.
@@ -43,21 +43,6 @@ PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^
 
 #: White space other than single spaces and single line ends: its parts depend on what follows.
 UNEVEN = re.compile(r" [ \n]|[\t\r]|\n[ \n]| $")
-#: Signs that are a part of their own after a letter and before white space.
-STOPS = frozenset(".,;:!?")
-
-
-def byte_letters() -> dict[str, str]:
-    """The letter that byte-level tokenizers write for each byte: printable bytes stand for
-    themselves, the others are numbered on from 256."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    hidden = [b for b in range(256) if b not in shown]
-    return {chr(b): chr(b) for b in shown} | {chr(b): chr(256 + k) for k, b in enumerate(hidden)}
-
-
-LETTERS = str.maketrans(byte_letters())
-
-
 class _Memo(dict):
     """Ids of the words met so far, each with ``before`` in front of it; a new word is
     encoded by the library's model."""

@@ -47,6 +47,9 @@ from tilewise.llm.shared import doc_key, doc_stamp, named, new_path, shuffle_par
 from tilewise.llm.suffix_kernel import LENGTH, suffixes
 
 BATCHES = 4
+#: Bytes of a repeating passage that is reported: passages of over 50 words are longer,
+#: unless their words have fewer than three letters on average.
+PASSAGE = 200
 #: A gram with more kinds of surroundings, or more bytes of them, is compared by a shuffle of string hashes.
 HOT_KINDS = 2000
 HOT_BYTES = 2 << 20
@@ -332,19 +335,24 @@ def covered(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each document without its covered bytes."""
+    """Each document without its covered bytes; a fourth column has spans that are only measured."""
     for b in batches:
         data, offsets = tk.texts_of(b.column(1))
+        passages = b.column(3).to_pylist() if b.num_columns > 3 else [None] * b.num_rows
         out: list[tuple] = []
         for k, spans in enumerate(b.column(2).to_pylist()):
             raw = data[offsets[k] : offsets[k + 1]].tobytes()
             gone = covered([(s["first"], s["stop"]) for s in spans or []])
             edges = [0, *(x for pair in gone for x in pair), len(raw)]
             rest = b"".join(raw[a:e] for a, e in zip(edges[::2], edges[1::2], strict=True))
-            out.append((len(raw), len(raw) - len(rest), len(gone), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore")))
-        cols = list(zip(*out, strict=True)) or [[]] * 5
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
+            shared = sum(e - a for a, e in covered([(s["first"], s["stop"]) for s in passages[k] or []]))
+            out.append((len(raw), len(raw) - len(rest), len(gone), hashlib.sha256(rest).hexdigest(), shared, rest.decode("utf-8", "ignore")))
+        cols = list(zip(*out, strict=True)) or [[]] * 6
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()]
+        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], CUT)
+
+
+CUT = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes", "kept_text"]
 
 
 def _cut_texts(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
@@ -352,26 +360,34 @@ def _cut_texts(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[
     at = names.index("text")
     for b in batches:
         spans = b.column(b.num_columns - 1)
-        rest = next(_cut(iter([pa.RecordBatch.from_arrays([b.column(at), b.column(at), spans], ["doc_id", "text", "spans"])]))).column(5)
+        rest = next(_cut(iter([pa.RecordBatch.from_arrays([b.column(at), b.column(at), spans], ["doc_id", "text", "spans"])]))).column(6)
         has = pa.array([bool(x) for x in spans.to_pylist()], pa.bool_())
         text = pc.if_else(has, rest, b.column(at).cast(pa.string()))
         yield pa.RecordBatch.from_arrays([text if k == at else b.column(k) for k in range(len(names))], names)
 
 
-def remove_repeats(docs: DataFrame, batches: int = BATCHES, length: int = LENGTH) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text`` of each document.
+def remove_repeats(docs: DataFrame, batches: int = BATCHES, length: int = LENGTH, passage: int = PASSAGE) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage_bytes, kept_text`` of each document.
 
+    ``n_passage_bytes`` counts the bytes covered by strings of ``passage`` bytes that also
+    start elsewhere: passages that repeat, but may be too short to be removed.
     ``kept_text`` holds the remaining bytes as text; halves of a character that a cut
     leaves behind are dropped from it (not from the digest). It is null where nothing
-    was removed: the text stays as it is.
+    repeats: the text stays as it is.
     """
     rows = named(docs)
-    spans = stored(repeated_spans(rows, batches, length).groupBy("doc", "stamp").agg(F.collect_set(F.struct("first", "stop")).alias("spans")), "suffix-spans")
+    both = repeated_spans(rows, batches, length).withColumn("short", F.lit(False)).unionByName(repeated_spans(rows, batches, passage).withColumn("short", F.lit(True)))
+    span = F.struct("first", "stop")
+    spans = stored(both.groupBy("doc", "stamp").agg(F.collect_set(F.when(~F.col("short"), span)).alias("spans"), F.collect_set(F.when(F.col("short"), span)).alias("passages")), "suffix-spans")
     thin, maybe = marked(rows, "stamp", spans, "stamp")
-    intact = lambda d: d.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), F.lit(None).cast("string").alias("kept_text"))
+    zero = F.lit(0).cast("long")
+    intact = thin.filter(~maybe).select(
+        "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), zero.alias("n_passage_bytes"), F.lit(None).cast("string").alias("kept_text"),
+    )
     joined = thin.filter(maybe).join(spans, ["doc", "stamp"], "left")
-    cut = joined.select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
-    return intact(thin.filter(~maybe)).unionByName(cut)
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_bytes long, kept_text string"
+    return intact.unionByName(joined.select("doc_id", "text", "spans", "passages").mapInArrow(_cut, schema))
 
 
 def without_repeats(docs: DataFrame, batches: int = BATCHES, length: int = LENGTH) -> DataFrame:

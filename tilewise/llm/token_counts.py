@@ -5,12 +5,15 @@ Digests are joined to a stored table of counts; each distinct missing digest is
 encoded once and appended to that table, which later calls find by the same path.
 
 Defined cases: null text counts as empty (0 tokens); repeated rows each get a row;
-null ids are carried; extra columns are ignored; empty tables give empty results.
+null ids are carried; extra columns are ignored; empty tables give empty results; a
+very long text is encoded whole. Runs that fill a cache at the same time may both append
+a digest; readers take one of the (equal) counts.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache, partial
@@ -22,12 +25,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tilewise.llm.shared import new_path, pick, stored
+from tilewise.llm.shared import pick, shared_dir, stored
 
 #: Characters on which lower-casing, NFC and the letter classes agree everywhere.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-įı-ňŊ-ž]*")
 #: Distinct words whose counts a Python worker remembers.
 MEMO_WORDS = 400_000
+#: Signs that are a part of their own after a letter at the end of a word.
+STOPS = frozenset(".,;:!?")
+
+
+def byte_letters() -> dict[str, str]:
+    """The letter that byte-level tokenizers write for each byte: printable bytes stand for
+    themselves, the others are numbered on from 256."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): chr(b) for b in shown} | {chr(b): chr(256 + k) for k, b in enumerate(hidden)}
+
+
+LETTERS = str.maketrans(byte_letters())
 
 
 @lru_cache(maxsize=4)
@@ -50,14 +66,47 @@ def version_digest(path: str) -> str:
         return hashlib.sha256(f.read()).hexdigest()
 
 
-@lru_cache(maxsize=4)
-def _memo(path: str) -> dict[str, int]:
-    return {}
+#: The normalizer and pre-tokenizer of tokenizers that may be counted by words.
+BY_WORD_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+BY_WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+@lru_cache(maxsize=4)
 def splits_at_space(path: str) -> bool:
-    """Whether words parted by white space are encoded apart from each other."""
-    return tokenizer(path).encode("a b\n c", add_special_tokens=False).ids == [i for w in "abc" for i in tokenizer(path).encode(w, add_special_tokens=False).ids]
+    """Whether words parted by white space are encoded apart from each other.
+
+    The tokenizer's own description says so; any other tokenizer encodes whole texts.
+    """
+    d = json.loads(tokenizer(path).to_str())
+    steps = (d["pre_tokenizer"] or {}).get("pretokenizers", [])
+    split = [s.get("pattern", {}).get("Regex") for s in steps if s["type"] == "Split" and s.get("behavior") == "Removed" and s.get("invert")]
+    bytewise = [s for s in steps if s["type"] == "ByteLevel" and not s["add_prefix_space"] and not s["use_regex"]]
+    return d["normalizer"] == BY_WORD_NORMALIZER and split == [BY_WORD_SPLIT] and len(steps) == 2 and len(bytewise) == 1
+
+
+class _Memo(dict):
+    """Token counts of the words met so far; a new word is encoded by the library."""
+
+    def __init__(self, path: str):
+        super().__init__()
+        self.t = tokenizer(path)
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= MEMO_WORDS:
+            self.clear()
+        if word.isalpha():  # one part, for which the model alone is asked
+            n = len(self.t.model.tokenize(word.encode().decode("latin-1").translate(LETTERS)))
+        elif word[-1] in STOPS and word[:-1].isalpha():
+            n = self[word[:-1]] + self[word[-1]]
+        else:
+            n = len(self.t.encode(word, add_special_tokens=False).ids)
+        self[word] = n
+        return n
+
+
+@lru_cache(maxsize=4)
+def _memo(path: str) -> _Memo:
+    return _Memo(path)
 
 
 def count_tokens(texts: list[str], path: str) -> list[int]:
@@ -67,27 +116,14 @@ def count_tokens(texts: list[str], path: str) -> list[int]:
     strings is the sum of its words, and each distinct word is encoded by the library
     once; any other text is encoded whole.
     """
-    t, memo, marks = tokenizer(path), _memo(path), specials(path)
+    t, count, marks = tokenizer(path), _memo(path).__getitem__, specials(path)
     by_word = splits_at_space(path)
-    out = [0] * len(texts)
-    whole = []
-    for k, text in enumerate(texts):
-        if not by_word or any(m in text for m in marks) or not PLAIN.fullmatch(text):
-            whole.append(k)
-            continue
-        words = text.lower().split()
-        try:
-            out[k] = sum(map(memo.__getitem__, words))
-        except KeyError:
-            new = [w for w in dict.fromkeys(words) if w not in memo]
-            if len(memo) + len(new) > MEMO_WORDS:
-                memo.clear()
-                new = list(dict.fromkeys(words))
-            memo.update(zip(new, (len(e.ids) for e in t.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-            out[k] = sum(map(memo.__getitem__, words))
-    for k in whole:
-        out[k] = len(t.encode(texts[k], add_special_tokens=False).ids)
-    return out
+    return [
+        sum(map(count, text.lower().split()))
+        if by_word and not any(m in text for m in marks) and PLAIN.fullmatch(text)
+        else len(t.encode(text, add_special_tokens=False).ids)
+        for text in texts
+    ]
 
 
 def content_digest(text: str, path: str) -> bytes:
@@ -153,12 +189,12 @@ def fill_cache(docs: DataFrame, cache: str, path: str) -> None:
 def token_counts(docs: DataFrame, path: str | None = None, cache: str | None = None, limit: int = 2048) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` of each document.
 
-    ``cache``: Parquet folder of counts, kept between calls; by default a new one in
-    the shared folder.
+    ``cache``: Parquet folder of counts, kept between calls; by default the folder of
+    this tokenizer file in the shared folder, so a later call encodes new texts only.
     """
     spark = docs.sparkSession
     path = path or public_tokenizers.path("word_bpe_49k.json")
-    cache = cache or new_path(spark, "token-cache")
+    cache = cache or f"{shared_dir(spark)}/token-cache-{version_digest(path)}"
     fill_cache(docs, cache, path)
     digests = pick(docs, "doc_id", "text").mapInArrow(partial(_digests, path=path), "doc_id long, digest binary, n_bytes long")
     # stored, so that the join's two sides are plain shuffles and a frequent digest can be split
