@@ -310,3 +310,39 @@ def test_all_tiles_have_their_pixels(spark):
     assert len(got) == images * 9 * 16 and not got.duplicated(["image", "tile_id", "ty", "tx"]).any()
     out = ((got.tile_id >= 6) & (got.ty == 3)) | ((got.tile_id % 3 == 2) & (got.tx == 3))
     assert (got.z[out] == 0).all() and (got.z[~out] == got.v[~out]).all()
+
+
+def test_manifest_labels_paths_and_splits(spark, tmp_path):
+    lines = [
+        '{"filename": "a.png", "split": "train", "clsname": "\\tc\\n", "label": 0.0}',
+        '{"filename": "b.png", "split": "train", "clsname": "c", "label": 0.5}',
+        '{"filename": "c.png", "split": "train", "clsname": "c", "label": 0, "foreground": "x/../../y.png"}',
+        '{"filename": "d.png", "split": "train", "clsname": "c", "label": "0"}',
+        '{"filename": "e.png", "split": "train", "clsname": "c", "label": 0, "mask": "/m.png"}',
+        '{"filename": "f.png", "split": "train", "clsname": "c", "label": 0, "mask": "", "roi": [0, 0, 8, 8]}',
+    ]
+    (tmp_path / "m.jsonl").write_text("\n".join(lines) + "\n")
+    read = manifest.read_lines(spark, str(tmp_path / "m.jsonl"))
+    assert [(r.ordinal, r.value) for r in read.orderBy("ordinal").collect()] == list(enumerate(lines))
+    parsed = manifest.parse(read)
+    got = {(r.ordinal, r.rule) for r in manifest.all_faults(parsed).collect()}
+    bad = "not normal and mask-free"
+    assert got == {(1, "label is neither 0 nor 1"), (1, bad), (2, "foreground: outside the root"), (3, "label is not a number"), (3, bad), (4, "mask: absolute path"), (4, bad)}
+    clean = manifest.clean(parsed)
+    assert {(r.ordinal, r.label, r.clsname) for r in manifest.training_set(clean, "/r").collect()} == {(0, 0, "c"), (5, 0, "c")}
+    sizes = spark.createDataFrame([(5, 8, 7), (0, 1, 1)], "ordinal long, width int, height int")
+    assert [tuple(r) for r in manifest.roi_outside(clean, sizes).collect()] == [(5, "roi exceeds the image")]
+    manifest.write_splits(manifest.unified(clean), str(tmp_path / "out"))
+    assert spark.read.text(str(tmp_path / "out/split=train")).count() == 2 and spark.read.text(str(tmp_path / "out/split=test")).count() == 0
+
+
+def test_mask_table(spark, tmp_path):
+    cells = spark.createDataFrame([("a", y, x, y == x) for y in range(3) for x in range(4)], "name string, y int, x int, is_anomalous boolean")
+    decide.write_masks(decide.mask_rows(cells, ["name"]), str(tmp_path / "masks"))
+    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "masks")).collect()) == [("a", 0, "1000"), ("a", 1, "0100"), ("a", 2, "0010")]
+
+
+def test_a_tile_score_must_be_finite(spark):
+    rows = spark.createDataFrame([("a", 0.5), ("a", float("nan"))], "image string, score double")
+    with pytest.raises(Exception, match="not finite"):
+        features.image_scores(rows, ["image"]).collect()

@@ -42,6 +42,17 @@ def prediction_json(predictions: DataFrame) -> DataFrame:
     return predictions.select("ordinal", F.concat(F.lit("{"), F.array_join(F.array(*fixed, *extra), ","), F.lit("}")).alias("value"))
 
 
+def mask_rows(decided: DataFrame, keys: list[str], value: str = "is_anomalous") -> DataFrame:
+    """``y, bits`` of each mask: a string of 0 and 1 for each row of pixels, from the left."""
+    bit = F.struct("x", F.when(F.col(value), "1").otherwise("0").alias("b"))
+    return decided.groupBy(*keys, "y").agg(F.array_join(F.transform(F.array_sort(F.collect_list(bit)), lambda s: s["b"]), "").alias("bits"))
+
+
+def write_masks(masks: DataFrame, path: str) -> None:
+    """The mask table: one row for each mask and row of pixels; masks of any size stay spread."""
+    masks.write.mode("overwrite").parquet(path)
+
+
 def write_predictions(predictions: DataFrame, path: str) -> None:
     """JSON lines in manifest order."""
     prediction_json(predictions).orderBy("ordinal").select("value").write.mode("overwrite").text(path)

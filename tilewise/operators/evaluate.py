@@ -64,6 +64,15 @@ def pixel_pairs(pred: DataFrame, truth: DataFrame) -> DataFrame:
     return pred.join(t, ["image", "y", "x"], "left").select("image", "clsname", "y", "x", "pred", F.coalesce("gt", F.lit(0)).alias("gt"))
 
 
+def shape_faults(pred: DataFrame, truth: DataFrame) -> DataFrame:
+    """``image, pred_size, truth_size`` of images whose mask has another size than their map.
+
+    An image without a mask has none to compare; its truth is all zero.
+    """
+    size = lambda t, name: t.groupBy("image").agg(F.concat_ws("x", F.max("x") + 1, F.max("y") + 1).alias(name))
+    return size(pred, "pred_size").join(size(truth, "truth_size"), "image").filter("pred_size <> truth_size")
+
+
 def label_or_mask(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """``image, label``: the given label, else whether its mask has any pixel."""
     seen = pairs.groupBy("image").agg(F.max("gt").alias("seen"))
@@ -78,7 +87,7 @@ def pixel_histogram(pairs: DataFrame, bins: int = BINS, key: str = "clsname") ->
     bounds = pairs.groupBy(key).agg(F.min("pred").alias("lo"), F.max("pred").alias("hi"))
     scale = (F.lit(float(bins)).cast("float") / (F.col("hi") - F.col("lo")).cast("float")).cast("float")
     raw = ((F.col("pred") - F.col("lo")).cast("float") * scale).cast("float").cast("bigint")
-    binned = pairs.join(F.broadcast(bounds), key).withColumn("bin", F.when(F.col("hi") > F.col("lo"), F.least(F.greatest(raw, F.lit(0)), F.lit(bins - 1))).otherwise(F.lit(bins - 1)).cast("bigint"))
+    binned = pairs.join(bounds, key).withColumn("bin", F.when(F.col("hi") > F.col("lo"), F.least(F.greatest(raw, F.lit(0)), F.lit(bins - 1))).otherwise(F.lit(bins - 1)).cast("bigint"))
     return binned.groupBy(key, "lo", "hi", "bin").agg(F.count_if(F.col("gt") == 1).alias("pos"), F.count_if(F.col("gt") == 0).alias("neg"))
 
 

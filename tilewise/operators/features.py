@@ -33,8 +33,12 @@ def top_k_mean(distances: DataFrame, keys: list[str], k: int, order: str = "toke
 
 
 def image_scores(tile_scores: DataFrame, keys: list[str]) -> DataFrame:
-    """The largest tile or thumbnail score of each image, as a 32-bit float."""
-    return tile_scores.groupBy(*keys).agg(F.max("score").cast("float").alias("score"))
+    """The largest tile or thumbnail score of each image, as a 32-bit float.
+
+    A score that is null, NaN or infinite fails the job: it would win or vanish silently.
+    """
+    sound = F.when(F.col("score").isNotNull() & is_finite(F.col("score")), F.col("score")).otherwise(F.raise_error(F.lit("a tile score is not finite")).cast("double"))
+    return tile_scores.groupBy(*keys).agg(F.max(sound).cast("float").alias("score"))
 
 
 def not_finite(rows: DataFrame, column: str) -> DataFrame:

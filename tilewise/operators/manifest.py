@@ -8,14 +8,33 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 IMAGE_CATEGORY = "default"
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """``ordinal, value`` of a manifest file, blank lines included."""
-    lines = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1], x[0][0]))
-    return spark.createDataFrame(lines, "ordinal long, value string")
+    # an id holds its partition and the place there; the counts of earlier partitions are added
+    lines = spark.read.text(path).withColumn("id", F.monotonically_increasing_id())
+    part, place = F.shiftright("id", 33), F.col("id").bitwiseAND(F.lit((1 << 33) - 1))
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # one row per file partition
+    counts = lines.groupBy(part.alias("part")).agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return lines.join(counts, part == counts["part"]).select((F.col("start") + place).alias("ordinal"), "value")
+
+
+def is_number(variant_type: Column) -> Column:
+    return variant_type.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+
+
+def whole(number: Column) -> Column:
+    """The number if it is a whole one: 1.0 is 1, 0.5 is null."""
+    return F.when((number == F.floor(number)) & (F.abs(number) < 2**31), number.cast("int"))
+
+
+def stripped(text: str | Column) -> Column:
+    """Without white space of any kind at its ends."""
+    return F.btrim(text, F.lit(" \t\n\r\x0b\x0c"))
 
 
 def parse(lines: DataFrame) -> DataFrame:
@@ -26,7 +45,7 @@ def parse(lines: DataFrame) -> DataFrame:
     # a one-row generator keeps the optimizer from copying the parse into every field
     v = lines.select("ordinal", "value", F.explode(F.array(F.try_parse_json("value"))).alias("v"))
     kind = (
-        F.when(F.trim("value") == "", "blank")
+        F.when(stripped("value") == "", "blank")
         .when(F.col("v").isNull(), "invalid")
         .when(F.schema_of_variant("v").startswith("OBJECT"), "record")
         .otherwise("not an object")
@@ -37,7 +56,7 @@ def parse(lines: DataFrame) -> DataFrame:
     fields = typed.select(
         "ordinal", "value", "kind", *[text(k) for k in ("filename", "split", "clsname", "label_name", "mask", "foreground")],
         type_of("label").alias("label_type"),
-        F.when(type_of("label") == "BIGINT", F.try_variant_get("v", "$.label", "int")).alias("label"),
+        F.when(is_number(type_of("label")), whole(F.try_variant_get("v", "$.label", "double"))).alias("label"),
         type_of("roi").alias("roi_type"),
         F.when(type_of("roi") == "ARRAY<BIGINT>", F.try_variant_get("v", "$.roi", "array<int>")).alias("roi"),
     )
@@ -68,6 +87,19 @@ def path_fault(column: str) -> Column:
     return F.when(p.isNull() | (F.trim(p) == ""), "empty path").when(p.startswith("/"), "absolute path").when((F.size(parts) == 0) | (F.get(parts, F.lit(0)) == ".."), "outside the root")
 
 
+def aux_fault(field: str) -> Column:
+    """Why an auxiliary path, where there is one, is not inside the root."""
+    return F.when(F.coalesce(F.col(field), F.lit("")) != "", F.concat(F.lit(f"{field}: "), path_fault(field)))
+
+
+def roi_outside(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Records whose own ROI exceeds their image (``ordinal, width, height``): ``ordinal, rule``."""
+    right = F.get("roi", F.lit(0)).cast("long") + F.get("roi", F.lit(2))
+    bottom = F.get("roi", F.lit(1)).cast("long") + F.get("roi", F.lit(3))
+    both = rows.filter("roi IS NOT NULL").join(sizes.select("ordinal", "width", "height"), "ordinal")
+    return both.filter((right > F.col("width")) | (bottom > F.col("height"))).select("ordinal", F.lit("roi exceeds the image").alias("rule"))
+
+
 def roi_fault() -> Column:
     """null, or four whole numbers with x, y >= 0 and w, h > 0."""
     r, t = F.col("roi"), F.col("roi_type")
@@ -76,13 +108,13 @@ def roi_fault() -> Column:
 
 
 def category_fault() -> Column:
-    c = F.trim("clsname")
+    c = stripped("clsname")
     return F.when(c.isNull() | (c == ""), "blank category").when(c.isin(".", "..") | c.rlike(r"[/\\]"), "category is not one path component")
 
 
 def label_fault() -> Column:
     t = F.col("label_type")
-    return F.when(t.isNull() | (t == "VOID"), F.lit(None).cast("string")).when(F.coalesce(t != "BIGINT", F.lit(True)), "label is not a number").when(~F.col("label").isin(0, 1), "label is neither 0 nor 1")
+    return F.when(t.isNull() | (t == "VOID"), F.lit(None).cast("string")).when(~F.coalesce(is_number(t), F.lit(False)), "label is not a number").when(~F.coalesce(F.col("label").isin(0, 1), F.lit(False)), "label is neither 0 nor 1")
 
 
 def split_fault() -> Column:
@@ -108,7 +140,7 @@ def faults(rows: DataFrame, fault: Column) -> DataFrame:
 def all_faults(parsed: DataFrame) -> DataFrame:
     """Every broken rule of every line."""
     rec = records(parsed)
-    rules = F.array(path_fault("filename"), roi_fault(), category_fault(), split_fault(), label_fault(), F.when(F.col("split") == "train", normal_fault()))
+    rules = F.array(path_fault("filename"), roi_fault(), category_fault(), split_fault(), label_fault(), F.when(F.col("split") == "train", normal_fault()), aux_fault("mask"), aux_fault("foreground"))
     return scan_faults(parsed).unionByName(rec.select("ordinal", F.explode(F.array_compact(rules)).alias("rule")))
 
 
@@ -125,7 +157,7 @@ def clean(parsed: DataFrame) -> DataFrame:
 
 def output_path() -> Column:
     """``images/{split}/{clsname}/{path}``."""
-    return F.concat_ws("/", F.lit("images"), F.col("split"), F.trim("clsname"), F.array_join(folded(F.col("filename")), "/"))
+    return F.concat_ws("/", F.lit("images"), F.col("split"), stripped("clsname"), F.array_join(folded(F.col("filename")), "/"))
 
 
 def aux_path(field: str) -> Column:
@@ -137,24 +169,26 @@ def aux_path(field: str) -> Column:
 
 def unified(rows: DataFrame) -> DataFrame:
     """Records as both splits' manifests hold them."""
-    return rows.select("ordinal", "split", output_path().alias("filename"), aux_path("foreground").alias("foreground"), aux_path("mask").alias("mask"), F.trim("clsname").alias("clsname"), "label", "label_name")
+    return rows.select("ordinal", "split", output_path().alias("filename"), aux_path("foreground").alias("foreground"), aux_path("mask").alias("mask"), stripped("clsname").alias("clsname"), "label", "label_name")
 
 
 def write_splits(rows: DataFrame, path: str) -> None:
-    """JSON lines partitioned by split; nulls are written."""
-    rows.sort("ordinal").drop("ordinal").write.mode("errorifexists").option("ignoreNullFields", "false").partitionBy("split").json(path)
+    """JSON lines in a folder for each split, also for one without rows; nulls are written."""
+    for split in ("train", "test"):
+        part = rows.filter(F.col("split") == split).sort("ordinal").drop("ordinal", "split")
+        part.write.mode("errorifexists").option("ignoreNullFields", "false").json(f"{path}/split={split}")
 
 
 def training_set(rows: DataFrame, root: str) -> DataFrame:
     """Normal training records with resolved paths."""
     train = rows.filter("split = 'train'")
-    return train.select("ordinal", F.concat_ws("/", F.lit(root), "filename").alias("image_path"), F.trim("clsname").alias("clsname"), "label", F.when(F.coalesce("foreground", F.lit("")) != "", F.concat_ws("/", F.lit(root), "foreground")).alias("foreground"))
+    return train.select("ordinal", F.concat_ws("/", F.lit(root), "filename").alias("image_path"), stripped("clsname").alias("clsname"), "label", F.when(F.coalesce("foreground", F.lit("")) != "", F.concat_ws("/", F.lit(root), "foreground")).alias("foreground"))
 
 
 def test_set(rows: DataFrame, root: str) -> DataFrame:
     test = rows.filter("split = 'test'")
     joined = lambda c: F.when(F.coalesce(c, F.lit("")) != "", F.concat_ws("/", F.lit(root), c)).alias(c)
-    name = F.coalesce(F.nullif(F.trim("clsname"), F.lit("")), F.lit(IMAGE_CATEGORY))
+    name = F.coalesce(F.nullif(stripped("clsname"), F.lit("")), F.lit(IMAGE_CATEGORY))
     return test.select("ordinal", F.concat_ws("/", F.lit(root), "filename").alias("image_path"), name.alias("clsname"), "label", joined("mask"), joined("foreground"))
 
 
@@ -163,7 +197,7 @@ def summary(rows: DataFrame) -> DataFrame:
     return rows.agg(
         F.count_if(F.col("split") == "train").alias("n_train"),
         F.count_if(F.col("split") == "test").alias("n_test"),
-        F.array_join(F.array_sort(F.collect_set(F.trim("clsname"))), ",").alias("categories"),
+        F.array_join(F.array_sort(F.collect_set(stripped("clsname"))), ",").alias("categories"),
         F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("width", "height"))), lambda s: F.concat_ws("x", s["width"].cast("string"), s["height"].cast("string"))), ",").alias("sizes"),
     )
 
@@ -174,14 +208,16 @@ def duplicate_paths(rows: DataFrame, path: str = "filename") -> DataFrame:
 
 
 def missing_files(rows: DataFrame, present: DataFrame, path: str = "filename") -> DataFrame:
-    """Records whose file is not among ``present`` (column ``path``)."""
-    return rows.select("ordinal", F.col(path).alias("path")).join(present.select("path"), "path", "left_anti")
+    """Records whose file is not among ``present`` (column ``path``); ones without a file need none."""
+    named = rows.select("ordinal", F.col(path).alias("path"))
+    wanted = named if path == "filename" else named.filter("coalesce(path, '') <> ''")
+    return wanted.join(present.select("path"), "path", "left_anti")
 
 
 def sample_faults(rows: DataFrame) -> DataFrame:
     """Inference samples need a category and paths of their own."""
     twice = rows.groupBy("filename").agg(F.count("*").alias("n")).filter("n > 1").select("filename")
-    blank = rows.filter(F.coalesce(F.trim("clsname"), F.lit("")) == "").select("ordinal", F.lit("blank category").alias("rule"))
+    blank = rows.filter(F.coalesce(stripped("clsname"), F.lit("")) == "").select("ordinal", F.lit("blank category").alias("rule"))
     return blank.unionByName(rows.join(twice, "filename", "left_semi").select("ordinal", F.lit("path occurs twice").alias("rule")))
 
 
@@ -194,15 +230,16 @@ def misaligned(samples: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def archive_path(name: str = "name", category: str = "clsname") -> Column:
-    """Place of an image in its archive, told by its name from the right.
+    """Place of an image in its archive, told by its base name from the right.
 
-    Faulty images: category/label/defect/S{sample}/name; good ones: category/label/S{sample}/name.
+    Faulty images: category/label/defect/S{sample}/base; good ones: category/label/S{sample}/base.
     """
-    parts = F.split(F.element_at(F.split(F.col(name), "/"), -1), "_")
+    base = F.element_at(F.split(F.col(name), "/"), -1)
+    parts = F.split(base, "_")
     of = lambda k: F.try_element_at(parts, F.lit(k))
-    faulty = F.concat_ws("/", F.col(category), of(-4), of(-3), F.concat(F.lit("S"), of(-5)), F.col(name))
-    good = F.concat_ws("/", F.col(category), of(-3), F.concat(F.lit("S"), of(-4)), F.col(name))
-    return F.when(F.contains(F.col(name), F.lit("NG")), faulty).otherwise(good)
+    faulty = F.concat_ws("/", F.col(category), of(-4), of(-3), F.concat(F.lit("S"), of(-5)), base)
+    good = F.concat_ws("/", F.col(category), of(-3), F.concat(F.lit("S"), of(-4)), base)
+    return F.when(F.contains(base, F.lit("NG")), faulty).otherwise(good)
 
 
 def content_key(*columns: str) -> Column:

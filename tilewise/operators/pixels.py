@@ -20,6 +20,15 @@ def crop(cells: DataFrame, roi: tuple[int, int, int, int]) -> DataFrame:
     return inside.withColumn("x", F.col("x") - x).withColumn("y", F.col("y") - y)
 
 
+def crop_own(cells: DataFrame, rois: DataFrame) -> DataFrame:
+    """Each image's pixels inside its own ROI (``image, roi``: x, y, w, h); without one, all of them."""
+    at = lambda k: F.get("roi", F.lit(k))
+    joined = cells.join(rois.select("image", "roi"), "image", "left")
+    inside = F.col("x").between(at(0), at(0) + at(2) - 1) & F.col("y").between(at(1), at(1) + at(3) - 1)
+    moved = joined.filter(F.col("roi").isNull() | inside)
+    return moved.withColumn("x", F.col("x") - F.coalesce(at(0), F.lit(0))).withColumn("y", F.col("y") - F.coalesce(at(1), F.lit(0))).select(*cells.columns)
+
+
 def binarise(cells: DataFrame, high: int = 255) -> DataFrame:
     return cells.withColumn("v", F.when(F.col("v") != 0, high).otherwise(0))
 

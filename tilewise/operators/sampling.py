@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tilewise.sources.storage import stored
+
 
 def fair_sample(tiles: DataFrame, source: str, tile: str, per_epoch: int, epoch: int, seed: str = "s") -> DataFrame:
     """min(n, per_epoch) tiles of every source; epochs walk through all tiles before any repeats.
@@ -23,7 +25,14 @@ def fair_sample(tiles: DataFrame, source: str, tile: str, per_epoch: int, epoch:
 def round_robin(items: DataFrame, order: str, buckets: int, within: str | None = None) -> DataFrame:
     """Adds ``bucket``: items in order are dealt to the buckets in turn.
 
-    With ``within`` each group is dealt apart, and no single task sees all rows.
+    With ``within`` each group is dealt apart. Without, rows are sorted by ranges and counted
+    inside their range, after the counts of the ranges before: no task sees all rows.
     """
-    by = W.partitionBy(within) if within else W.partitionBy()
-    return items.withColumn("bucket", F.pmod(F.row_number().over(by.orderBy(order)) - 1, F.lit(buckets)))
+    if within:
+        return items.withColumn("bucket", F.pmod(F.row_number().over(W.partitionBy(within).orderBy(order)) - 1, F.lit(buckets)))
+    ranged = stored(items.repartitionByRange(order).withColumn("__range", F.spark_partition_id()), "round-robin")
+    before = W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)  # one row per range
+    starts = ranged.groupBy("__range").agg(F.count("*").alias("n")).select("__range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
+    place = F.row_number().over(W.partitionBy("__range").orderBy(order)) - 1
+    placed = ranged.withColumn("__place", place).join(starts, "__range")
+    return placed.withColumn("bucket", F.pmod(F.col("__start") + F.col("__place"), F.lit(buckets))).drop("__range", "__start", "__place")

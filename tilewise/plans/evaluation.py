@@ -82,6 +82,12 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.pixel_pairs(g.select("image", "clsname", "y", "x", "pred"), g.filter("image % 5 <> 0").select("image", "y", "x", "gt"))
 
 
+def shape_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 7th mask lacks its last row."""
+    g = tables.grid(spark, sf_dir)
+    return evaluate.shape_faults(g, g.filter("image % 5 <> 0 AND (image % 7 <> 0 OR y < 7)"))
+
+
 def pixel_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fifth image has no mask: its truth is all zero."""
     return _pairs(spark, sf_dir).groupBy("image", "clsname").agg(F.sum("gt").alias("n_true"), F.count("*").alias("n"))
@@ -176,7 +182,7 @@ def display_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        roc_curve, image_auroc, image_threshold, metrics_by_category, metric_report, annotation_gates, pixel_pairs, label_fallback, pixel_histogram,
+        roc_curve, image_auroc, image_threshold, metrics_by_category, metric_report, annotation_gates, shape_faults, pixel_pairs, label_fallback, pixel_histogram,
         pixel_curve, pixel_ap, pixel_f1, pixel_histogram_full, pixel_curve_full, pixel_ap_full, pixel_f1_full, mask_regions, pro, pixel_decisions, anomaly_pixels, display_scale,
     )
 }
@@ -191,6 +197,7 @@ SQL = {
     "metrics_by_category": _with(LBL, CURVE) + f"SELECT clsname, round(image_auroc, 6) AS image_auroc, image_threshold, n_images FROM (SELECT clsname, count(*)::BIGINT AS n_images FROM lbl GROUP BY clsname) LEFT JOIN ({AUROC}) USING (clsname) LEFT JOIN ({YOUDEN}) USING (clsname)",
     "metric_report": _with(LBL, CURVE, f"m AS (SELECT * FROM ({AUROC}) JOIN ({YOUDEN}) USING (clsname))") + "SELECT clsname, round(image_auroc, 6) AS image_auroc, image_threshold FROM m UNION ALL SELECT 'mean', round(avg(image_auroc), 6), NULL FROM m",
     "annotation_gates": _with(LBL) + " UNION ALL ".join(_GATE.format(by=b, key=k, mask=m) for b, k, m in (("lang", "clsname", "true"), ("source", "source", "true"), ("no masks", "clsname", "false"))),
+    "shape_faults": _with(GRID) + "SELECT DISTINCT image, '8x8' AS pred_size, '8x7' AS truth_size FROM grid WHERE image % 5 <> 0 AND image % 7 = 0",
     "pixel_pairs": _with(GRID) + "SELECT image, clsname, sum(CASE WHEN image % 5 = 0 THEN 0 ELSE gt END)::BIGINT AS n_true, count(*)::BIGINT AS n FROM grid GROUP BY ALL",
     "label_fallback": _with(GRID) + "SELECT image, coalesce(any_value(l.toxic), max(CASE WHEN image % 5 = 0 THEN 0 ELSE gt END))::INT AS label FROM grid LEFT JOIN labels l ON l.doc_id = image GROUP BY image",
     "pixel_histogram": _with(GRID, HIST) + "SELECT clsname, bin, pos::BIGINT AS pos, neg::BIGINT AS neg FROM hist",

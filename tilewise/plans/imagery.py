@@ -62,6 +62,17 @@ def fair_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.fair_sample(rows, "image_path", "tile_id", 4, 3).select("image_path", "tile_id")
 
 
+def round_robin_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.round_robin(tables.image_sizes(spark, sf_dir), "ordinal", 7).select("ordinal", F.col("bucket").cast("long").alias("bucket"))
+
+
+def roi_crop_own(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each image cropped to an ROI of its own."""
+    g = tables.grid(spark, sf_dir).select("image", "y", "x", F.col("gt").alias("v"))
+    rois = g.select("image").distinct().withColumn("roi", F.array((F.col("image") % 3).cast("int"), (F.col("image") % 2).cast("int"), F.lit(4), (F.col("image") % 4 + 1).cast("int")))
+    return pixels.crop_own(g, rois)
+
+
 def round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.round_robin(tables.image_sizes(spark, sf_dir), "ordinal", 7, within="clsname").select("ordinal", F.col("bucket").cast("long").alias("bucket"))
 
@@ -187,7 +198,7 @@ def gaussian_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        tiles, tiles_multires, tile_union, context_join, context_index, index_json, fair_sample, round_robin, tile_pixels, tile_pixels_all, overlap_add, coverage_gaps, fuse_max,
+        tiles, tiles_multires, tile_union, context_join, context_index, index_json, fair_sample, round_robin, round_robin_all, roi_crop_own, tile_pixels, tile_pixels_all, overlap_add, coverage_gaps, fuse_max,
         tile_predictions, task_merge, roi_crop, roi_bounds, foreground_mask, resize_nearest, resize_bilinear, upsample_aligned, pixel_normalize, minmax_post, gaussian_smooth,
     )
 }
@@ -223,6 +234,8 @@ SQL = {
     "context_index": _with(IMG, _M, _CTX) + "SELECT image_path, tile_id, context_scale::INT AS context_scale, trunc((x - cx) / cw * 30)::INT AS ix, trunc((y - cy) / cw * 30)::INT AS iy, trunc(w / cw * 30)::INT AS iw, trunc(w / cw * 30)::INT AS ih FROM ctx",
     "index_json": _with(IMG, _T) + """SELECT image_path, tile_id, concat('{"x":', x, ',"y":', y, ',"width":', w, ',"height":', h, '}') AS json, (x + w)::INT AS "right" FROM tl""",
     "fair_sample": _with(IMG, _T) + "SELECT image_path, tile_id FROM (SELECT *, row_number() OVER (PARTITION BY image_path ORDER BY md5(concat('s:', image_path, ':', tile_id)), tile_id) - 1 AS p, count(*) OVER (PARTITION BY image_path) AS n FROM tl) WHERE ((p - 12) % n + n) % n < least(4, n)",
+    "round_robin_all": _with(IMG) + "SELECT ordinal, ((row_number() OVER (ORDER BY ordinal) - 1) % 7)::BIGINT AS bucket FROM img",
+    "roi_crop_own": _with(GRID) + "SELECT image, (y - image % 2)::INT AS y, (x - image % 3)::INT AS x, gt::INT AS v FROM grid WHERE x - image % 3 BETWEEN 0 AND 3 AND y - image % 2 BETWEEN 0 AND image % 4",
     "round_robin": _with(IMG) + "SELECT ordinal, ((row_number() OVER (PARTITION BY clsname ORDER BY ordinal) - 1) % 7)::BIGINT AS bucket FROM img",
     "tile_pixels": _with(GRID) + "SELECT g.image, ty::INT AS ty, tx::INT AS tx, round(g.pred::DOUBLE, 6) AS v, CASE WHEN 5 + ty > 7 OR 5 + tx > 7 THEN 0 ELSE round(g.pred::DOUBLE, 6) END::DOUBLE AS z FROM range(0, 4) r(ty), range(0, 4) q(tx), grid g WHERE g.y = least(5 + ty, 7) AND g.x = least(5 + tx, 7)",
     "tile_pixels_all": _with(GRID, "t9 AS (SELECT (r * 3 + k)::INT AS tile_id, [0, 2, 5][r + 1] AS y0, [0, 2, 5][k + 1] AS x0 FROM range(0, 3) a(r), range(0, 3) b(k))")

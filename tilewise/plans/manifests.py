@@ -14,7 +14,7 @@ ROOT = "/data"
 REC = f"""lines AS (SELECT doc_id AS ordinal, {tables.MANIFEST_VALUE.replace("AS STRING", "AS VARCHAR")} AS value FROM documents LEFT JOIN labels USING (doc_id)),
 kinds AS (SELECT *, CASE WHEN trim(value) = '' THEN 'blank' WHEN NOT json_valid(value) THEN 'invalid' WHEN json_type(value) = 'OBJECT' THEN 'record' ELSE 'not an object' END AS kind FROM lines),
 rec AS (SELECT ordinal, value, value ->> '$.filename' AS filename, value ->> '$.split' AS split, value ->> '$.clsname' AS clsname, value ->> '$.label_name' AS label_name, value ->> '$.mask' AS mask, value ->> '$.foreground' AS foreground,
-  json_type(value, '$.label') AS lt, CASE WHEN json_type(value, '$.label') = 'UBIGINT' THEN (value ->> '$.label')::INT END AS label, json_type(value, '$.roi') AS rt,
+  json_type(value, '$.label') AS lt, CASE WHEN json_type(value, '$.label') IN ('UBIGINT', 'BIGINT', 'DOUBLE') AND (value ->> '$.label')::DOUBLE = floor((value ->> '$.label')::DOUBLE) THEN (value ->> '$.label')::DOUBLE::INT END AS label, json_type(value, '$.roi') AS rt,
   CASE WHEN json_type(value, '$.roi') = 'ARRAY' THEN json_extract(value, '$.roi[*]') END AS roi FROM kinds WHERE kind = 'record'),
 parts AS (SELECT *, list_filter(string_split(filename, '/'), lambda p: p <> '' AND p <> '.') AS raw FROM rec),
 fold AS (SELECT *, CASE WHEN len(raw) > 2 AND raw[1] = 'a' AND raw[2] = '..' THEN CASE WHEN raw[3] = '..' THEN raw[3:] ELSE raw[3:] END ELSE raw END AS f FROM parts)"""
@@ -22,11 +22,13 @@ PATH_FAULT = "CASE WHEN coalesce(trim(filename), '') = '' THEN 'empty path' WHEN
 ROI_FAULT = """CASE WHEN rt IS NULL OR rt = 'NULL' THEN NULL WHEN rt <> 'ARRAY' OR len(list_filter(roi, lambda e: json_type(e) <> 'UBIGINT')) > 0 THEN 'roi is not four numbers'
  WHEN len(roi) <> 4 OR roi[3]::INT <= 0 OR roi[4]::INT <= 0 THEN 'roi out of range' END"""
 CATEGORY_FAULT = "CASE WHEN coalesce(trim(clsname), '') = '' THEN 'blank category' WHEN trim(clsname) IN ('.', '..') OR contains(clsname, '/') THEN 'category is not one path component' END"
-LABEL_FAULT = "CASE WHEN lt IS NULL OR lt = 'NULL' THEN NULL WHEN lt <> 'UBIGINT' THEN 'label is not a number' WHEN label NOT IN (0, 1) THEN 'label is neither 0 nor 1' END"
+LABEL_FAULT = "CASE WHEN lt IS NULL OR lt = 'NULL' THEN NULL WHEN lt NOT IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN 'label is not a number' WHEN coalesce(label NOT IN (0, 1), true) THEN 'label is neither 0 nor 1' END"
 SPLIT_FAULT = "CASE WHEN split NOT IN ('train', 'test') THEN 'unknown split' END"
 NORMAL_FAULT = "CASE WHEN split = 'train' AND (coalesce(label <> 0, true) OR coalesce(mask, '') <> '') THEN 'not normal and mask-free' END"
+AUX_FAULT = "CASE WHEN starts_with({0}, '/') THEN '{0}: absolute path' WHEN starts_with({0}, '../') THEN '{0}: outside the root' END"
+MASK_FAULT, FOREGROUND_FAULT = AUX_FAULT.format("mask"), AUX_FAULT.format("foreground")
 ALL_FAULTS = f"""faults AS (SELECT ordinal, kind AS rule FROM kinds WHERE kind <> 'record' UNION ALL
- SELECT ordinal, rule FROM (SELECT ordinal, unnest([{PATH_FAULT}, {ROI_FAULT}, {CATEGORY_FAULT}, {SPLIT_FAULT}, {LABEL_FAULT}, {NORMAL_FAULT}]) AS rule FROM fold) WHERE rule IS NOT NULL)"""
+ SELECT ordinal, rule FROM (SELECT ordinal, unnest([{PATH_FAULT}, {ROI_FAULT}, {CATEGORY_FAULT}, {SPLIT_FAULT}, {LABEL_FAULT}, {NORMAL_FAULT}, {MASK_FAULT}, {FOREGROUND_FAULT}]) AS rule FROM fold) WHERE rule IS NOT NULL)"""
 CLEAN = "clean AS (SELECT *, array_to_string(f, '/') AS rel FROM fold WHERE ordinal NOT IN (SELECT ordinal FROM faults))"
 STEM = r"regexp_replace(rel, '\.[^./]*$', '')"
 
@@ -48,6 +50,26 @@ def path_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.faults(m.records(_parsed(spark, sf_dir)), m.path_fault("filename"))
 
 
+def aux_path_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rec = m.records(_parsed(spark, sf_dir))
+    return m.faults(rec, m.aux_fault("mask")).unionByName(m.faults(rec, m.aux_fault("foreground")))
+
+
+def roi_outside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each record's own ROI against the size of its image."""
+    return m.roi_outside(_clean(spark, sf_dir), tables.image_sizes(spark, sf_dir))
+
+
+def missing_aux_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masks and foregrounds that aren't there: of every fourth record."""
+    rows = m.records(_parsed(spark, sf_dir))
+    found = []
+    for field in ("mask", "foreground"):
+        present = rows.filter("ordinal % 4 <> 0").select(F.col(field).alias("path")).distinct()
+        found.append(m.missing_files(rows, present, field).withColumn("field", F.lit(field)))
+    return found[0].unionByName(found[1])
+
+
 def roi_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.faults(m.records(_parsed(spark, sf_dir)), m.roi_fault())
 
@@ -98,7 +120,7 @@ def dataset_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def archive_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.when(F.col("ordinal") % 3 == 0, F.concat(F.col("ordinal"), F.lit("_NG_scratch_C1_x.jpg"))).otherwise(F.concat(F.col("ordinal"), F.lit("_OK_C1_x.jpg")))
+    name = F.when(F.col("ordinal") % 3 == 0, F.concat(F.lit("img/NG/"), F.col("ordinal"), F.lit("_NG_scratch_C1_x.jpg"))).otherwise(F.concat(F.lit("NG/img/"), F.col("ordinal"), F.lit("_OK_C1_x.jpg")))
     return tables.image_sizes(spark, sf_dir).withColumn("name", name).select("ordinal", m.archive_path().alias("path"))
 
 
@@ -131,7 +153,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         manifest_strict, path_rules, roi_rules, category_rules, label_rules, train_normals, manifest_faults, output_paths, aux_paths, train_manifest, test_manifest,
-        manifest_union, dataset_summary, archive_paths, duplicate_paths, missing_files, sample_contract, result_alignment, content_key,
+        aux_path_rules, roi_outside, missing_aux_files, manifest_union, dataset_summary, archive_paths, duplicate_paths, missing_files, sample_contract, result_alignment, content_key,
     )
 }
 
@@ -153,6 +175,10 @@ SQL = {
     "roi_rules": _faults(ROI_FAULT),
     "category_rules": _faults(CATEGORY_FAULT),
     "label_rules": _faults(LABEL_FAULT),
+    "aux_path_rules": _with(REC) + f"SELECT ordinal, rule FROM (SELECT ordinal, unnest([{MASK_FAULT}, {FOREGROUND_FAULT}]) AS rule FROM rec) WHERE rule IS NOT NULL",
+    "roi_outside": _with(REC, ALL_FAULTS, CLEAN, _IMG) + "SELECT ordinal, 'roi exceeds the image' AS rule FROM clean JOIN img USING (ordinal) WHERE roi[1]::INT + roi[3]::INT > width OR roi[2]::INT + roi[4]::INT > height",
+    "missing_aux_files": _with(REC) + """SELECT ordinal, mask AS path, 'mask' AS field FROM rec WHERE mask <> '' AND mask NOT IN (SELECT mask FROM rec WHERE ordinal % 4 <> 0 AND mask IS NOT NULL)
+UNION ALL SELECT ordinal, foreground, 'foreground' FROM rec WHERE foreground <> '' AND foreground NOT IN (SELECT foreground FROM rec WHERE ordinal % 4 <> 0 AND foreground IS NOT NULL)""",
     "train_normals": _with(REC)
     + """SELECT ordinal, 'not normal and mask-free' AS rule, 'builder' AS level FROM fold WHERE split = 'train' AND (coalesce(label <> 0, true) OR coalesce(mask, '') <> '')
 UNION ALL SELECT ordinal, 'not normal and mask-free', 'loader' FROM fold WHERE split = 'train' AND (coalesce(label <> 0, true) OR mask IS NOT NULL)

@@ -77,9 +77,9 @@ CASE WHEN doc_id % 37 = 0 THEN '  ' WHEN doc_id % 41 = 0 THEN '[1, 2]' WHEN doc_
 '{"filename": "', CASE WHEN doc_id % 19 = 0 THEN '/abs/' WHEN doc_id % 23 = 0 THEN 'a/../../' WHEN doc_id % 29 = 1 THEN 'a/../' ELSE '' END, source, '/', lang, '/', CASE WHEN doc_id % 11 = 0 THEN 'NG' ELSE 'OK' END, '_', CAST(doc_id % 250 AS STRING), '_C', CAST(doc_id % 5 AS STRING), '_20240101.png"',
 ', "split": "', CASE WHEN doc_id % 43 = 0 THEN 'val' WHEN doc_id % 3 = 0 THEN 'test' ELSE 'train' END, '"',
 ', "clsname": "', CASE WHEN doc_id % 29 = 0 THEN '  ' WHEN doc_id % 59 = 0 THEN 'a/b' ELSE concat(' ', lang) END, '"',
-CASE WHEN doc_id % 17 = 0 THEN ', "label": true' WHEN doc_id % 47 = 0 THEN ', "label": 2' WHEN doc_id % 3 = 0 AND toxic IS NULL THEN '' WHEN doc_id % 3 = 0 THEN concat(', "label": ', CAST(toxic AS STRING)) WHEN doc_id % 13 = 0 THEN ', "label": 1' ELSE ', "label": 0' END,
+CASE WHEN doc_id % 17 = 0 THEN ', "label": true' WHEN doc_id % 47 = 0 THEN ', "label": 2' WHEN doc_id % 3 = 0 AND toxic IS NULL THEN '' WHEN doc_id % 3 = 0 THEN concat(', "label": ', CAST(toxic AS STRING)) WHEN doc_id % 13 = 0 THEN ', "label": 1' WHEN doc_id % 12 = 1 THEN ', "label": 0.0' WHEN doc_id % 83 = 0 THEN ', "label": 0.5' ELSE ', "label": 0' END,
 CASE WHEN doc_id % 31 = 0 THEN ', "roi": [1, 2, 0, 5]' WHEN doc_id % 31 = 1 THEN ', "roi": [1, 2, 3]' WHEN doc_id % 31 = 2 THEN ', "roi": [1, true, 3, 4]' WHEN doc_id % 5 = 0 THEN concat(', "roi": [4, 4, ', CAST(20 + doc_id % 7 * 40 AS STRING), ', 16]') ELSE ', "roi": null' END,
-CASE WHEN doc_id % 3 = 0 AND toxic = 1 OR doc_id % 61 = 0 THEN concat(', "mask": "masks/', CAST(doc_id AS STRING), '.bmp"') ELSE '' END,
-CASE WHEN doc_id % 7 = 0 THEN concat(', "foreground": "fg/', CAST(doc_id AS STRING), '.tif"') ELSE '' END,
+CASE WHEN doc_id % 67 = 0 THEN ', "mask": "/abs/m.bmp"' WHEN doc_id % 3 = 0 AND toxic = 1 OR doc_id % 61 = 0 THEN concat(', "mask": "masks/', CAST(doc_id AS STRING), '.bmp"') ELSE '' END,
+CASE WHEN doc_id % 71 = 0 THEN ', "foreground": "../x.tif"' WHEN doc_id % 7 = 0 THEN concat(', "foreground": "fg/', CAST(doc_id AS STRING), '.tif"') ELSE '' END,
 '}') END
 """
