@@ -1,6 +1,7 @@
 """Small tables: nulls, empty and long texts, ties, repeated rows, no rows, clashing columns."""
 
 import hashlib
+import math
 import zlib
 from collections import Counter
 
@@ -410,6 +411,16 @@ def test_warc_round_trip(spark):
     assert warc.archive_and_index(spark.createDataFrame([], pages.schema)).count() == 0
 
 
+def test_warc_ranges_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(warc, "RANGE_ROWS", 10)
+    pages = spark.createDataFrame([(i, f"http://h{i % 3}.org/", "same" if i % 4 else f"page {i}") for i in range(200)], "page_id long, url string, html string")
+    index = warc.archive_and_index(pages)
+    assert index.rdd.getNumPartitions() >= 20
+    got = [(r.url_key, r.captured, r.page_id) for r in index.collect()]
+    assert got == sorted(got) and len(got) == 200
+    assert {(r.record_type, r.refers_to) for r in index.filter("page_id % 4 <> 0").collect()} == {("response", None), ("revisit", 199)}
+
+
 @pytest.mark.parametrize("k", [0, 1, 2, 3, 5, 8, 13])
 def test_loser_tree(k):
     rng = np.random.default_rng(k)
@@ -424,6 +435,94 @@ def test_classifier_small(docs, none):
     assert out.columns == docs.columns
 
 
+def plain_facts(text):
+    """The classifier's measures of a text, word by word."""
+    w, low = split(text), split(lower(text))
+    n = max(len(w), 1)
+    grams = [tuple(w[k : k + 8]) for k in range(len(w) - 7)]
+    count = Counter(grams)
+    lines = [x for x in text.split("\n") if split(x)]
+    marks = "#*$%&|<>"
+    return [
+        len({k + j for k, g in enumerate(grams) if count[g] > 1 for j in range(8)}) / n,
+        len(set(low)) / math.sqrt(2 * n),
+        sum(a == b for a, b in zip(low, low[1:], strict=False)) / n,
+        (len(lines) - len(set(lines))) / max(len(lines), 1),
+        sum(text.count(c) for c in marks) / n,
+        sum(any(c in marks for c in x) for x in w) / n,
+        sum(x in marks for x in w) / n,
+        sum(x[-1] in ".!?" for x in w) / n,
+        math.log2(n),
+    ]
+
+
+def plain_votes(f):
+    rep, variety, stutter, dup, sym, marked, lone, stops, size = f
+    long = size >= 5
+    bad = [long and rep > 0.6, long and variety < 1.3, long and stutter > 0.1, dup > 0.4, sym > 0.1, marked > 0.1, lone > 0.1, long and stops < 0.02]
+    good = rep < 0.1 and sym < 0.02 and dup < 0.2 and 0.03 < stops < 0.5
+    return tuple([-1 if x else 0 for x in bad] + [1 if good else -1 if rep > 0.8 or sym > 0.5 else 0])
+
+
+def plain_scores(rows):
+    """Label model and scorer in plain Python: rows (key, text) -> score by text."""
+    facts = {t: plain_facts(t) for _, t in rows}
+    counts = Counter(plain_votes(facts[t]) for _, t in rows)
+    start = {1: (0.05, 0.3), 0: (0.45, 0.69), -1: (0.5, 0.01)}
+    rate = [{x: list(start[x]) for x in start} for _ in range(9)]
+    prior = [0.2, 0.8]
+    for _ in range(50):
+        post = {}
+        for v in counts:
+            p = [prior[c] * math.prod(rate[k][v[k]][c] for k in range(9)) for c in (0, 1)]
+            post[v] = [x / sum(p) for x in p]
+        mass = [sum(counts[v] * post[v][c] for v in counts) for c in (0, 1)]
+        prior = [(m + 1) / (sum(mass) + 2) for m in mass]
+        for k in range(9):
+            for c in (0, 1):
+                seen = {x: 1 + sum(counts[v] * post[v][c] for v in counts if v[k] == x) for x in (-1, 0, 1)}
+                for x in seen:
+                    rate[k][x][c] = seen[x] / sum(seen.values())
+    shift = 64 - quality_classifier.BITS
+
+    def place(word):
+        raw = np.frombuffer(word.encode(), np.uint8)
+        return int(tk.span_hash(tk.prefix_hash(raw), np.array([0]), np.array([len(raw)]))[0]) >> shift
+
+    def features(t):
+        w, out = split(lower(t)), Counter()
+        for x, n in Counter(w).items():
+            out[place(x)] += n * 4.0 / len(w)
+        for k, (x, unit) in enumerate(zip(facts[t], (20, 4, 20, 10, 20, 20, 20, 20, 1), strict=True)):
+            level = min(max(math.floor(x * unit), 0), 40)
+            out[int(tk.splitmix(np.array([level + 1000 * (k + 1)], np.uint64))[0]) >> shift] += 1.0
+        return {f: float(np.float32(x)) for f, x in out.items()}
+
+    weight, square, bias, bias_square = Counter(), {}, 0.0, 1e-6
+    fitted = [(features(t), post[plain_votes(facts[t])][1]) for _, t in sorted(rows)]
+    for _ in range(8):
+        for x, y in fitted:
+            z = sum(weight[f] * a for f, a in x.items()) + bias
+            p = 1 / (1 + math.exp(-min(max(z, -30), 30)))
+            for f, a in x.items():
+                d = (p - y) * a + 1e-4 * weight[f]
+                square[f] = square.get(f, 1e-6) + d * d
+                weight[f] -= 0.5 * d / math.sqrt(square[f])
+            bias_square += (p - y) ** 2
+            bias -= 0.5 * (p - y) / math.sqrt(bias_square)
+    return {t: 1 / (1 + math.exp(-sum(weight[f] * a for f, a in features(t).items()) - bias)) for _, t in rows}
+
+
+def test_classifier_equals_plain_python(spark):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r.key, r.text or "") for r in d.select(F.xxhash64("doc_id", "text").alias("key"), "text").collect()]
+    want = plain_scores(rows)
+    got = d.select("doc_id", "text").join(quality_classifier.scores(d), "doc_id").collect()
+    assert len(got) == len(rows) <= quality_classifier.FIT_ROWS
+    assert max(abs(r.score - want[r.text or ""]) for r in got) < 1e-3
+    assert all(r.kept == (want[r.text or ""] >= 0.5) for r in got if abs(want[r.text or ""] - 0.5) > 1e-3)
+
+
 def test_fitting_rows_are_bounded(spark, monkeypatch):
     """Rows that are equal, even more of them than FIT_ROWS, reach the driver once."""
     rows = [(None, prose(1, 30), "en", "a", 0)] * 300 + [(i, prose(i, 30), "en", "a", 0) for i in range(40)]

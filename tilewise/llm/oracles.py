@@ -15,13 +15,15 @@ COMPONENTS = """reach AS (SELECT a AS node, a AS root FROM links UNION SELECT l.
 roots AS (SELECT node, min(root) AS root FROM reach GROUP BY node)"""
 
 WARC = f"""
-WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, lower(regexp_extract(url, '^[^:]+://([^/?#:]*)', 1)) AS host, regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '[?]([^#]*)', 1) AS query FROM pages),
 d AS (SELECT *, sha1(html) AS hex, max(page_id) OVER (PARTITION BY html) AS last FROM p),
 q AS (SELECT *, [('0x' || substr(hex, 5 * k + 1, 5))::BIGINT FOR k IN range(0, 8)] AS v FROM d)
 SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
  array_to_string(flatten([['ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((x >> 15) & 31)::INT + 1], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((x >> 10) & 31)::INT + 1], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((x >> 5) & 31)::INT + 1], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[(x & 31)::INT + 1]] FOR x IN v]), '') AS payload_digest,
  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to,
- strftime(TIMESTAMP '{START:%Y-%m-%d %H:%M:%S}' + page_id * INTERVAL 1 SECOND, '%Y-%m-%dT%H:%M:%SZ') AS captured FROM q
+ strftime(TIMESTAMP '{START:%Y-%m-%d %H:%M:%S}' + page_id * INTERVAL 1 SECOND, '%Y-%m-%dT%H:%M:%SZ') AS captured,
+ url, CASE WHEN coalesce(url, '') = '' THEN '' ELSE concat(array_to_string(list_reverse(string_split(CASE WHEN starts_with(host, 'www.') THEN substr(host, 5) ELSE host END, '.')), ','), ')', CASE WHEN path = '' THEN '/' ELSE path END,
+ CASE WHEN query <> '' THEN concat('?', array_to_string(list_sort(string_split(query, '&')), '&')) ELSE '' END) END AS url_key FROM q
 """
 
 MIXING = f"""

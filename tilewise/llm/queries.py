@@ -20,7 +20,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.archive_and_index(_table(spark, sf_dir, "pages"))
-    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "captured")
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "captured", "url", "url_key")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,8 +10,9 @@ one URL with very many captures is spread over several ranges.
 Defined cases: null html is an empty payload; null url leaves the target header out;
 rows that repeat a page id are captures of their own (all rows with the largest id of
 a payload are responses); null ids are kept and never referred to unless all ids of the
-payload are null; control characters of a URL are percent-encoded; extra columns are
-ignored; an empty table writes an empty archive folder and gives no rows.
+payload are null; control characters of a URL are percent-encoded; a very long page is
+one record, held whole by one task; extra columns are ignored; an empty table writes an
+empty archive folder and gives no rows.
 """
 
 from __future__ import annotations
@@ -28,12 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tilewise.llm.narrowing import marked
 from tilewise.llm.shared import new_path, pick, shuffle_partitions, stored
 
 END = "\r\n\r\n"
 START = datetime(2020, 1, 1, tzinfo=UTC)
 #: Bound on the records of one archive file, and so on what a reading task holds.
 ARCHIVE_RECORDS = 2000
+#: Captures of one range of the index, about: what a merging task holds.
+RANGE_ROWS = 50_000
 CAPTURE = "archive string, record_offset long, record_length long, page_id long, url string, url_key string, captured string, record_type string, payload_bytes long, payload_digest string, refers_to long"
 
 
@@ -92,8 +96,15 @@ def write_archives(pages: DataFrame, path: str) -> None:
     """Archives of all pages below ``path``; payloads are matched by digest."""
     spark = pages.sparkSession
     digested = pick(pages, "page_id", "url", "html").mapInArrow(_digested, "page_id long, url string, html string, digest string")
-    first = digested.groupBy("digest").agg(F.max("page_id").alias("response"))
-    rows = digested.join(first, "digest").select("page_id", "url", "html", "digest", "response")
+    hashed = digested.withColumn("hash", F.xxhash64("digest"))
+    # payloads are matched by digests and ids alone, and only those that repeat (and a few
+    # that a bitmap can't tell from them) are dealt by digest
+    repeated = digested.groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).filter("n > 1")
+    first = stored(repeated.select("digest", "response", F.xxhash64("digest").alias("hash")), "warc-repeated")
+    thin, maybe = marked(hashed, "hash", first, "hash")
+    columns = ["page_id", "url", "html", "digest"]
+    met = thin.filter(maybe).select(*columns).join(first.select("digest", "response"), "digest", "left").select(*columns, "response")
+    rows = thin.filter(~maybe).select(*columns, F.lit(None).cast("long").alias("response")).unionByName(met)
     (
         rows.mapInArrow(_recorded, "value string")
         .write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", ARCHIVE_RECORDS)
@@ -189,7 +200,10 @@ class LoserTree:
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One range of the index: its pieces of the runs, merged in order."""
+    """One range of the index: its pieces of the runs, merged in order.
+
+    The ranges are so many that one holds about RANGE_ROWS captures, whatever the table.
+    """
     pieces: dict[tuple[str, int], list[tuple]] = {}
     part: dict[str, int] = {}
     for b in batches:
@@ -211,7 +225,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def merge_index(runs: DataFrame) -> DataFrame:
     """Captures in global order of (url_key, captured, page_id) over the partitions."""
-    n = shuffle_partitions(runs.sparkSession)
+    n = max(shuffle_partitions(runs.sparkSession), -(-runs.count() // RANGE_ROWS))
     return runs.repartitionByRange(n, "url_key", "captured", F.col("page_id").asc_nulls_first()).mapInArrow(_merged, CAPTURE)
 
 
