@@ -43,7 +43,7 @@ from pyspark.sql.window import Window as W
 from tilewise.llm import textkernel as tk
 from tilewise.llm.components import connected_components
 from tilewise.llm.narrowing import marked
-from tilewise.llm.shared import doc_key, doc_stamp, named, shuffle_partitions, stored
+from tilewise.llm.shared import doc_key, doc_stamp, named, scratch, shuffle_partitions, stored
 
 WORDS = 5
 PERCENT = 75
@@ -450,7 +450,8 @@ class _Join:
 
     def groups(self) -> DataFrame:
         """``doc_id, doc, stamp, n, node, root``: root names the group; null for empty sets."""
-        parts = connected_components(self.links()).select("node", F.col("component_id").alias("root"))
+        with scratch(self.rows.sparkSession):
+            parts = stored(connected_components(self.links()).select("node", F.col("component_id").alias("root")), "join-components", keep=True)
         return self.sets.join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 

@@ -9,6 +9,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,14 +30,46 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: the plan starts anew there."""
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: the plan starts anew there.
+
+    Inside ``scratch`` the table lasts as long as that, unless it is to be kept.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
+    if not keep:
+        temporary(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def temporary(path: str) -> None:
+    """The path goes when the ``scratch`` around ends."""
+    if (paths := _scratch.get()) is not None:
+        paths.append(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables stored inside are deleted at the end: their readers must be done by then."""
+    token = _scratch.set([])
+    try:
+        yield
+    finally:
+        paths = _scratch.get()
+        _scratch.reset(token)
+        for path in paths or []:
+            discard(spark, path)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from tilewise.llm import textkernel as tk
 from tilewise.llm.narrowing import marked
-from tilewise.llm.shared import doc_key, doc_stamp, named, new_path, shuffle_partitions, stored
+from tilewise.llm.shared import discard, doc_key, doc_stamp, named, new_path, scratch, shuffle_partitions, stored
 from tilewise.llm.suffix_kernel import LENGTH, suffixes
 
 BATCHES = 4
@@ -152,12 +152,12 @@ class _Levels:
         keys = np.sort(_sort_keys(np.array(sample, np.int64).reshape(-1, 4).T))
         self.borders = np.unique(keys[SAMPLED::SAMPLED])
         self.cut = (self.borders.view(">u8").reshape(-1, 4)[:, 2].astype(np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
-        self.tables: list[str] = []
+        self.tables: dict[str, str] = {}
 
     def written(self, run: DataFrame) -> str:
-        name = f"suffix_array_{uuid.uuid4().hex}"
-        run.write.format("parquet").bucketBy(self.buckets, "range").sortBy("range", *SUFFIX).option("path", new_path(self.spark, "suffix-array")).saveAsTable(name)
-        self.tables.append(name)
+        name, path = f"suffix_array_{uuid.uuid4().hex}", new_path(self.spark, "suffix-array")
+        run.write.format("parquet").bucketBy(self.buckets, "range").sortBy("range", *SUFFIX).option("path", path).saveAsTable(name)
+        self.tables[name] = path
         return name
 
     def ranges(self, name: str) -> GroupedData:
@@ -169,7 +169,9 @@ class _Levels:
         return self.written(kinds.repartition(self.buckets, "range"))
 
     def merged(self, old: str, new: str) -> str:
-        return self.written(self.ranges(old).cogroup(self.ranges(new)).applyInArrow(_merged_run, RUN))
+        run = self.written(self.ranges(old).cogroup(self.ranges(new)).applyInArrow(_merged_run, RUN))
+        self.drop([old, new])
+        return run
 
     def scanned(self, new: str, level: str | None) -> DataFrame:
         """The hits of a new run in a level, or in itself."""
@@ -185,25 +187,29 @@ class _Levels:
             return self.ranges(new).applyInArrow(alone, HIT)
         return self.ranges(new).cogroup(self.ranges(level)).applyInArrow(beside, HIT)
 
-    def drop(self) -> None:
-        for name in self.tables:
+    def drop(self, names: list[str]) -> None:
+        for name in names:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            discard(self.spark, self.tables.pop(name))
 
 
 def index_batches(entries: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """``head, tail, gram, mark, repeated, contested`` over all batches of ``entries``."""
+    """``head, tail, gram, mark, repeated, contested`` over all batches of ``entries``.
+
+    Levels of equal size are merged when the next batch comes.
+    """
     family = _Levels(entries)
     levels: list[tuple[int, str]] = []
     hits = []
     for k in range(batches):
+        while len(levels) > 1 and levels[-1][0] == levels[-2][0]:
+            (size, new), (_, old) = levels.pop(), levels.pop()
+            levels.append((2 * size, family.merged(old, new)))
         new = family.suffix_array(entries.filter(F.pmod(F.xxhash64("doc", "stamp"), F.lit(batches)) == k).select(*SUFFIX, "n"))
         scans = [family.scanned(new, level) for level in [None, *(name for _, name in levels)]]
         hits.append(stored(reduce(DataFrame.unionByName, scans), "suffix-hits"))
-        size = 1
-        while levels and levels[-1][0] == size:
-            new, size = family.merged(levels.pop()[1], new), 2 * size
-        levels.append((size, new))
-    family.drop()
+        levels.append((1, new))
+    family.drop(list(family.tables))
     return reduce(DataFrame.unionByName, hits).groupBy(*SUFFIX).agg(F.max("repeated").alias("repeated"), F.max("contested").alias("contested"))
 
 
@@ -298,11 +304,17 @@ def _hashed(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
 
 def repeated_spans(rows: DataFrame, batches: int = BATCHES, length: int = LENGTH) -> DataFrame:
     """``doc, stamp, first, stop``: byte spans covered by repeated strings; they may overlap."""
+    with scratch(rows.sparkSession):
+        return stored(_found_spans(rows, batches, length), "suffix-found", keep=True)
+
+
+def _found_spans(rows: DataFrame, batches: int, length: int) -> DataFrame:
     at = partial(_entries, length=length)
-    entries = stored(rows.select("doc", "stamp", "text").mapInArrow(at, ", ".join(f"{c} long" for c in ENTRY)), "suffixes")
-    # stored, so that the join's two sides are plain shuffles and a frequent suffix can be split
-    kinds = stored(index_batches(entries, batches), "suffix-kinds")
-    met = stored(entries.join(kinds, list(SUFFIX)), "suffix-met")
+    with scratch(rows.sparkSession):
+        entries = stored(rows.select("doc", "stamp", "text").mapInArrow(at, ", ".join(f"{c} long" for c in ENTRY)), "suffixes")
+        # stored, so that the join's two sides are plain shuffles and a frequent suffix can be split
+        kinds = stored(index_batches(entries, batches), "suffix-kinds")
+        met = stored(entries.join(kinds, list(SUFFIX)), "suffix-met", keep=True)
     whole = met.filter("repeated").select("doc", "stamp", F.col("start").alias("first"), (F.col("start") + F.col("count") - 1 + length).alias("stop"))
     one = stored(met.filter("contested").groupBy(*SUFFIX).agg(F.min(F.struct("doc", "stamp", "start", "count")).alias("e")).select("gram", "e.*"), "suffix-one")
     hot = stored(one.groupBy("gram").agg(F.count("*").alias("kinds"), F.sum(F.col("count") + length).alias("bytes")).filter((F.col("kinds") > HOT_KINDS) | (F.col("bytes") > HOT_BYTES)).select("gram"), "suffix-hot")
