@@ -224,10 +224,10 @@ def test_mixed_documents_with_repeated_ids(spark):
     assert all(target <= got[s] < target + 20 for s, target in (("a", 200), ("b", 400), ("c", 600)))
 
 
-@pytest.mark.parametrize("range_rows", [100_000, 2])
-def test_suffix_dedup(docs, none, monkeypatch, range_rows):
+@pytest.mark.parametrize("range_rows, most", [(100_000, 4096), (2, 4096), (2, 5)])
+def test_suffix_dedup(docs, none, monkeypatch, range_rows, most):
     monkeypatch.setattr(suffix_dedup, "RANGE_ROWS", range_rows)
-    monkeypatch.setattr(suffix_dedup, "SAMPLED", 2)
+    monkeypatch.setattr(suffix_dedup, "MOST_RANGES", most)
     want, short = [], []
     raw = [(i, x.encode()) for i, x in texts(docs)]
 

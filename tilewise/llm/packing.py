@@ -2,8 +2,8 @@
 
 Documents longer than a sequence are cut into full pieces (the first may be shorter).
 Pieces are placed, longest first, where the squared counts of open bins per residual
-gap become smallest; ties go to the smallest gap, and a new bin is opened only where
-none fits (so that few sequences are needed for small corpora too). Groups of bounded size are packed apart, then the bins that stayed open in
+gap become smallest; ties go to the smallest gap. This is a variant of the rule: a new bin is
+opened only where none fits, so that few sequences are needed for small corpora too. Groups of bounded size are packed apart, then the bins that stayed open in
 all groups are packed as wholes by the same rule, so the waste doesn't add up over groups.
 
 Defined cases: null text is the one token that ends every document; repeated rows are
@@ -34,7 +34,7 @@ CAPACITY = 2048
 #: Pieces that one task packs at once.
 GROUP = 12_000
 #: Words whose ids a Python worker remembers, at most.
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 400_000
 _LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ž"
 _NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
 #: How the tokenizer parts a text of PLAIN characters; each part is encoded apart.

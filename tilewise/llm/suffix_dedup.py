@@ -12,8 +12,9 @@ the strings they stand for, so that equal ones are adjacent. Equal rows of a run
 folded to one with their number. Runs are cut into ranges of that order, at borders that
 all levels share, and stored in buckets by range: a scan or a merge reads a range of two
 runs side by side and moves no row between executors. The borders come from a sample of
-SAMPLED suffixes for each range and decide nothing but the balance; they may cut through
-suffixes that share a gram, so a very frequent gram is spread over many ranges.
+SAMPLED suffixes for each range (at most 2 * SAMPLED * MOST_RANGES reach the driver) and
+decide nothing but the balance; they may cut through suffixes that share a gram, so a very
+frequent gram is spread over many ranges.
 
 Where all bytes of two neighbours agree, all strings of the suffix repeat. Where only the
 gram agrees, the bytes of one suffix of each kind are read again from the texts and their
@@ -59,6 +60,8 @@ SUFFIX = ("head", "tail", "gram", "mark")
 #: Suffixes of a range, about, and suffixes sampled for its border.
 RANGE_ROWS = 100_000
 SAMPLED = 32
+#: Ranges, at most; where they hold more rows, each is parted further by the hash of the gram.
+MOST_RANGES = 4096
 
 
 def folded(text: np.ndarray, start: np.ndarray, count: np.ndarray, head: np.ndarray, tail: np.ndarray, gram: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -96,11 +99,13 @@ def _sort_keys(columns: list[np.ndarray]) -> np.ndarray:
     return np.ascontiguousarray(np.stack(flipped, axis=1).astype(">u8")).view("S32").reshape(-1)
 
 
-def _ranged(batches: Iterator[pa.RecordBatch], borders: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Adds the range of each suffix."""
+def _ranged(batches: Iterator[pa.RecordBatch], borders: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """Adds the range of each suffix, and the part of the range."""
     for b in batches:
         keys = _sort_keys([b.column(k) for k in range(4)])
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.searchsorted(borders, keys, "right"))], [*SUFFIX, "n", "range"])
+        part = np.asarray(b.column(2)).view(np.uint64) % np.uint64(parts)
+        at = np.searchsorted(borders, keys, "right") * parts + part.astype(np.int64)
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at)], [*SUFFIX, "n", "range"])
 
 
 def _in_order(runs: list[pa.Table]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
@@ -146,11 +151,15 @@ class _Levels:
 
     def __init__(self, entries: DataFrame):
         self.spark = entries.sparkSession
-        ranges = -(-entries.count() // RANGE_ROWS)
-        self.buckets = max(1, min(ranges, 8 * shuffle_partitions(self.spark)))
-        sample = entries.select(*SUFFIX).orderBy(F.xxhash64("doc", "stamp", "start")).limit(SAMPLED * ranges).collect()
+        rows = entries.count()
+        ranges = max(1, min(MOST_RANGES, -(-rows // RANGE_ROWS)))
+        self.parts = max(1, -(-rows // (ranges * RANGE_ROWS)))
+        self.buckets = min(ranges * self.parts, 8 * shuffle_partitions(self.spark))
+        share = min(1.0, SAMPLED * ranges / max(rows, 1))
+        chosen = F.pmod(F.xxhash64("doc", "stamp", "start"), F.lit(1 << 40)) < int(share * (1 << 40))
+        sample = entries.filter(chosen).select(*SUFFIX).limit(2 * SAMPLED * ranges).collect()
         keys = np.sort(_sort_keys(np.array(sample, np.int64).reshape(-1, 4).T))
-        self.borders = np.unique(keys[SAMPLED::SAMPLED])
+        self.borders = np.unique(keys[[k * len(keys) // ranges for k in range(1, ranges)]]) if len(keys) else keys
         self.cut = (self.borders.view(">u8").reshape(-1, 4)[:, 2].astype(np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
         self.tables: dict[str, str] = {}
 
@@ -165,7 +174,7 @@ class _Levels:
 
     def suffix_array(self, entries: DataFrame) -> str:
         """The sorted run of a batch: a row for each kind of suffix, with their number."""
-        kinds = entries.groupBy(*SUFFIX).agg(F.sum("n").alias("n")).mapInArrow(partial(_ranged, borders=self.borders), RUN)
+        kinds = entries.groupBy(*SUFFIX).agg(F.sum("n").alias("n")).mapInArrow(partial(_ranged, borders=self.borders, parts=self.parts), RUN)
         return self.written(kinds.repartition(self.buckets, "range"))
 
     def merged(self, old: str, new: str) -> str:
