@@ -79,31 +79,24 @@ def record(page_id: int | None, url: str | None, html: str, digest: str, refers_
     return "\r\n".join(head) + END + block
 
 
-def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        html = [x or "" for x in b.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(html, pa.string()), pa.array([payload_digest(x.encode()) for x in html], pa.string())], ["page_id", "url", "html", "digest"])
-
-
 def _recorded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = zip(*(c.to_pylist() for c in b.columns), strict=True)
-        out = [record(p, u, h, d, None if first is None or p == first else first) for p, u, h, d, first in rows]
+        out = [record(p, u, h, payload_digest(h.encode()), None if first is None or p == first else first) for p, u, h, first in rows]
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
     """Archives of all pages below ``path``; payloads are matched by digest."""
     spark = pages.sparkSession
-    digested = pick(pages, "page_id", "url", "html").mapInArrow(_digested, "page_id long, url string, html string, digest string")
-    hashed = digested.withColumn("hash", F.xxhash64("digest"))
+    digested = pick(pages, "page_id", "url", "html").withColumn("html", F.coalesce("html", F.lit(""))).withColumn("digest", F.sha1("html")).withColumn("hash", F.xxhash64("digest"))
     # payloads are matched by digests and ids alone, and only those that repeat (and a few
     # that a bitmap can't tell from them) are dealt by digest
     repeated = digested.groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).filter("n > 1")
     first = stored(repeated.select("digest", "response", F.xxhash64("digest").alias("hash")), "warc-repeated")
-    thin, maybe = marked(hashed, "hash", first, "hash")
-    columns = ["page_id", "url", "html", "digest"]
-    met = thin.filter(maybe).select(*columns).join(first.select("digest", "response"), "digest", "left").select(*columns, "response")
+    thin, maybe = marked(digested, "hash", first, "hash")
+    columns = ["page_id", "url", "html"]
+    met = thin.filter(maybe).select(*columns, "digest").join(first.select("digest", "response"), "digest", "left").select(*columns, "response")
     rows = thin.filter(~maybe).select(*columns, F.lit(None).cast("long").alias("response")).unionByName(met)
     (
         rows.mapInArrow(_recorded, "value string")
