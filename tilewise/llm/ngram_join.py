@@ -367,17 +367,19 @@ class _Join:
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The links among the pairs, by the sets of both texts."""
-        texts = self.texts(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))))
-        right = pairs.select("u", "v").join(texts.select(F.col("node").alias("v"), F.col("text").alias("y")), "v")
-        both = right.join(texts.select(F.col("node").alias("u"), F.col("text").alias("x")), "u")
-        return stored(both.select("u", "v", "x", "y").mapInArrow(partial(_linked, percent=self.percent), "u long, v long"), "join-links")
+        with scratch(self.rows.sparkSession):
+            texts = self.texts(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))))
+            right = pairs.select("u", "v").join(texts.select(F.col("node").alias("v"), F.col("text").alias("y")), "v")
+            both = right.join(texts.select(F.col("node").alias("u"), F.col("text").alias("x")), "u")
+            return stored(both.select("u", "v", "x", "y").mapInArrow(partial(_linked, percent=self.percent), "u long, v long"), "join-links", keep=True)
 
     def in_blocks(self, dealt: DataFrame, rows: int) -> DataFrame:
         """Spanning links of the blocks of ``dealt``: ``a, b, c`` (the block), ``side, node, part``."""
         n = max(shuffle_partitions(dealt.sparkSession), -(-rows // ROWS_OF_A_TASK))
-        with_text = dealt.join(self.texts(dealt), "node").select("a", "b", "c", "side", "node", "part", "text")
-        sorted_blocks = with_text.repartition(n, "a", "b", "c").sortWithinPartitions("a", "b", "c")
-        return stored(sorted_blocks.mapInArrow(partial(_linked_blocks, percent=self.percent), "u long, v long"), "join-links")
+        with scratch(self.rows.sparkSession):
+            with_text = dealt.join(self.texts(dealt), "node").select("a", "b", "c", "side", "node", "part", "text")
+            sorted_blocks = with_text.repartition(n, "a", "b", "c").sortWithinPartitions("a", "b", "c")
+            return stored(sorted_blocks.mapInArrow(partial(_linked_blocks, percent=self.percent), "u long, v long"), "join-links", keep=True)
 
     def inside_lists(self, lists: DataFrame, salt: int) -> DataFrame:
         """Links inside blocks of each node's shortest and longest list."""
@@ -392,12 +394,13 @@ class _Join:
 
     def parted(self, lists: DataFrame, links: DataFrame) -> DataFrame:
         """The lists whose nodes the links don't join yet, with the ``part`` of each node."""
-        parts = connected_components(links).select("node", F.col("component_id").alias("part"))
-        member = stored(lists.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node")), "join-parts")
-        ends = member.groupBy("sig").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high")
-        # stored, so that the join's two sides are plain shuffles and a long list can be split
-        open_lists = stored(ends.select("sig"), "join-open")
-        return stored(member.join(open_lists, "sig"), "join-apart")
+        with scratch(self.rows.sparkSession):
+            parts = connected_components(links).select("node", F.col("component_id").alias("part"))
+            member = stored(lists.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node")), "join-parts")
+            ends = member.groupBy("sig").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high")
+            # stored, so that the join's two sides are plain shuffles and a long list can be split
+            open_lists = stored(ends.select("sig"), "join-open")
+            return stored(member.join(open_lists, "sig"), "join-apart", keep=True)
 
     def links(self) -> DataFrame:
         """Enough of the links to give the components: ``u, v``."""

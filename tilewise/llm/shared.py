@@ -30,26 +30,39 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+#: The paths of each ``scratch`` around, outermost first.
+_scratch: ContextVar[tuple[list[str], ...]] = ContextVar("scratch", default=())
+
+#: With it, Spark removes the shuffle files of a query when the query ends. Without it they
+#: stay until the driver happens to collect garbage, which many short queries rarely cause.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the plan starts anew there.
 
-    Inside ``scratch`` the table lasts as long as that, unless it is to be kept.
+    Inside ``scratch`` the table lasts as long as that, or, if it is to be kept, as long
+    as the next ``scratch`` around.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    if not keep:
-        temporary(path)
-    df.write.parquet(path)
+    temporary(path, keep)
+    before = spark.conf.get(SHUFFLES_GO, None)
+    spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLES_GO)
+        else:
+            spark.conf.set(SHUFFLES_GO, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def temporary(path: str) -> None:
-    """The path goes when the ``scratch`` around ends."""
-    if (paths := _scratch.get()) is not None:
-        paths.append(path)
+def temporary(path: str, keep: bool = False) -> None:
+    """The path goes when the ``scratch`` around ends, or, if kept, the one around that."""
+    if around := _scratch.get()[: -1 if keep else None]:
+        around[-1].append(path)
 
 
 def discard(spark: SparkSession, path: str) -> None:
@@ -60,13 +73,13 @@ def discard(spark: SparkSession, path: str) -> None:
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables stored inside are deleted at the end: their readers must be done by then."""
-    token = _scratch.set([])
+    paths: list[str] = []
+    token = _scratch.set((*_scratch.get(), paths))
     try:
         yield
     finally:
-        paths = _scratch.get()
         _scratch.reset(token)
-        for path in paths or []:
+        for path in paths:
             discard(spark, path)
 
 
