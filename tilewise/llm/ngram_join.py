@@ -16,7 +16,8 @@ with a block of bounded size of its shortest and of its longest list, inside a t
 by exact sets. Nodes that links join need no further comparison. What remains are pairs
 of nodes in different components. Lists of few nodes give pairs, which the bitmaps thin
 out before texts are compared. Long lists give no pairs: the nodes outside the largest
-component are compared with all others block by block inside tasks, and a block returns
+component are compared with all others block by block inside tasks, as bitmaps first. A
+block's rows that these don't rule out are compared as sets, and the block returns
 as many links as join its nodes, at most one for each. All verification is exact on
 64-bit shingle hashes.
 
@@ -296,36 +297,69 @@ def block_links(side: np.ndarray, node: np.ndarray, part: np.ndarray, sets: list
     return [(int(node[a]), int(node[b])) for a, b in pairs[spanning(len(side), pairs)]]
 
 
-def _linked_blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Spanning links of each block; the rows come sorted by block (``a, b, c``)."""
-    held: list[pa.RecordBatch] = []
-
-    def flush(rows: list[pa.RecordBatch]) -> list[tuple[int, int]]:
-        t = pa.Table.from_batches(rows)
-        if t.num_rows < 2:
-            return []
-        sets = [s for _, _, d, o in tk.runs(*tk.texts_of(t.column("text"))) for s in shingle_sets(d, o)]
-        return block_links(*(np.asarray(t.column(c)) for c in ("side", "node", "part")), sets, percent)
-
-    def links_of(found: list[tuple[int, int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["u", "v"])
+def possible(side: np.ndarray, part: np.ndarray, n: np.ndarray, maps: list[bytes], percent: int) -> np.ndarray:
+    """Which rows of a block may link with a row of another part, by sizes and bitmaps.
 
+    ``side`` as in ``block_links``; ``n`` has the sizes of the sets.
+    """
+    keep = np.zeros(len(side), bool)
+    width = np.array([len(m) for m in maps])
+    for w in np.unique(width):
+        for v in np.unique(width):
+            if max(w, v) > 2 * min(w, v):  # the larger set has more than twice the shingles
+                continue
+            i, j = np.nonzero((width == w) & (side != 1))[0], np.nonzero((width == v) & (side != 0))[0]
+            if not len(i) or not len(j):
+                continue
+            x, y = (np.frombuffer(b"".join(maps[k] for k in at), "<u8").reshape(len(at), -1) for at in (i, j))
+            words = min(x.shape[1], y.shape[1])
+            x, y = (m if m.shape[1] == words else m[:, :words] ^ m[:, words:] for m in (x, y))
+            apart = np.zeros((len(i), len(j)), np.int64)
+            for k in range(words):
+                apart += np.bitwise_count(x[:, k, None] ^ y[None, :, k])
+            total = n[i][:, None] + n[j][None, :]
+            both = np.minimum((total - apart) // 2, np.minimum(n[i][:, None], n[j][None, :]))
+            hit = (100 * both >= percent * (total - both)) & (part[i][:, None] != part[j][None, :])
+            keep[i[hit.any(axis=1)]] = True
+            keep[j[hit.any(axis=0)]] = True
+    return keep
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each block; they come sorted by block (``a, b, c``, the first columns)."""
+    held: list[pa.RecordBatch] = []
     last = None
     for b in batches:
         if not b.num_rows:
             continue
         key = np.stack([np.asarray(b.column(k)).astype(np.int64) for k in range(3)])
         cut = [0, *(np.nonzero((key[:, 1:] != key[:, :-1]).any(axis=0))[0] + 1).tolist(), b.num_rows]
-        found = []
         for i, j in zip(cut, cut[1:], strict=False):
             if held and tuple(key[:, i]) != last:
-                found += flush(held)
+                yield pa.Table.from_batches(held)
                 held = []
             held.append(b.slice(i, j - i))
             last = tuple(key[:, i])
-        yield links_of(found)
     if held:
-        yield links_of(flush(held))
+        yield pa.Table.from_batches(held)
+
+
+def _possible_rows(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """The rows of each block that may link with another part there."""
+    for t in _blocks(batches):
+        side, part, n = (np.asarray(t.column(c)).astype(np.int64) for c in ("side", "part", "n"))
+        keep = possible(side, part, n, t.column("bitmap").to_pylist(), percent)
+        if keep.any():
+            yield from t.drop_columns(["n", "bitmap"]).filter(pa.array(keep)).combine_chunks().to_batches()
+
+
+def _linked_blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Spanning links of each block."""
+    for t in _blocks(batches):
+        if t.num_rows > 1:
+            sets = [s for _, _, d, o in tk.runs(*tk.texts_of(t.column("text"))) for s in shingle_sets(d, o)]
+            found = block_links(*(np.asarray(t.column(c)) for c in ("side", "node", "part")), sets, percent)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["u", "v"])
 
 
 class _Join:
@@ -374,22 +408,27 @@ class _Join:
             return stored(both.select("u", "v", "x", "y").mapInArrow(partial(_linked, percent=self.percent), "u long, v long"), "join-links", keep=True)
 
     def in_blocks(self, dealt: DataFrame, rows: int) -> DataFrame:
-        """Spanning links of the blocks of ``dealt``: ``a, b, c`` (the block), ``side, node, part``."""
+        """Spanning links of the blocks of ``dealt``: ``a, b, c`` (the block), ``side, node, part``.
+
+        The blocks meet as bitmaps first; texts follow only of rows that may link.
+        """
         n = max(shuffle_partitions(dealt.sparkSession), -(-rows // ROWS_OF_A_TASK))
+        by_block = lambda t: t.repartition(n, "a", "b", "c").sortWithinPartitions("a", "b", "c")
         with scratch(self.rows.sparkSession):
-            with_text = dealt.join(self.texts(dealt), "node").select("a", "b", "c", "side", "node", "part", "text")
-            sorted_blocks = with_text.repartition(n, "a", "b", "c").sortWithinPartitions("a", "b", "c")
-            return stored(sorted_blocks.mapInArrow(partial(_linked_blocks, percent=self.percent), "u long, v long"), "join-links", keep=True)
+            with_map = dealt.join(self.nodes.select("node", "n", "bitmap"), "node").select("a", "b", "c", "side", "node", "part", "n", "bitmap")
+            maybe = stored(by_block(with_map).mapInArrow(partial(_possible_rows, percent=self.percent), "a long, b long, c long, side int, node long, part long"), "join-possible")
+            with_text = maybe.join(self.texts(maybe), "node").select("a", "b", "c", "side", "node", "part", "text")
+            return stored(by_block(with_text).mapInArrow(partial(_linked_blocks, percent=self.percent), "u long, v long"), "join-links", keep=True)
 
     def inside_lists(self, lists: DataFrame, salt: int) -> DataFrame:
         """Links inside blocks of each node's shortest and longest list."""
         tokens = stored(lists.groupBy("sig").agg(F.sum("n").alias("tokens")), "join-tokens")
         lists = stored(lists.join(tokens, "sig"), "join-sized")
         size = F.struct("size", "sig", "tokens")
-        ends = lists.groupBy("node").agg(F.min(size).alias("low"), F.max(size).alias("high"))
-        chosen = ends.select("node", F.explode(F.array_distinct(F.array("low", "high"))).alias("l")).select("node", "l.*")
+        ends = lists.groupBy("node").agg(F.first("part").alias("part"), F.min(size).alias("low"), F.max(size).alias("high"))
+        chosen = ends.select("node", "part", F.explode(F.array_distinct(F.array("low", "high"))).alias("l")).select("node", "part", "l.*")
         blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("tokens") / BLOCK_SHINGLES))
-        dealt = chosen.select(F.col("sig").alias("a"), F.pmod(F.xxhash64("node", F.lit(salt)), blocks).alias("b"), F.lit(0).alias("c"), F.lit(2).alias("side"), "node", F.col("node").alias("part"))
+        dealt = chosen.select(F.col("sig").alias("a"), F.pmod(F.xxhash64("node", F.lit(salt)), blocks).cast("long").alias("b"), F.lit(0).cast("long").alias("c"), F.lit(2).alias("side"), "node", "part")
         return self.in_blocks(dealt, lists.count())
 
     def parted(self, lists: DataFrame, links: DataFrame) -> DataFrame:
@@ -428,28 +467,34 @@ class _Join:
     def across_lists(self, long: DataFrame) -> DataFrame:
         """Links between the parts of long lists.
 
-        Lists that share nodes are a family, so a pair that meets in many lists is looked
-        at once. Every node outside its family's largest part is compared with all nodes
-        of the family: blocks of nodes against chunks of these outsiders, inside tasks.
+        Every node outside the largest part of its list is compared with all nodes of the
+        list: blocks of nodes against chunks of these outsiders, inside tasks. Lists that
+        share nodes are a family. Where its lists overlap much, the family is dealt as one
+        list, so that a pair that meets in many of them is looked at once.
         """
         chain = long.filter("before IS NOT NULL").select(F.col("before").alias("u"), F.col("node").alias("v")).distinct()
         family = connected_components(chain).withColumnRenamed("component_id", "family")
-        nodes = stored(long.groupBy("node").agg(F.first("part").alias("part"), F.first("n").alias("n")).join(family, "node"), "join-family")
-        share = nodes.groupBy("family", "part").agg(F.count("*").alias("rows"), F.sum("n").alias("tokens"))
-        blocks = lambda rows, tokens: F.greatest(F.lit(1), F.ceil(F.greatest(rows / BLOCK, tokens / BLOCK_SHINGLES))).cast("int")
-        total = share.groupBy("family").agg(F.sum("rows").alias("rows"), F.sum("tokens").alias("tokens"), F.max(F.struct("rows", "part", "tokens")).alias("top"))
-        plan = stored(
-            total.select(
-                "family", F.col("top.part").alias("main"), blocks(F.col("rows"), F.col("tokens")).alias("blocks"),
-                blocks(F.col("rows") - F.col("top.rows"), F.col("tokens") - F.col("top.tokens")).alias("chunks"),
-            ),
-            "join-plan",
-        )
-        dealt = stored(nodes.join(plan, "family").withColumn("h", F.xxhash64("node")), "join-dealt")
-        upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        own = dealt.select(F.col("family").alias("a"), F.pmod("h", "blocks").cast("int").alias("b"), upto("chunks").alias("c"), F.lit(0).alias("side"), "node", "part")
-        outside = dealt.filter("part <> main").select(F.col("family").alias("a"), upto("blocks").alias("b"), F.pmod("h", "chunks").cast("int").alias("c"), F.lit(1).alias("side"), "node", "part")
-        return self.in_blocks(own.unionByName(outside), nodes.count())
+        member = stored(long.select("sig", "node", "part", "n").join(family, "node"), "join-family")
+        listed = member.select(F.xxhash64(F.lit("list"), "sig").alias("a"), "family", "node", "part", "n")
+        whole = member.select(F.xxhash64(F.lit("family"), "family").alias("a"), "family", "node", "part", "n").distinct()
+        plans = stored(self.dealing(listed).withColumn("whole", F.lit(False)).unionByName(self.dealing(whole).withColumn("whole", F.lit(True))), "join-plans")
+        rows = lambda at: F.coalesce(F.sum(F.when(at, F.col("rows"))), F.lit(0))
+        cheap = plans.groupBy("family").agg((rows(F.col("whole")) <= rows(~F.col("whole"))).alias("whole"))
+        plan = stored(plans.join(cheap, ["family", "whole"]).select("a", "main", "blocks", "chunks", "rows"), "join-plan")
+        dealt = stored(listed.unionByName(whole).join(plan, "a").withColumn("h", F.xxhash64("node")), "join-dealt")
+        upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        own = dealt.select("a", F.pmod("h", "blocks").alias("b"), upto("chunks").alias("c"), F.lit(0).alias("side"), "node", "part")
+        outside = dealt.filter("part <> main").select("a", upto("blocks").alias("b"), F.pmod("h", "chunks").alias("c"), F.lit(1).alias("side"), "node", "part")
+        return self.in_blocks(own.unionByName(outside), plan.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0])
+
+    def dealing(self, listed: DataFrame) -> DataFrame:
+        """``family, a, main, blocks, chunks, rows`` of each list ``a``: how it is dealt, and the rows that this makes."""
+        blocks = lambda rows, tokens: F.greatest(F.lit(1), F.ceil(F.greatest(rows / BLOCK, tokens / BLOCK_SHINGLES))).cast("long")
+        share = listed.groupBy("family", "a", "part").agg(F.count("*").alias("rows"), F.sum("n").alias("tokens"))
+        total = share.groupBy("family", "a").agg(F.sum("rows").alias("rows"), F.sum("tokens").alias("tokens"), F.max(F.struct("rows", "part", "tokens")).alias("top"))
+        outside, tokens = F.col("rows") - F.col("top.rows"), F.col("tokens") - F.col("top.tokens")
+        planned = total.select("family", "a", F.col("top.part").alias("main"), blocks(F.col("rows"), F.col("tokens")).alias("blocks"), blocks(outside, tokens).alias("chunks"), "rows", outside.alias("outside"))
+        return planned.filter("outside > 0").select("family", "a", "main", "blocks", "chunks", F.expr("rows * chunks + outside * blocks").alias("rows"))
 
     def groups(self) -> DataFrame:
         """``doc_id, doc, stamp, n, node, root``: root names the group; null for empty sets."""
