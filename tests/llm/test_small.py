@@ -560,3 +560,21 @@ def test_span_hashes_do_not_depend_on_place():
     p = tk.prefix_hash(data)
     h = tk.span_hash(p, np.array([2, 8, 2]), np.array([5, 11, 6]))
     assert h[0] == h[1] != h[2]
+
+
+def test_possible_rows_of_a_block_lose_no_link():
+    rng = np.random.default_rng(5)
+    pool = rng.integers(0, 1 << 63, 4000, dtype=np.uint64)
+    sets = []
+    for size in (1, 2, 5, 31, 33, 40, 300, 700):
+        base = rng.choice(pool, size, replace=False)
+        sets += [np.unique(base), np.unique(np.append(base[: max(1, size * 9 // 10)], rng.choice(pool, size // 20))), np.unique(rng.choice(pool, size))]
+    n, part, maps = np.array([len(s) for s in sets]), np.arange(len(sets)) // 2, [ngram_join.bitmap(s) for s in sets]
+    for side in (np.full(len(sets), 2), np.arange(len(sets)) % 2):
+        keep = ngram_join.possible(side, part, n, maps, 75)
+        assert not keep.all()
+        for i, x in enumerate(sets):
+            for j, y in enumerate(sets):
+                both = len(np.intersect1d(x, y))
+                if side[i] != 1 and side[j] != 0 and part[i] != part[j] and 100 * both >= 75 * (len(x) + len(y) - both):
+                    assert keep[i] and keep[j]
