@@ -5,6 +5,8 @@ from __future__ import annotations
 from tilewise.llm import license_scan
 from tilewise.llm.mixing import MOST_EPOCHS
 from tilewise.llm.quality_rules import BIT, POLICIES, RULES
+from tilewise.llm.source_audit import LEAST_DOCS, PRIOR, TOP_TERMS, WHOLE
+from tilewise.llm.url_filter import PARTS, RULES as URL_RULES
 from tilewise.llm.warc import START
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -69,6 +71,43 @@ links AS (SELECT a, b FROM shared JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(root, d.doc_id) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN roots ON node = d.doc_id
 """
 
+SEARCH = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+c AS (SELECT count(*)::BIGINT AS docs, sum(len(w))::BIGINT AS terms FROM d WHERE len(w) > 0),
+m AS (SELECT r, doc_id, 100 - 75 + (75 * len(w)::BIGINT * docs) // terms AS m FROM d, c WHERE len(w) > 0),
+f AS (SELECT r, t, count(*)::BIGINT AS tf FROM (SELECT r, unnest(w) AS t FROM d) GROUP BY ALL),
+v AS (SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM f, c GROUP BY t, docs),
+q AS (SELECT b, item_id, t, count(*)::BIGINT AS k FROM (SELECT row_number() OVER () AS b, item_id, unnest(regexp_extract_all({LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS t FROM benchmark) GROUP BY ALL),
+s AS (SELECT b, item_id, m.r, doc_id, sum(k * weight * ((1000000000 * tf) // (1000 * tf + 8 * m.m)))::BIGINT AS score FROM q JOIN v USING (t) JOIN f USING (t) JOIN m USING (r) GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY score DESC, doc_id NULLS LAST) AS place FROM s WHERE score > 0)
+SELECT item_id, place::INT AS rank, doc_id, score FROM o WHERE place <= 10
+"""
+
+SHARE = f"1 + ({WHOLE} * ({{}} + {PRIOR})::HUGEINT) // ({{}} + {PRIOR} * {{}})"
+AUDIT = f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({LOWER}, '[^\\x00-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term, count(*)::BIGINT AS n FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= {LEAST_DOCS}),
+l AS (SELECT lang, count(*)::BIGINT AS v, sum(n)::BIGINT AS total FROM k GROUP BY lang),
+c AS (SELECT lang, source, term, count(*)::BIGINT AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY ALL),
+g AS (SELECT lang, source, coalesce(sum(n), 0)::BIGINT AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, ({SHARE.format("coalesce(c.n, 0)", "g.total", "l.v")})::BIGINT AS p, ({SHARE.format("k.n", "l.total", "l.v")})::BIGINT AS q
+  FROM g JOIN l USING (lang) JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+f AS (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p))::BIGINT AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+a AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(f.value, 0)::BIGINT AS value FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN f ON f.lang = x.lang AND f.source = x.source AND f.item = y.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM a)
+SELECT * FROM o WHERE part = 'pair' OR rank <= {TOP_TERMS}
+"""
+
+URLS = f"""
+WITH p AS (SELECT row_number() OVER () AS r, page_id, translate(regexp_extract(coalesce(url, ''), '{PARTS}', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '{PARTS}', 2) AS path FROM pages),
+u(verdict, h, b) AS (VALUES {", ".join(map(str, URL_RULES))}),
+f AS (SELECT r, h, b, verdict, row_number() OVER (PARTITION BY r ORDER BY length(h) + length(b) DESC, length(h) DESC) AS place FROM p JOIN u ON (host = h OR ends_with(host, concat('.', h))) AND starts_with(path, b))
+SELECT page_id, host, path, concat(h, b) AS rule, verdict FROM p JOIN f USING (r) WHERE place = 1
+UNION ALL SELECT page_id, host, path, NULL, 'allow' FROM p WHERE r NOT IN (SELECT r FROM f)
+"""
+
 SQL = {
     "op1_license_scan": license_scan.oracle(),
     "op2_warc": WARC,
@@ -76,4 +115,7 @@ SQL = {
     "op6_quality_rules": RULES_SQL,
     "op7_embedding_dedup": VECTORS,
     "op10_ngram_join": SHINGLES,
+    "op11_lexical_search": SEARCH,
+    "op12_source_audit": AUDIT,
+    "op13_url_filter": URLS,
 }
