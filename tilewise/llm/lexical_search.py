@@ -59,9 +59,11 @@ FREQUENT = 16_384
 #: Queries and query terms of one batch (a single query may have more terms).
 BATCH_QUERIES, BATCH_TERMS = 256, 32_768
 #: Terms that a task holds before it passes their counts on, or remembers.
-HELD_TERMS = 400_000
+HELD_TERMS = 250_000
 #: Bytes of a text taken at a time, and bounds of a block.
 PIECE, BLOCK = 1 << 20, 1 << 22
+#: Most coordinates are 0, so sketches are stored packed.
+CODEC = "zstd"
 
 #: Term bytes to themselves (A-Z lower-cased), all others to a space: `[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+`
 TERM_BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
@@ -170,15 +172,17 @@ def sketch(found: Counter, weights: Weights, n_docs: int, n_terms: int) -> bytes
 def _sketched(batches: Iterator[pa.RecordBatch], frequent: dict[bytes, int], n_docs: int, n_terms: int) -> Iterator[pa.RecordBatch]:
     weights, row = Weights(frequent, n_docs), TaskContext.get().partitionId() << 40
     for b in batches:
-        kept, sketches = [], []
+        kept, widths, sketches = [], [], []
         for k, text in enumerate(b.column(1)):
             if found := counted(text.as_py()):
                 kept.append(k)
-                sketches.append(sketch(found, weights, n_docs, n_terms))
+                made = sketch(found, weights, n_docs, n_terms)
+                widths.append(len(made) // ROWS)
+                sketches.append(pa.compress(made, CODEC, asbytes=True))
         some = b.take(pa.array(kept, pa.int64()))
         rows = pa.array(np.arange(row, row + len(kept), dtype=np.int64))
         row += len(kept)
-        yield pa.RecordBatch.from_arrays([rows, some.column(0), pa.array(sketches, pa.binary()), some.column(1)], ["row", "doc_id", "sketch", "text"])
+        yield pa.RecordBatch.from_arrays([rows, some.column(0), pa.array(widths, pa.int32()), pa.array(sketches, pa.binary()), some.column(1)], ["row", "doc_id", "width", "sketch", "text"])
 
 
 class Index:
@@ -206,7 +210,7 @@ def build(docs: DataFrame) -> Index:
         least = r["level"]
     frequent = {} if least is None else {bytes(r.term): r.df for r in terms.filter(level >= least).collect()}
     kernel = partial(_sketched, frequent=frequent, n_docs=n_docs, n_terms=n_terms)
-    rows = stored(pick(docs, "doc_id", "text").mapInArrow(kernel, "row long, doc_id long, sketch binary, text string"), "search-sketches")
+    rows = stored(pick(docs, "doc_id", "text").mapInArrow(kernel, "row long, doc_id long, width int, sketch binary, text string"), "search-sketches")
     return Index(terms, rows, n_docs, n_terms)
 
 
@@ -230,18 +234,18 @@ class Batch:
             for t, n in q.items():
                 self.repeats[at[t], j] = n
 
-    def bounds(self, sketches: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def bounds(self, widths: pa.Array, sketches: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(positions, bounds in units of each query) for blocks of sketches of one width."""
-        width = np.array([len(s.as_buffer()) for s in sketches], np.int64)
-        for w in np.unique(width):
-            at, some = np.nonzero(width == w)[0], max(1, BLOCK // max(1, len(self.terms), w))
-            rows = slots(self.hashes, int(w) // ROWS)
+        width = widths.to_numpy(zero_copy_only=False)
+        for w in np.unique(width).tolist():
+            at, some, rows = np.nonzero(width == w)[0], max(1, BLOCK // max(1, len(self.terms), ROWS * w)), slots(self.hashes, w)
             for k in range(0, len(at), some):
-                held = np.stack([np.frombuffer(sketches[int(i)].as_buffer(), np.uint8) for i in at[k : k + some]])
+                block = at[k : k + some]
+                held = np.stack([np.frombuffer(pa.decompress(sketches[int(i)].as_buffer(), ROWS * w, CODEC), np.uint8) for i in block])
                 least = np.minimum(held[:, rows[0]], self.caps)
                 for row in rows[1:]:
                     np.minimum(least, held[:, row], out=least)
-                yield at[k : k + some], least.astype(self.repeats.dtype) @ self.repeats
+                yield block, least.astype(self.repeats.dtype) @ self.repeats
 
     def scores(self, found: Counter) -> dict[bytes, int]:
         """What each query term adds for one document."""
@@ -257,7 +261,7 @@ def _best_bounds(batches: Iterator[pa.RecordBatch], batch: Batch, k: int) -> Ite
     best: list[list[tuple[int, int]]] = [[] for _ in batch.queries]
     for b in batches:
         rows = b.column(0).to_numpy()
-        for at, bounds in batch.bounds(b.column(1)):
+        for at, bounds in batch.bounds(b.column(1), b.column(2)):
             for j, heap in enumerate(best):
                 own = bounds[:, j]
                 least = heap[0][0] if len(heap) == k else 0
@@ -287,9 +291,9 @@ def _rescored(batches: Iterator[pa.RecordBatch], batch: Batch, thresholds: list[
     best: list[list[tuple]] = [[] for _ in batch.queries]
     needed = np.array([-(-t // batch.unit) for t in thresholds])
     for b in batches:
-        ids, texts = b.column(0).to_pylist(), b.column(2)
+        ids, texts = b.column(0).to_pylist(), b.column(3)
         wanted: list[tuple[int, int, int]] = []
-        for at, bounds in batch.bounds(b.column(1)):
+        for at, bounds in batch.bounds(b.column(1), b.column(2)):
             i, j = np.nonzero(bounds >= needed)
             wanted += zip((-bounds[i, j]).astype(np.int64).tolist(), at[i].tolist(), j.tolist(), strict=True)
         adds: dict[int, dict[bytes, int]] = {}
@@ -312,14 +316,14 @@ def search_batch(spark: SparkSession, index: Index, items: list[tuple[int | None
     df = {bytes(r.term): r.df for r in index.terms.join(F.broadcast(asked), "term").collect()}
     batch = Batch([q for _, q in items], df, index.n_docs, index.n_terms)
     by_query = W.partitionBy("query")
-    bounds = index.rows.select("row", "sketch").mapInArrow(partial(_best_bounds, batch=batch, k=FIRST * k), "query int, bound long, row long")
+    bounds = index.rows.select("row", "width", "sketch").mapInArrow(partial(_best_bounds, batch=batch, k=FIRST * k), "query int, bound long, row long")
     first = bounds.withColumn("place", F.row_number().over(by_query.orderBy(F.desc("bound"), "row"))).filter(F.col("place") <= FIRST * k)
     # at most FIRST * k rows for each query of a batch
     named = stored(first.groupBy("row").agg(F.collect_list("query").alias("queries")), "search-first")
     exact = index.rows.join(F.broadcast(named), "row").select("text", "queries").mapInArrow(partial(_first_scores, batch=batch), "query int, score long")
     reached = {r["query"]: sorted(r.scores) for r in exact.groupBy("query").agg(F.collect_list("score").alias("scores")).collect()}
     thresholds = [max(1, reached[j][-k]) if len(reached.get(j, ())) >= k else 1 for j in range(len(items))]
-    scored = index.rows.select("doc_id", "sketch", "text").mapInArrow(partial(_rescored, batch=batch, thresholds=thresholds, k=k), "query int, score long, doc_id long")
+    scored = index.rows.select("doc_id", "width", "sketch", "text").mapInArrow(partial(_rescored, batch=batch, thresholds=thresholds, k=k), "query int, score long, doc_id long")
     ranked = scored.withColumn("rank", F.row_number().over(by_query.orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last()))).filter(F.col("rank") <= k)
     names = spark.createDataFrame([(j, item) for j, (item, _) in enumerate(items)], "query int, item_id long")
     return ranked.join(F.broadcast(names), "query").select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
