@@ -139,7 +139,7 @@ def share(n: str, total: str, kept: str) -> F.Column:
 DIFFERENCES = "lang string, a int, b int, value long, covered long"
 
 
-def _differences(table: pa.Table) -> pa.Table:
+def _differences(table: pa.Table, tile: int) -> pa.Table:
     """Sums of differences for the pairs of two tiles of sources, over a block of terms."""
     place, none, p = (table.column(c).to_numpy() for c in ("place", "none", "p"))
     listed = table.column("term").is_valid().to_numpy()
@@ -150,7 +150,7 @@ def _differences(table: pa.Table) -> pa.Table:
     shares = np.repeat(zero[:, None], n_terms := len(term.dictionary), axis=1)
     shares[at[listed], term.indices.to_numpy()] = p[listed]
     ta, tb = table.column("ta")[0].as_py(), table.column("tb")[0].as_py()
-    edge = int(np.searchsorted(sources, (ta + 1) * TILE))
+    edge = int(np.searchsorted(sources, (ta + 1) * tile))
     firsts = [(i, i + 1 if ta == tb else edge) for i in range(edge)]
     a = np.concatenate([np.full(len(sources) - j, sources[i]) for i, j in firsts])
     b = np.concatenate([sources[j:] for _, j in firsts])
@@ -159,21 +159,21 @@ def _differences(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays(columns, ["lang", "a", "b", "value", "covered"])
 
 
-def pair_sums(shares: DataFrame, groups: DataFrame) -> DataFrame:
+def pair_sums(shares: DataFrame, groups: DataFrame, tile: int, block_terms: int) -> DataFrame:
     """``lang, a, b, value, covered`` for places a < b: the terms that a block lists are covered."""
     most = groups.agg(F.max("kept"), F.max("place")).first()
-    blocks, tiles = -(-(most[0] or 1) // BLOCK_TERMS), ((most[1] or 0) // TILE) + 1
+    blocks, tiles = -(-(most[0] or 1) // block_terms), (most[1] or 0) // tile + 1
     block = F.pmod(F.xxhash64("term"), F.lit(blocks)).cast("int")
     # every source stands in every block with the share of a term that it lacks
     marks = groups.filter("kept > 0").select("lang", "place", "none", F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("p"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     rows = shares.select("lang", "place", "none", "term", "p", block.alias("block")).unionByName(marks)
-    own = F.floor(F.col("place") / TILE).cast("int")
+    own = F.floor(F.col("place") / tile).cast("int")
     dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).withColumns({"ta": F.least(own, "other"), "tb": F.greatest(own, "other")}).drop("other")
-    sums = dealt.groupBy("lang", "ta", "tb", "block").applyInArrow(_differences, DIFFERENCES)
+    sums = dealt.groupBy("lang", "ta", "tb", "block").applyInArrow(lambda t: _differences(t, tile), DIFFERENCES)
     return sums.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"), F.sum("covered").alias("covered"))
 
 
-def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP_TERMS) -> DataFrame:
+def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP_TERMS, tile: int = TILE, block_terms: int = BLOCK_TERMS) -> DataFrame:
     """``lang, source, part, item, value, rank``: sources compared pair by pair, and their outstanding terms."""
     counts = stored(term_counts(docs), "audit-counts")
     kept_terms = counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")).filter(F.col("docs") >= least_docs).drop("docs")
@@ -194,7 +194,7 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP_TERMS) -
         shares.filter("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), (F.col("p") - F.col("q")).alias("value"))
         .withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)
     )
-    sums = pair_sums(shares, groups)
+    sums = pair_sums(shares, groups, tile, block_terms)
     ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
     both = sums.select("lang", "value", "covered", F.explode(ways).alias("w")).select("lang", F.col("w.a").alias("place"), F.col("w.b").alias("other"), F.col("value").alias("listed"), "covered")
     others = groups.select("lang", F.col("source").alias("item"), F.col("place").alias("other"), F.col("none").alias("other_none"))
