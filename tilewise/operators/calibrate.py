@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tilewise.operators.ranks import quantiles
+
 
 def check_percentile(p: float) -> float:
     if not 0 < p < 1:
@@ -20,17 +22,24 @@ def map_quantile(cells: DataFrame, p: float, keys: list[str], value: str = "pred
 def calibrate(normals: DataFrame, score_p: float, pixel_p: float | None = None) -> DataFrame:
     """``clsname (null: global), normal_image_count, threshold, pixel_threshold``.
 
-    ``normals``: ``clsname, score`` and, for pixel thresholds, ``pixel_stat``.
+    ``normals``: ``clsname, score`` and, for pixel thresholds, ``pixel_stat``. The quantiles
+    are exact and spread: the global group, like a category of very many images, is read by
+    ranges of values. Rows without a category count in the global group only.
     """
     rows = normals if "pixel_stat" in normals.columns else normals.withColumn("pixel_stat", F.lit(None).cast("double"))
-    quantile = lambda c, p: F.percentile(F.col(c).cast("double"), F.lit(check_percentile(p)))
-    grouped = rows.groupingSets([[], [F.col("clsname")]], F.col("clsname")).agg(
-        F.grouping("clsname").alias("is_global"),
-        F.count("*").alias("normal_image_count"),
-        quantile("score", score_p).alias("threshold"),
-        quantile("pixel_stat", pixel_p or score_p).alias("pixel_threshold"),
-    )
-    return grouped.filter("is_global = 1 OR clsname IS NOT NULL").drop("is_global")
+    measures = {"threshold": ("score", check_percentile(score_p)), "pixel_threshold": ("pixel_stat", check_percentile(pixel_p or score_p))}
+    listed = F.array(*[F.struct(F.lit(m).alias("measure"), F.lit(p).alias("share"), F.col(c).cast("double").alias("value")) for m, (c, p) in measures.items()])
+    groups = F.array(F.struct(F.lit(True).alias("is_global"), F.lit(None).cast(normals.schema["clsname"].dataType).alias("clsname")), F.struct(F.lit(False).alias("is_global"), F.col("clsname")))
+    keyed = rows.select(F.explode(groups).alias("g"), listed.alias("m")).select("g.is_global", "g.clsname", "m").filter("is_global OR clsname IS NOT NULL")
+    values = keyed.select("is_global", "clsname", F.explode("m").alias("m")).select("is_global", "clsname", "m.*")
+    found = quantiles(values, ["is_global", "clsname", "measure"])
+    of = lambda m: F.max(F.when(F.col("measure") == m, F.col("quantile"))).alias(m)
+    wide = found.groupBy("is_global", F.col("clsname").alias("of")).agg(*[of(m) for m in measures])
+    counted = keyed.groupBy("is_global", "clsname").agg(F.count("*").alias("normal_image_count"))
+    if_empty = normals.sparkSession.range(1).select(F.lit(True).alias("is_global"), F.lit(None).cast(normals.schema["clsname"].dataType).alias("clsname"), F.lit(0).cast("long").alias("normal_image_count"))
+    counted = counted.unionByName(if_empty).groupBy("is_global", "clsname").agg(F.sum("normal_image_count").alias("normal_image_count"))
+    joined = counted.join(wide, (counted["is_global"] == wide["is_global"]) & counted["clsname"].eqNullSafe(wide["of"]), "left")
+    return joined.select("clsname", "normal_image_count", *measures)
 
 
 def lookup(images: DataFrame, calibration: DataFrame) -> DataFrame:

@@ -9,32 +9,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tilewise.operators.ranks import running
+
 BINS = 65_536
 
 
 def binary_curve(rows: DataFrame, key: str = "clsname") -> DataFrame:
-    """``clsname, score, tp, fp, tpr, fpr, precision`` at each distinct score, from the top.
+    """``clsname, score, tp, fp, tpr, fpr, precision, tpr0, fpr0`` at each distinct score, from the top.
 
-    Equal scores are collapsed first, so a category of very many rows reaches the window
-    as its distinct scores only.
+    Equal scores are collapsed first; the counts from the top are prefix sums over ranges of
+    scores, so no task sees a whole category. ``tpr0, fpr0``: the rates before that score.
     """
     ties = rows.groupBy(key, "score").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n"))
-    down = W.partitionBy(key).orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    whole = W.partitionBy(key)
-    c = ties.select(key, "score", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("fp"), F.sum("p").over(whole).alias("pos"), F.sum("n").over(whole).alias("neg"))
-    return c.filter("pos > 0 AND neg > 0").select(
-        key, "score", "tp", "fp", (F.col("tp") / F.col("pos")).alias("tpr"), (F.col("fp") / F.col("neg")).alias("fpr"), F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), F.lit(0.0)).alias("precision")
-    )
-
+    c = running(ties, [key], [F.desc("score")], ["p", "n"]).filter("all_p > 0 AND all_n > 0")
+    tp, fp = F.col("up_to_p"), F.col("up_to_n")
+    rates = [(tp / F.col("all_p")).alias("tpr"), (fp / F.col("all_n")).alias("fpr"), F.coalesce(F.try_divide(tp, tp + fp), F.lit(0.0)).alias("precision")]
+    return c.select(key, "score", tp.alias("tp"), fp.alias("fp"), *rates, ((tp - F.col("p")) / F.col("all_p")).alias("tpr0"), ((fp - F.col("n")) / F.col("all_n")).alias("fpr0"))
 
-def _area(curve: DataFrame, key: str, order: Column) -> Column:
-    w = W.partitionBy(key).orderBy(order)
-    return (F.col("fpr") - F.lag("fpr", 1, 0.0).over(w)) * (F.col("tpr") + F.lag("tpr", 1, 0.0).over(w)) / 2
 
-
-def auroc(curve: DataFrame, key: str = "clsname", order: str = "score", name: str = "image_auroc") -> DataFrame:
+def auroc(curve: DataFrame, key: str = "clsname", name: str = "image_auroc") -> DataFrame:
     """Area under the curve by trapezoids from (0, 0)."""
-    return curve.withColumn("area", _area(curve, key, F.desc(order))).groupBy(key).agg(F.sum("area").alias(name))
+    area = (F.col("fpr") - F.col("fpr0")) * (F.col("tpr") + F.col("tpr0")) / 2
+    return curve.groupBy(key).agg(F.sum(area).alias(name))
 
 
 def youden_threshold(curve: DataFrame, key: str = "clsname") -> DataFrame:
@@ -92,19 +88,22 @@ def pixel_histogram(pairs: DataFrame, bins: int = BINS, key: str = "clsname") ->
 
 
 def pixel_curve(histogram: DataFrame, bins: int = BINS, key: str = "clsname") -> DataFrame:
-    """``clsname, bin, edge, tpr, fpr, precision``: cumulative from the highest bin."""
+    """``clsname, bin, edge, tpr, fpr, precision, tpr0, fpr0``: cumulative from the highest bin.
+
+    A category has at most ``bins`` rows here, whatever its pixels.
+    """
     down = W.partitionBy(key).orderBy(F.desc("bin")).rowsBetween(W.unboundedPreceding, W.currentRow)
     whole = W.partitionBy(key)
-    c = histogram.select(key, "bin", "lo", "hi", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"), F.sum("pos").over(whole).alias("p"), F.sum("neg").over(whole).alias("n"))
+    c = histogram.select(key, "bin", "lo", "hi", "pos", "neg", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"), F.sum("pos").over(whole).alias("p"), F.sum("neg").over(whole).alias("n"))
     edge = F.col("lo").cast("double") + F.col("bin") * ((F.col("hi").cast("double") - F.col("lo").cast("double")) / bins)
     return c.filter("p > 0 AND n > 0").select(
-        key, "bin", edge.alias("edge"), (F.col("tp") / F.col("p")).alias("tpr"), (F.col("fp") / F.col("n")).alias("fpr"), F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), F.lit(0.0)).alias("precision")
-    )
+        key, "bin", edge.alias("edge"), (F.col("tp") / F.col("p")).alias("tpr"), (F.col("fp") / F.col("n")).alias("fpr"), F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), F.lit(0.0)).alias("precision"),
+        ((F.col("tp") - F.col("pos")) / F.col("p")).alias("tpr0"), ((F.col("fp") - F.col("neg")) / F.col("n")).alias("fpr0"),
+    )
 
 
-def average_precision(curve: DataFrame, key: str = "clsname", order: str = "bin") -> DataFrame:
-    w = W.partitionBy(key).orderBy(F.desc(order))
-    return curve.withColumn("part", (F.col("tpr") - F.lag("tpr", 1, 0.0).over(w)) * F.col("precision")).groupBy(key).agg(F.sum("part").alias("pixel_ap"))
+def average_precision(curve: DataFrame, key: str = "clsname") -> DataFrame:
+    return curve.groupBy(key).agg(F.sum((F.col("tpr") - F.col("tpr0")) * F.col("precision")).alias("pixel_ap"))
 
 
 def best_f1(curve: DataFrame, key: str = "clsname") -> DataFrame:
@@ -116,7 +115,7 @@ def best_f1(curve: DataFrame, key: str = "clsname") -> DataFrame:
 
 def pixel_metrics(pairs: DataFrame, bins: int = BINS) -> DataFrame:
     curve = pixel_curve(pixel_histogram(pairs, bins), bins)
-    return auroc(curve, order="bin", name="pixel_auroc").join(average_precision(curve), "clsname").join(best_f1(curve), "clsname")
+    return auroc(curve, name="pixel_auroc").join(average_precision(curve), "clsname").join(best_f1(curve), "clsname")
 
 
 Metric = Callable[[DataFrame], DataFrame]

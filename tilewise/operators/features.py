@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tilewise.functions.vectors import cosine_distance, dot, is_finite
+from tilewise.operators.ranks import running
 
 
 def token_distance(tokens: DataFrame) -> DataFrame:
@@ -100,10 +101,12 @@ def reconstruction_loss(tokens: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def hard_mining_weights(distances: DataFrame, keys: list[str], order: list[str], share: float, factor: float) -> DataFrame:
-    """Adds ``weight``: ``factor`` for the easiest int(n * share) tokens of a layer, else 1."""
-    by = W.partitionBy(*keys)
-    ranked = distances.withColumn("place", F.row_number().over(by.orderBy("distance", *order))).withColumn("n", F.count("*").over(by))
-    return ranked.withColumn("weight", F.when(F.col("place") <= F.floor(F.col("n") * share), factor).otherwise(1.0)).drop("place", "n")
+    """Adds ``weight``: ``factor`` for the easiest int(n * share) tokens of a layer, else 1.
+
+    Places are counted over ranges of distances, so a layer may have any number of tokens.
+    """
+    placed = running(distances.withColumn("one", F.lit(1)), keys, ["distance", *order], ["one"])
+    return placed.withColumn("weight", F.when(F.col("up_to_one") <= F.floor(F.col("all_one") * share), factor).otherwise(1.0)).drop("one", "up_to_one", "all_one")
 
 
 def ramped_share(step: int, warm_up: int, final: float) -> float:

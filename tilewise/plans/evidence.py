@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tilewise.operators import calibrate, decide, features
 from tilewise.sources import tables
+from tilewise.sources.storage import stored
 
 TOP_K = 2
 PERCENTILE = 0.95
@@ -50,12 +51,18 @@ def pixel_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def calibration_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    normals = scored(spark, sf_dir).filter("normal").join(pixel_stats(spark, sf_dir), "image")
+    return calibration_of(scored(spark, sf_dir), pixel_stats(spark, sf_dir))
+
+
+def calibration_of(scores: DataFrame, stats: DataFrame) -> DataFrame:
+    normals = scores.filter("normal").join(stats, "image")
     return calibrate.calibrate(normals.select("clsname", "score", "pixel_stat"), PERCENTILE)
 
 
 def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decide.decide_images(scored(spark, sf_dir).filter("NOT normal"), calibration_table(spark, sf_dir))
+    """Normals set the thresholds, the others are judged; both come from one table of scores."""
+    scores = stored(scored(spark, sf_dir), "scores")
+    return decide.decide_images(scores.filter("NOT normal"), calibration_of(scores, pixel_stats(spark, sf_dir)))
 
 
 def token_distance(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,21 +5,32 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 #: The folder of each application that names none; its settings can't be changed any more.
 _own: dict[str, str] = {}
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``.
+
+    Where it is unset, a session whose tasks run in the driver's own process gets a folder
+    beside it; on a cluster, executors wouldn't see that folder, so it is an error there.
+    """
+    if where := spark.conf.get("spark.checkpoint.dir", None):
+        return where.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = "file://" + tempfile.mkdtemp(prefix="spark-")
+    return _own[app]
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written below ``spark.checkpoint.dir`` (a local folder only if that is unset)."""
-    spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = _own.setdefault(spark.sparkContext.applicationId, "")
-        if not where:
-            where = _own[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-")
-    path = f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """``df`` written to the shared folder and read back."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
