@@ -396,7 +396,7 @@ def test_e8_points_are_in_the_lattice_and_nearest():
 
 
 def test_warc_round_trip(spark):
-    rows = [(1, "http://www.b.org/x?b=2&a=1", "<p>same</p>"), (2, "http://a.org/", "<p>same</p>"), (3, None, None), (4, "http://a.org/", ""), (4, "http://a.org/", "é\r\n\r\nWARC/1.1\r\n\r\n"), (None, "http://c.org/ é\n", "lone"), (7, "not a url", "x" * 300_000), (9, "http://a.org/", "<p>same</p>")]
+    rows = [(1, "http://www.b.org/x?b=2&a=1", "<p>same</p>"), (2, "http://a.org/", "<p>same</p>"), (3, None, None), (4, "http://a.org/", ""), (4, "http://a.org/", "é\r\n\r\nWARC/1.1\r\n\r\n"), (None, "http://c.org/ é\n", "lone"), (7, "not a url", "x" * 300_000), (9, "http://a.org/", "<p>same</p>"), (11, "http://[bad/x", "bracket"), (12, "http://a\u2100b.org/", "folded host")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("z"))
     last = {}
     for i, _, h in rows:
@@ -423,6 +423,20 @@ def test_warc_ranges_are_bounded(spark, monkeypatch):
     assert {(r.record_type, r.refers_to) for r in index.filter("page_id % 4 <> 0").collect()} == {("response", None), ("revisit", 199)}
 
 
+def test_warc_captures_without_ids_are_spread(spark, monkeypatch):
+    """One URL, one time and no ids: the place in the archives still parts them."""
+    monkeypatch.setattr(warc, "RANGE_ROWS", 10)
+    monkeypatch.setattr(warc, "ARCHIVE_RECORDS", 40)
+    pages = spark.createDataFrame([(None, "http://a.org/", f"page {i}") for i in range(300)], "page_id long, url string, html string")
+    sizes = warc.archive_and_index(pages).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in sizes) == 300 and max(r["count"] for r in sizes) <= 60
+
+
+def test_url_key():
+    assert warc.url_key("http://www.b.org/x?b=2&a=1") == "org,b)/x?a=1&b=2"
+    assert warc.url_key("http://[bad/x") == "http://[bad/x" and warc.url_key("http://a\u2100b.org/") == "http://a\u2100b.org/" and warc.url_key(None) == ""
+
+
 @pytest.mark.parametrize("k", [0, 1, 2, 3, 5, 8, 13])
 def test_loser_tree(k):
     rng = np.random.default_rng(k)

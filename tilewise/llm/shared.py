@@ -7,7 +7,6 @@ never takes the only copy with it.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -16,19 +15,7 @@ from contextvars import ContextVar
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-#: The folder of each application that names none; its settings can't be changed any more.
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a fresh local one only if unset (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = _own.setdefault(spark.sparkContext.applicationId, "")
-        if not where:
-            where = _own[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return where.rstrip("/")
+from tilewise.sources.storage import shared_dir
 
 
 def new_path(spark: SparkSession, name: str) -> str:

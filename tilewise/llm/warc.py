@@ -4,15 +4,16 @@ Payloads that occur more than once are stored once: the capture with the largest
 id is the response, the others are revisit records that refer to it. Archives are
 written and read with Spark's own file sources, so any file system that Spark knows
 will do. Each archive read back gives a locally sorted run of captures; the runs are
-dealt by ranges of (URL key, time, page) and each range is merged by a loser tree, so
-one URL with very many captures is spread over several ranges.
+dealt by ranges of (URL key, time, page, place) and each range is merged by a loser tree, so
+one URL with very many captures, even at one time and without ids, is spread over several
+ranges.
 
 Defined cases: null html is an empty payload; null url leaves the target header out;
 rows that repeat a page id are captures of their own (all rows with the largest id of
 a payload are responses); null ids are kept and never referred to unless all ids of the
-payload are null; control characters of a URL are percent-encoded; a very long page is
-one record, held whole by one task; extra columns are ignored; an empty table writes an
-empty archive folder and gives no rows.
+payload are null; control characters of a URL are percent-encoded; a malformed URL is its
+own key; a very long page is one record, held whole by one task; extra columns are
+ignored; an empty table writes an empty archive folder and gives no rows.
 """
 
 from __future__ import annotations
@@ -46,11 +47,14 @@ def payload_digest(payload: bytes) -> str:
 
 
 def url_key(url: str | None) -> str:
-    """Host labels from right to left, then path and sorted query."""
+    """Host labels from right to left, then path and sorted query; the URL itself if it is malformed."""
     if not url:
         return ""
-    parts = urlsplit(url)
-    host = (parts.hostname or "").removeprefix("www.")
+    try:
+        parts = urlsplit(url)
+        host = (parts.hostname or "").removeprefix("www.")
+    except ValueError:
+        return url
     query = "&".join(sorted(parts.query.split("&"))) if parts.query else ""
     return ",".join(reversed(host.split("."))) + ")" + (parts.path or "/") + ("?" + query if query else "")
 
@@ -126,8 +130,9 @@ def parse_archive(name: str, data: bytes) -> list[tuple]:
 
 
 def _order(capture: tuple) -> tuple:
+    """URL key, time and page, null ids first; then the place, so that no two captures are equal."""
     page = capture[3]
-    return capture[5], capture[6], page is not None, page or 0
+    return capture[5], capture[6], page is not None, page or 0, capture[0], capture[1]
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -219,7 +224,8 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def merge_index(runs: DataFrame) -> DataFrame:
     """Captures in global order of (url_key, captured, page_id) over the partitions."""
     n = max(shuffle_partitions(runs.sparkSession), -(-runs.count() // RANGE_ROWS))
-    return runs.repartitionByRange(n, "url_key", "captured", F.col("page_id").asc_nulls_first()).mapInArrow(_merged, CAPTURE)
+    order = ["url_key", "captured", F.col("page_id").asc_nulls_first(), "archive", "record_offset"]
+    return runs.repartitionByRange(n, *order).mapInArrow(_merged, CAPTURE)
 
 
 def archive_and_index(pages: DataFrame, path: str | None = None) -> DataFrame:
