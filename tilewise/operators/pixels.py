@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tilewise.operators import bands
+
 #: Channel means and deviations of the public ImageNet statistics (R, G, B).
 MEAN = (0.485, 0.456, 0.406)
 STD = (0.229, 0.224, 0.225)
@@ -53,25 +53,11 @@ def resize_nearest(cells: DataFrame, sizes: DataFrame, out_w: int, out_h: int) -
 
 
 def resize_bilinear(cells: DataFrame, sizes: DataFrame, out_w: int, out_h: int, align_corners: bool = False) -> DataFrame:
-    """Weighted sum of the four neighbours: half-pixel centres with clamped edges, or corners on corners."""
-
-    def place(o: str, size: str, n: int) -> Column:
-        if align_corners:
-            return F.col(o) * (F.col(size) - 1) / max(n - 1, 1)
-        half = (F.col(o) + 0.5) * F.col(size) / n - 0.5
-        return F.least(F.greatest(half, F.lit(0.0)), F.col(size) - 1.0)
-
-    g = _grid(sizes, out_w, out_h).withColumn("sy", place("oy", "height", out_h)).withColumn("sx", place("ox", "width", out_w))
+    """Weighted sum of the four neighbours: half-pixel centres with clamped edges, or corners on corners.
 
-    def ends(s: str, size: str) -> Column:
-        low = F.floor(s).cast("int")
-        high = F.least(low + 1, F.col(size) - 1)
-        part = F.col(s) - low
-        return F.explode(F.array(F.struct(low.alias("at"), (1 - part).alias("w")), F.struct(high.alias("at"), part.alias("w"))))
-
-    near = g.select("image", "oy", "ox", "sx", "width", ends("sy", "height").alias("a")).select("image", "oy", "ox", "a", ends("sx", "width").alias("b"))
-    near = near.select("image", "oy", "ox", F.col("a.at").alias("y"), F.col("b.at").alias("x"), (F.col("a.w") * F.col("b.w")).alias("w"))
-    return near.join(cells, ["image", "y", "x"]).groupBy("image", F.col("oy").alias("y"), F.col("ox").alias("x")).agg(F.sum(F.col("v").cast("double") * F.col("w")).alias("v"))
+    Pixels are gathered to bands once; maps that are arrays already go to ``bands.resize``.
+    """
+    return bands.cells_of(bands.resize(bands.from_cells(cells, sizes), out_w, out_h, align_corners))
 
 
 def normalise(cells: DataFrame, channel: str = "channel") -> DataFrame:
@@ -97,27 +83,11 @@ def display_scale(cells: DataFrame, threshold: str = "threshold") -> DataFrame:
     return cells.withColumn("shown", F.when(usable, fixed).when(high > low, (F.col("v") - low) / (high - low)).otherwise(0.0))
 
 
-def gaussian_kernel(sigma: float) -> list[tuple[int, float]]:
-    radius = int(4 * sigma + 0.5)
-    raw = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-radius, radius + 1)]
-    return [(k, w / sum(raw)) for k, w in zip(range(-radius, radius + 1), raw, strict=True)]
-
-
 def gaussian_smooth(cells: DataFrame, sizes: DataFrame, sigma: float) -> DataFrame:
     """Two separable passes; indexes beyond an edge are reflected (edge pixel repeated)."""
     if sigma < 0:
         raise ValueError("sigma must not be negative")
     if sigma == 0:
         return cells
-    kernel = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(w).alias("w")) for k, w in gaussian_kernel(sigma)])
-
-    def one(rows: DataFrame, axis: str, size: str) -> DataFrame:
-        other = "x" if axis == "y" else "y"
-        wanted = rows.select("image", "y", "x").join(sizes.select("image", size), "image").withColumn("g", F.explode(kernel))
-        period = F.pmod(F.col(axis) + F.col("g.k"), 2 * F.col(size))
-        at = F.least(period, 2 * F.col(size) - 1 - period).cast("int")
-        source = rows.select("image", F.col(other), F.col(axis).alias("at"), "v")
-        joined = wanted.withColumn("at", at).join(source, ["image", other, "at"])
-        return joined.groupBy("image", "y", "x").agg(F.sum(F.col("g.w") * F.col("v").cast("double")).alias("v"))
-
-    return one(one(cells, "y", "height"), "x", "width")
+    halo = len(bands.kernel(sigma)) // 2
+    return bands.cells_of(bands.smooth(bands.from_cells(cells, sizes, halo=halo), sigma))

@@ -6,34 +6,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilewise.functions.vectors import hann_weight
+from tilewise.operators import bands
 
 
-def tile_cells(tiles: DataFrame, cells: DataFrame, patch: int, edge: str = "replicate") -> DataFrame:
+def tile_cells(tiles: DataFrame, cells: DataFrame, patch_w: int, patch_h: int | None = None, edge: str = "replicate") -> DataFrame:
     """``image, tile_id, ty, tx, v``: the pixels of each tile, overhang included.
 
-    The tile side lists the cells it covers, so the join is an equi-join. Overhang repeats
-    the edge (images) or is 0 (masks, ``edge="zero"``).
+    Pixels are gathered to bands once and tiles are cut from rows. Overhang repeats the edge
+    (images) or is 0 (masks, ``edge="zero"``).
     """
-    side = F.sequence(F.lit(0), F.lit(patch - 1))
-    wanted = tiles.select("image", "tile_id", "x", "y", "width", "height", F.explode(side).alias("ty")).withColumn("tx", F.explode(side))
-    if edge == "replicate":
-        at = wanted.withColumn("py", F.least(F.col("y") + F.col("ty"), F.col("height") - 1)).withColumn("px", F.least(F.col("x") + F.col("tx"), F.col("width") - 1))
-    else:
-        at = wanted.withColumn("py", F.col("y") + F.col("ty")).withColumn("px", F.col("x") + F.col("tx"))
-    source = cells.select("image", F.col("y").alias("py"), F.col("x").alias("px"), "v")
-    joined = at.join(source, ["image", "py", "px"], "inner" if edge == "replicate" else "left")
-    return joined.select("image", "tile_id", "ty", "tx", F.coalesce("v", F.lit(0)).alias("v"))
-
-
-def overlap_add(tile_maps: DataFrame, patch: int) -> DataFrame:
+    sizes = tiles.select("image", "width", "height").distinct()
+    rows = bands.tile_rows(tiles, bands.from_cells(cells, sizes, halo=0), patch_w, patch_h or patch_w, edge)
+    return rows.select("image", "tile_id", "ty", F.posexplode("row").alias("tx", "v"))
+
+
+def overlap_add(tile_maps: DataFrame, patch_w: int | str, patch_h: int | str | None = None) -> DataFrame:
     """``image, y, x, v``: weighted mean of the tiles that cover a pixel.
 
-    ``tile_maps``: ``image, x, y, valid_w, valid_h, ty, tx, v``. Sums are partial on the
-    map side; the shuffle carries one row per pixel and task.
+    ``tile_maps``: ``image, x, y, valid_w, valid_h, ty, tx, v``; the patch sizes are numbers,
+    or columns where tiles differ. Sums are partial on the map side; the shuffle carries one
+    row per pixel and task. Tiles that are rows of arrays go to ``bands.overlap_add``.
     """
+    size = lambda p: F.lit(p) if isinstance(p, int) else F.col(p)
     inside = tile_maps.filter((F.col("tx") < F.col("valid_w")) & (F.col("ty") < F.col("valid_h")))
-    hann = lambda c: hann_weight(F.col(c), patch)
-    w = 0.05 + 0.95 * hann("ty") * hann("tx")
+    w = 0.05 + 0.95 * hann_weight(F.col("ty"), size(patch_w if patch_h is None else patch_h)) * hann_weight(F.col("tx"), size(patch_w))
     rows = inside.select("image", (F.col("y") + F.col("ty")).alias("y"), (F.col("x") + F.col("tx")).alias("x"), w.alias("w"), F.col("v").cast("double").alias("v"))
     return rows.groupBy("image", "y", "x").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).cast("float").alias("v"))
 

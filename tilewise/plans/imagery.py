@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewise.operators import pixels, sampling, stitch, tiling
+from tilewise.operators import bands, pixels, sampling, stitch, tiling
 from tilewise.plans.evaluation import GRID
 from tilewise.sources import tables
 
@@ -92,38 +92,46 @@ def _small_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.withColumn("tile_id", F.col("y") / 2 * 3 + F.col("x") / 2).withColumn("tile_id", F.col("tile_id").cast("int")).withColumn("valid_w", F.lit(4)).withColumn("valid_h", F.lit(4))
 
 
+def _bands(spark: SparkSession, sf_dir: str, halo: int = 0) -> DataFrame:
+    return bands.from_arrays(tables.maps(spark, sf_dir), halo=halo)
+
+
+def _tile_pixels(spark: SparkSession, sf_dir: str, tiles: DataFrame) -> DataFrame:
+    """Pixels of 4 x 4 tiles with repeated edges (v), and with zeros beyond the edge (z)."""
+    rows = lambda edge, name: bands.tile_rows(tiles, _bands(spark, sf_dir), 4, 4, edge).withColumnRenamed("row", name)
+    both = rows("replicate", "vs").join(rows("zero", "zs"), ["image", "tile_id", "ty"])
+    cells = both.select("image", "tile_id", "ty", F.posexplode(F.arrays_zip("vs", "zs")).alias("tx", "c"))
+    return cells.select("image", "tile_id", "ty", "tx", F.round("c.vs", 6).alias("v"), F.round("c.zs", 6).alias("z"))
+
+
 def tile_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tiles that overhang by one: x and y moved to 5 for the last ones; masks get zeros there."""
     t = _small_tiles(spark, sf_dir).filter("x = 4 AND y = 4").withColumn("x", F.lit(5)).withColumn("y", F.lit(5))
-    edge = stitch.tile_cells(t, _cells(spark, sf_dir), 4).select("image", "ty", "tx", F.round(F.col("v").cast("double"), 6).alias("v"))
-    zero = stitch.tile_cells(t, _cells(spark, sf_dir), 4, "zero").select("image", "ty", "tx", F.round(F.col("v").cast("double"), 6).alias("z"))
-    return edge.join(zero, ["image", "ty", "tx"])
+    return _tile_pixels(spark, sf_dir, t).drop("tile_id")
 
 
 def tile_pixels_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All nine tiles, the last row and column moved to 5 so that they overhang by one; z as in ``tile_pixels``."""
     moved = lambda c: F.when(F.col(c) == 4, 5).otherwise(F.col(c)).alias(c)
-    t = _small_tiles(spark, sf_dir).select("image", "tile_id", moved("x"), moved("y"), "width", "height")
-    edge = stitch.tile_cells(t, _cells(spark, sf_dir), 4).select("image", "tile_id", "ty", "tx", F.round(F.col("v").cast("double"), 6).alias("v"))
-    zero = stitch.tile_cells(t, _cells(spark, sf_dir), 4, "zero").select("image", "tile_id", "ty", "tx", F.round(F.col("v").cast("double"), 6).alias("z"))
-    return edge.join(zero, ["image", "tile_id", "ty", "tx"])
+    return _tile_pixels(spark, sf_dir, _small_tiles(spark, sf_dir).select("image", "tile_id", moved("x"), moved("y"), "width", "height"))
 
 
 def _tile_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each tile's map is the image's, raised by its number / 100: overlaps disagree."""
     t = _small_tiles(spark, sf_dir)
-    cells = stitch.tile_cells(t, _cells(spark, sf_dir), 4)
-    return stitch.join_predictions(t, cells, ["image", "tile_id"]).withColumn("v", F.col("v").cast("double") + F.col("tile_id") / 100.0)
+    rows = stitch.join_predictions(t, bands.tile_rows(t, _bands(spark, sf_dir), 4, 4), ["image", "tile_id"])
+    return rows.withColumn("row", F.transform("row", lambda v: v + F.col("tile_id") / 100.0))
 
 
 def overlap_add(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stitch.overlap_add(_tile_maps(spark, sf_dir), 4).select("image", "y", "x", F.round(F.col("v").cast("double"), 5).alias("v"))
+    stitched = bands.overlap_add(_tile_maps(spark, sf_dir), 4, 4)
+    return bands.stitched_cells(stitched).select("image", "y", "x", F.round(F.col("v").cast("double"), 5).alias("v"))
 
 
 def coverage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tile 4 (the centre) and tile 0 are left out for every third image."""
     kept = _tile_maps(spark, sf_dir).filter("NOT (image % 3 = 0 AND tile_id IN (0, 4))")
-    return stitch.coverage_gaps(_sizes(spark, sf_dir), stitch.overlap_add(kept, 4)).select("image", "y", "x")
+    return stitch.coverage_gaps(_sizes(spark, sf_dir), bands.stitched_cells(bands.overlap_add(kept, 4, 4))).select("image", "y", "x")
 
 
 def fuse_max(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,11 +182,11 @@ def resize_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resize_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pixels.resize_bilinear(_cells(spark, sf_dir), _sizes(spark, sf_dir), 5, 12).select("image", "y", "x", F.round("v", 5).alias("v"))
+    return bands.cells_of(bands.resize(_bands(spark, sf_dir, 1), 5, 12)).select("image", "y", "x", F.round("v", 5).alias("v"))
 
 
 def upsample_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pixels.resize_bilinear(_cells(spark, sf_dir), _sizes(spark, sf_dir), 15, 11, align_corners=True).select("image", "y", "x", F.round("v", 5).alias("v"))
+    return bands.cells_of(bands.resize(_bands(spark, sf_dir, 1), 15, 11, align_corners=True)).select("image", "y", "x", F.round("v", 5).alias("v"))
 
 
 def pixel_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,7 +200,7 @@ def minmax_post(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gaussian_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pixels.gaussian_smooth(_cells(spark, sf_dir), _sizes(spark, sf_dir), 1.0).select("image", "y", "x", F.round("v", 5).alias("v"))
+    return bands.cells_of(bands.smooth(_bands(spark, sf_dir, 4), 1.0)).select("image", "y", "x", F.round("v", 5).alias("v"))
 
 
 QUERIES = {

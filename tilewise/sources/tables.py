@@ -43,6 +43,12 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``image, clsname, width, height, values``: vectors as 8 x 8 maps, row by row."""
+    values = F.transform("embedding", lambda v: F.abs(v))
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image"), F.col("label").alias("clsname"), F.lit(SIDE).alias("width"), F.lit(SIDE).alias("height"), values.alias("values"))
+
+
 def image_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``image, clsname, source, score, label``: labelled documents as scored images."""
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
