@@ -9,5 +9,9 @@ def test_query_equals_its_sql(spark, name):
     same(spark, catalog.QUERIES[name], catalog.SQL[name])
 
 
-def test_every_query_has_sql():
-    assert set(catalog.QUERIES) == set(catalog.SQL)
+#: Queries that SQL can't express, and the test that compares each with NumPy.
+WITHOUT_SQL = {"low_rank_detector": "tests/test_training.py"}
+
+
+def test_every_other_query_has_sql():
+    assert set(catalog.QUERIES) == set(catalog.SQL) | set(WITHOUT_SQL)

@@ -79,27 +79,52 @@ def cells_of(rows: DataFrame, *others: str) -> DataFrame:
     return rows.select("image", *others, "y", F.posexplode("row").alias("x", "v"))
 
 
-def _place(o: Column, size: Column, n: int, align_corners: bool) -> Column:
+def _place(o: Column, size: Column, n: Column | int, align_corners: bool) -> Column:
     """Where an output pixel lies: half-pixel centres with clamped edges, or corners on corners."""
+    n = F.lit(n) if isinstance(n, int) else n
     if align_corners:
-        return o * (size - 1) / max(n - 1, 1)
+        return o * (size - 1) / F.greatest(n - 1, F.lit(1))
     return F.least(F.greatest((o + 0.5) * size / n - 0.5, F.lit(0.0)), size - 1.0)
 
 
+def _ends(size: Column, n: Column | int, align_corners: bool) -> Column:
+    """For each of n output pixels the two source pixels and the share of the second."""
+    end = lambda s: F.struct(F.floor(s).cast("int").alias("low"), F.least(F.floor(s) + 1, size - 1).cast("int").alias("high"), (s - F.floor(s)).alias("part"))
+    return F.transform(upto(n), lambda o: let(_place(o, size, n, align_corners), end))
+
+
+def _mix(a: Column, b: Column, part: Column) -> Column:
+    return a.cast("double") * (1 - part) + b.cast("double") * part
+
+
+def crop_values(values: Column, width: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """The values of columns x0 to x1 - 1 and rows y0 to y1 - 1 of a map kept row by row."""
+    rows = F.transform(upto(y1 - y0), lambda k: F.slice(values, (y0 + k) * width + x0 + 1, x1 - x0))
+    return F.flatten(rows)
+
+
+def resize_values(values: Column, width: Column, height: Column, out_w: Column | int, out_h: Column | int, align_corners: bool = False) -> Column:
+    """The bilinear resample of a whole map that is one array, for maps as small as feature grids."""
+
+    def across(v: Column, ends: Column, down: Column) -> Column:
+        at = lambda y, x: F.element_at(v, y * width + x + 1)
+        line = lambda y, e: _mix(at(y, e["low"]), at(y, e["high"]), e["part"])
+        return F.flatten(F.transform(down, lambda d: F.transform(ends, lambda e: _mix(line(d["low"], e), line(d["high"], e), d["part"]))))
+
+    return let(values, lambda v: let(_ends(width, out_w, align_corners), lambda e: across(v, e, _ends(height, out_h, align_corners))))
+
+
 def resize(bands: DataFrame, out_w: int, out_h: int, align_corners: bool = False, band: int = BAND) -> DataFrame:
     """Rows of the bilinear resample: two rows of a band are mixed, then two pixels of the mix.
 
     The bands need a halo of one row. An output row belongs to the band of the upper of its rows.
     """
     w, h = F.col("width"), F.col("height")
-    end = lambda s, size: F.struct(F.floor(s).cast("int").alias("low"), F.least(F.floor(s) + 1, size - 1).cast("int").alias("high"), (s - F.floor(s)).alias("part"))
-    ends = lambda size, n: F.transform(upto(n), lambda o: let(_place(o, size, n, align_corners), lambda s: end(s, size)))
-    placed = bands.select("image", "band", "y0", "rows", ends(w, out_w).alias("across"), F.posexplode(ends(h, out_h)).alias("y", "down"))
+    placed = bands.select("image", "band", "y0", "rows", _ends(w, out_w, align_corners).alias("across"), F.posexplode(_ends(h, out_h, align_corners)).alias("y", "down"))
     own = placed.filter(F.floor(F.col("down.low") / band) == F.col("band"))
     at = lambda k: F.element_at("rows", F.col(f"down.{k}") - F.col("y0") + 1)
-    mix = lambda a, b, part: a * (1 - part) + b * part
-    mixed = F.zip_with(at("low"), at("high"), lambda a, b: mix(a.cast("double"), b.cast("double"), F.col("down.part")))
-    row = let(mixed, lambda r: F.transform("across", lambda x: mix(F.element_at(r, x["low"] + 1), F.element_at(r, x["high"] + 1), x["part"])))
+    mixed = F.zip_with(at("low"), at("high"), lambda a, b: _mix(a, b, F.col("down.part")))
+    row = let(mixed, lambda r: F.transform("across", lambda x: _mix(F.element_at(r, x["low"] + 1), F.element_at(r, x["high"] + 1), x["part"])))
     return own.select("image", "y", row.alias("row"))
 
 

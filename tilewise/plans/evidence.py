@@ -11,6 +11,9 @@ from tilewise.sources.storage import stored
 
 TOP_K = 2
 PERCENTILE = 0.95
+#: The training run of ``flagship_weighted``, and the rank of ``low_rank_detector``.
+ROUNDS, PER_EPOCH, SHARE, FACTOR = 3, 3, 0.6, 0.1
+RANK = 3
 
 TOK = "tok AS (SELECT vec_id AS image, label AS clsname, vec_id % 4 <> 0 AS normal, t::INT AS token, embedding[16 * t + 1 : 16 * t + 16] AS enc FROM embeddings, range(0, 4) r(t))"
 CEN = "cen AS (SELECT clsname, token, list(m ORDER BY dim) AS dec FROM (SELECT clsname, token, dim, avg(enc[dim]::DOUBLE) AS m FROM tok, range(1, 17) d(dim) WHERE normal GROUP BY ALL) GROUP BY clsname, token)"
@@ -40,9 +43,12 @@ def distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``image, clsname, normal, score``."""
-    top = features.top_k_mean(distances(spark, sf_dir), ["image", "clsname", "normal"], TOP_K)
-    best = features.image_scores(top.withColumn("score", F.round("score", 6)), ["image", "clsname", "normal"])
-    return best
+    return _scores(distances(spark, sf_dir))
+
+
+def _scores(found: DataFrame) -> DataFrame:
+    top = features.top_k_mean(found, ["image", "clsname", "normal"], TOP_K)
+    return features.image_scores(top.withColumn("score", F.round("score", 6)), ["image", "clsname", "normal"])
 
 
 def pixel_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,6 +150,20 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decided(spark, sf_dir).groupBy("clsname").agg(F.count("*").alias("n_images"), F.count_if("is_defect").alias("n_defects"))
 
 
+def flagship_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship with a training run: three rounds on source-fair samples, easy tokens weighed down."""
+    tokens = tables.encoder_tokens(spark, sf_dir)
+    model = features.fit_reweighted(tokens, ROUNDS, PER_EPOCH, SHARE, FACTOR)
+    scores = stored(_scores(features.token_distance(features.reconstruct_centroid(tokens, model))), "scores")
+    judged = decide.decide_images(scores.filter("NOT normal"), calibration_of(scores, pixel_stats(spark, sf_dir)))
+    return judged.groupBy("clsname").agg(F.count("*").alias("n_images"), F.count_if("is_defect").alias("n_defects"), F.round(F.sum(F.col("score").cast("double")), 4).alias("total_score"))
+
+
+def low_rank_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of the low-rank model, three components for each category."""
+    return _scores(features.token_distance(features.reconstruct_low_rank(tables.encoder_tokens(spark, sf_dir), RANK)))
+
+
 def stream_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decisions on the events after the first seven days, with thresholds from those days."""
     e = tables.event_scores(spark, sf_dir)
@@ -169,6 +189,8 @@ def mask_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "flagship": flagship,
+    "flagship_weighted": flagship_weighted,
+    "low_rank_detector": low_rank_detector,
     "token_distance": token_distance,
     "token_max": token_max,
     "topk_token_score": topk_token_score,
@@ -189,10 +211,25 @@ QUERIES = {
     "mask_names": mask_names,
 }
 
+
+
+def _round(epoch: int) -> tuple[str, ...]:
+    """The sample of a round, its weights by the round before, and its centroids."""
+    sample = f"s{epoch} AS (SELECT image, clsname, token, enc FROM (SELECT *, row_number() OVER (PARTITION BY image ORDER BY md5(concat('s:', image, ':', token)), token) - 1 AS p, count(*) OVER (PARTITION BY image) AS n FROM tok WHERE normal) WHERE ((p - {epoch * PER_EPOCH}) % n + n) % n < least({PER_EPOCH}, n))"
+    share = SHARE * epoch / (ROUNDS - 1)
+    distance = DIST.replace("dist AS", f"d{epoch} AS").replace("FROM tok JOIN cen", f"FROM s{epoch} tok JOIN c{epoch - 1}").replace("normal, token, least", "token, least")
+    weighed = f"w{epoch} AS (SELECT clsname, token, enc, CASE WHEN row_number() OVER (PARTITION BY clsname, token ORDER BY distance, image) <= floor(count(*) OVER (PARTITION BY clsname, token) * {share}::DOUBLE) THEN {FACTOR}::DOUBLE ELSE 1 END AS w FROM s{epoch} JOIN (SELECT image, token, round(distance, 6) AS distance FROM d{epoch}) USING (image, token))"
+    rows = f"w{epoch}" if epoch else "(SELECT *, 1::DOUBLE AS w FROM s0)"
+    fit = f"c{epoch} AS (SELECT clsname, token, list(m ORDER BY dim) AS dec FROM (SELECT clsname, token, dim, sum(w * enc[dim]::DOUBLE) / sum(w) AS m FROM {rows}, range(1, 17) d(dim) GROUP BY ALL) GROUP BY clsname, token)"
+    return (sample, distance, weighed, fit) if epoch else (sample, fit)
+
+
 _BASE = (TOK, CEN, DIST)
+_TRAINED = (TOK, *[part for epoch in range(ROUNDS) for part in _round(epoch)], DIST.replace("JOIN cen", f"JOIN c{ROUNDS - 1}"))
 _ALL = (*_BASE, TOP, IMG, STAT, CAL, DEC)
 SQL = {
     "flagship": _with(*_ALL) + "SELECT clsname, count(*)::BIGINT AS n_images, count(*) FILTER (score > threshold)::BIGINT AS n_defects FROM dec_ GROUP BY clsname",
+    "flagship_weighted": _with(*_TRAINED, TOP, IMG, STAT, CAL, DEC) + "SELECT clsname, count(*)::BIGINT AS n_images, count(*) FILTER (score > threshold)::BIGINT AS n_defects, round(sum(score::DOUBLE), 4) AS total_score FROM dec_ GROUP BY clsname",
     "token_distance": _with(*_BASE) + "SELECT image, token, round(distance, 6) AS distance FROM dist",
     "token_max": _with(*_BASE) + "SELECT image, (token % 2)::INT AS place, round(max(distance), 6) AS distance FROM dist GROUP BY ALL",
     "topk_token_score": _with(*_BASE, TOP) + "SELECT image, round(score, 6) AS score FROM top",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewise.operators import bands, pixels, sampling, stitch, tiling
+from tilewise.operators import bands, features, pixels, sampling, stitch, tiling
 from tilewise.plans.evaluation import GRID
 from tilewise.sources import tables
 
@@ -51,6 +51,25 @@ def context_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.context_index(_contexts(spark, sf_dir), 30, 30).select("image_path", "tile_id", "context_scale", "ix", "iy", "iw", "ih")
 
 
+def context_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four tiles of 64 pixels in images of 128, with the tiles around them at two scales.
+
+    Feature grids are the 8 x 8 maps: the main tile's own by its number, the contexts' those of
+    the next two images.
+    """
+    maps = tables.maps(spark, sf_dir).select("image", "width", "height", "values")
+    n = maps.agg(F.count("*").alias("n"))
+    images = maps.select("image", F.lit(128).alias("width"), F.lit(128).alias("height")).crossJoin(F.broadcast(n))  # n is one row
+    t = tiling.tiles(images, 64)
+    grid = ["image", "tile_id", F.lit(0).alias("channel"), F.col("gw").alias("width"), F.col("gh").alias("height"), "values"]
+    grids = maps.select(F.col("image").alias("at"), F.col("width").alias("gw"), F.col("height").alias("gh"), "values")
+    main = t.withColumn("at", F.pmod(F.col("image") * 4 + F.col("tile_id"), F.col("n"))).join(grids, "at").select(*grid)
+    index = tiling.context_index(tiling.with_contexts(t, 64, 64, FACTORS), 64, 64).withColumn("at", F.pmod(F.col("image") + F.col("context_scale"), F.col("n")))
+    contexts = index.join(grids, "at").select(*grid, "context_scale", "ix", "iy", "iw", "ih")
+    fused = features.fuse_contexts(main, contexts, {0: 4.0, 1: 2.0, 2: 1.0}, 64, 64)
+    return fused.select("image", "tile_id", F.posexplode("fused").alias("place", "v")).select("image", "tile_id", "place", F.round("v", 5).alias("v"))
+
+
 def index_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each region as JSON, read back."""
     rows = tiling.tiles(tables.image_sizes(spark, sf_dir), PATCH).withColumn("json", tiling.index_to_json("x", "y", "w", "h"))
@@ -206,7 +225,7 @@ def gaussian_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        tiles, tiles_multires, tile_union, context_join, context_index, index_json, fair_sample, round_robin, round_robin_all, roi_crop_own, tile_pixels, tile_pixels_all, overlap_add, coverage_gaps, fuse_max,
+        tiles, tiles_multires, tile_union, context_join, context_index, context_fusion, index_json, fair_sample, round_robin, round_robin_all, roi_crop_own, tile_pixels, tile_pixels_all, overlap_add, coverage_gaps, fuse_max,
         tile_predictions, task_merge, roi_crop, roi_bounds, foreground_mask, resize_nearest, resize_bilinear, upsample_aligned, pixel_normalize, minmax_post, gaussian_smooth,
     )
 }
@@ -234,7 +253,25 @@ def _linear(out_w: int, out_h: int, aligned: bool) -> str:
     )
 
 
+def _part(side: int) -> str:
+    """A square part of a map, its first cell at (x0, y0), resampled to 8 x 8 at (oy, ox)."""
+    at = lambda o, first, g: f"greatest(0, 1 - abs(least(greatest(({o} + 0.5::DOUBLE) * {side} / 8 - 0.5, 0), {side - 1}) - ({g} - {first})))"
+    return f"sum(pred::DOUBLE * {at('oy', 'y0', 'g.y')} * {at('ox', 'x0', 'g.x')})"
+
+
+_OUT = "o AS (SELECT a AS oy, b AS ox FROM range(0, 8) r(a), range(0, 8) q(b))"
+#: Tiles stand at (64 qx, 64 qy); their part of the coarser grids has 4 and 2 cells a side.
+_FUSION = _with(
+    GRID, _OUT,
+    "t AS (SELECT vec_id AS image, q::INT AS tile_id, q % 2 AS qx, q // 2 AS qy FROM embeddings, range(0, 4) r(q))",
+    "m0 AS (SELECT t.image, tile_id, y * 8 + x AS place, pred::DOUBLE AS v FROM t JOIN grid g ON g.image = (t.image * 4 + tile_id) % (SELECT n FROM n_))",
+    *[
+        f"m{k} AS (SELECT t.image, tile_id, oy * 8 + ox AS place, {_part(side)} AS v FROM (SELECT *, {side} * qx AS x0, {side} * qy AS y0 FROM t) t JOIN grid g ON g.image = (t.image + {k}) % (SELECT n FROM n_) AND g.x BETWEEN x0 AND x0 + {side - 1} AND g.y BETWEEN y0 AND y0 + {side - 1}, o GROUP BY ALL)"
+        for k, side in ((1, 4), (2, 2))
+    ],
+)
 SQL = {
+    "context_fusion": _FUSION + "SELECT image, tile_id, place::INT AS place, round(m0.v * 4 / 7 + m1.v * 2 / 7 + m2.v / 7, 5) AS v FROM m0 JOIN m1 USING (image, tile_id, place) JOIN m2 USING (image, tile_id, place)",
     "tiles": _with(IMG, _T) + "SELECT image_path, tile_id, x, y, w, h, valid_w, valid_h FROM tl",
     "tiles_multires": _with(IMG, _M) + "SELECT image_path, scale::INT AS scale, tile_id, x, y, w, valid_w, valid_h FROM tl",
     "tile_union": _with(IMG, _T) + "SELECT image_path, 'dynamic_patch' AS task, tile_id, x, y, 64::INT AS model_w, 64::INT AS model_h FROM tl UNION ALL SELECT image_path, 'thumbnail', NULL, NULL, NULL, 32, 32 FROM img",
