@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewise.operators.ranks import quantiles
+from tilewise.sources.storage import names, remove, swap
 
 
 def check_percentile(p: float) -> float:
@@ -55,13 +59,40 @@ def lookup(images: DataFrame, calibration: DataFrame) -> DataFrame:
     return joined.withColumn("threshold", F.coalesce("t", "gt").cast("float")).withColumn("pixel_threshold", pixel.cast("float")).drop("t", "pt", "gt", "gpt")
 
 
+POINTER = "CURRENT"
+#: Versions that stay beside the current one, for readers that have begun.
+KEPT = 2
+
+
 def save(calibration: DataFrame, path: str) -> None:
-    calibration.coalesce(1).write.mode("overwrite").parquet(path)
+    """Store a calibration below ``path``: a new version, then a pointer that is swapped at once.
 
+    A write that fails on the way leaves the pointer, and so the calibration before, as it was;
+    a reader sees either the old or the new one, never a part.
+    """
+    spark = calibration.sparkSession
+    version = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+    calibration.coalesce(1).write.parquet(f"{path}/versions/{version}")
+    swap(spark, f"{path}/{POINTER}", version)
+    older = sorted(x for x in names(spark, f"{path}/versions") if x < version)
+    for x in older[: max(0, len(older) - KEPT)]:
+        remove(spark, f"{path}/versions/{x}")
 
-def load(spark: SparkSession, path: str) -> DataFrame:
-    """Also reads files of older calibrations, which have no pixel thresholds."""
-    rows = spark.read.parquet(path)
+
+def load(spark: SparkSession, path: str, required: bool = True) -> DataFrame | None:
+    """The current calibration; without one an error, or None if it isn't required.
+
+    Also reads older stores, which are one Parquet folder and may lack pixel thresholds.
+    """
+    held = names(spark, path)
+    if POINTER in held:
+        rows = spark.read.parquet(f"{path}/versions/{spark.read.text(f'{path}/{POINTER}').first().value}")
+    elif any(x.endswith(".parquet") for x in held):
+        rows = spark.read.parquet(path)
+    elif required:
+        raise FileNotFoundError(f"no calibration at {path}")
+    else:
+        return None
     return rows if "pixel_threshold" in rows.columns else rows.withColumn("pixel_threshold", F.lit(None).cast("double"))
 
 

@@ -13,14 +13,34 @@ from pyspark.sql.window import Window as W
 IMAGE_CATEGORY = "default"
 
 
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """``file, line, ordinal, value`` of the manifest files below a path, blank lines included.
+
+    Lines count from 0 within their file, ordinals over all files in the order of their paths.
+    Spark reads a file in blocks, in any order; a block's lines follow those of the blocks
+    before it, which are counted first. One row per block is ordered in one task.
+    """
+    read = spark.read.option("recursiveFileLookup", "true").text(path)
+    lines = read.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
+    own = ["file", "block"]
+    before = W.orderBy(*own).rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    sums = lambda w: F.coalesce(F.sum("n").over(w), F.lit(0))
+    starts = lines.groupBy(*own).agg(F.count("*").alias("n"), F.min("id").alias("first")).select(*own, "first", sums(before).alias("all_before"), sums(inside).alias("file_before"))
+    place = F.col("id") - F.col("first")
+    return lines.join(starts, own).select("file", (F.col("file_before") + place).alias("line"), (F.col("all_before") + place).alias("ordinal"), "value")
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``ordinal, value`` of a manifest file, blank lines included."""
-    # an id holds its partition and the place there; the counts of earlier partitions are added
-    lines = spark.read.text(path).withColumn("id", F.monotonically_increasing_id())
-    part, place = F.shiftright("id", 33), F.col("id").bitwiseAND(F.lit((1 << 33) - 1))
-    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # one row per file partition
-    counts = lines.groupBy(part.alias("part")).agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    return lines.join(counts, part == counts["part"]).select((F.col("start") + place).alias("ordinal"), "value")
+    """``ordinal, value`` of a manifest, of one file or several."""
+    return read_files(spark, path).select("ordinal", "value")
+
+
+def require_records(parsed: DataFrame) -> DataFrame:
+    """The manifest itself; one without a single record is an error."""
+    if records(parsed).isEmpty():
+        raise ValueError("the manifest has no records")
+    return parsed
 
 
 def is_number(variant_type: Column) -> Column:
@@ -84,7 +104,7 @@ def path_fault(column: str) -> Column:
     """Why a path is not a relative one strictly inside its root; null if it is."""
     p = F.col(column)
     parts = folded(p)
-    return F.when(p.isNull() | (F.trim(p) == ""), "empty path").when(p.startswith("/"), "absolute path").when((F.size(parts) == 0) | (F.get(parts, F.lit(0)) == ".."), "outside the root")
+    return F.when(p.isNull() | (stripped(p) == ""), "empty path").when(p.startswith("/"), "absolute path").when((F.size(parts) == 0) | (F.get(parts, F.lit(0)) == ".."), "outside the root")
 
 
 def aux_fault(field: str) -> Column:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewise.operators import calibrate, decide, features
 from tilewise.sources import tables
-from tilewise.sources.storage import stored
+from tilewise.sources.storage import shared_dir, stored
+from tilewise.streaming import decisions
 
 TOP_K = 2
 PERCENTILE = 0.95
@@ -164,13 +167,33 @@ def low_rank_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scores(features.token_distance(features.reconstruct_low_rank(tables.encoder_tokens(spark, sf_dir), RANK)))
 
 
-def stream_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decisions on the events after the first seven days, with thresholds from those days."""
+def _dated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with the days since the first one."""
     e = tables.event_scores(spark, sf_dir)
     begin = e.agg(F.min("ts").alias("begin"))
-    dated = e.crossJoin(F.broadcast(begin)).withColumn("early", F.col("ts") < F.col("begin") + F.expr("INTERVAL 7 DAYS"))
-    cal = calibrate.calibrate(dated.filter("early").select("clsname", "score"), 0.9)
-    return decide.decide_images(dated.filter("NOT early").select("event_id", "clsname", "score"), cal).select("event_id", "clsname", "is_defect")
+    return e.crossJoin(F.broadcast(begin)).withColumn("early", F.col("ts") < F.col("begin") + F.expr("INTERVAL 7 DAYS"))
+
+
+def _early_thresholds(dated: DataFrame) -> DataFrame:
+    return calibrate.calibrate(dated.filter("early").select("clsname", "score"), 0.9)
+
+
+def stream_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions on the events after the first seven days, with thresholds from those days."""
+    dated = _dated(spark, sf_dir)
+    return decide.decide_images(dated.filter("NOT early").select("event_id", "clsname", "score"), _early_thresholds(dated)).select("event_id", "clsname", "is_defect")
+
+
+def stream_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same decisions by Structured Streaming: later events arrive in two parts, and the
+    stream, with thresholds from a store, is started anew for the second."""
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    dated = _dated(spark, sf_dir)
+    calibrate.save(_early_thresholds(dated), f"{root}/calibration")
+    late = dated.filter("NOT early").withColumn("first", F.col("ts") < F.col("begin") + F.expr("INTERVAL 18 DAYS"))
+    parts = (late.filter(part).select("event_id", "clsname", "score") for part in ("first", "NOT first"))
+    decided = decisions.decide_arrivals(parts, calibrate.load(spark, f"{root}/calibration"), root)
+    return decided.select("event_id", "clsname", "is_defect")
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,6 +230,7 @@ QUERIES = {
     "reconstruction_loss": reconstruction_loss,
     "hard_mining_weights": hard_mining_weights,
     "stream_decisions": stream_decisions,
+    "stream_restart": stream_restart,
     "predictions": predictions,
     "mask_names": mask_names,
 }
@@ -256,3 +280,4 @@ SELECT event_id, e.clsname, score::FLOAT > coalesce(c.t, g.t)::FLOAT AS is_defec
     + """SELECT image AS ordinal, concat('{"filename":"img/', image, '.png","clsname":"', clsname, '","label":null,"label_name":null,"score":', floor(score::DOUBLE * 1000)::BIGINT, ',"is_defect":', CASE WHEN score > threshold THEN 'true,"prediction_mask":"masks/x.png"' ELSE 'false' END, '}') AS value FROM dec_""",
     "mask_names": "SELECT doc_id AS ordinal, format('masks/{:06d}_{}.png', doc_id, CASE WHEN doc_id % 2 = 0 THEN concat(doc_id, '.x') ELSE doc_id::VARCHAR END) AS name FROM documents",
 }
+SQL["stream_restart"] = SQL["stream_decisions"]

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewise.operators import manifest as m
 from tilewise.sources import tables
+from tilewise.sources.storage import shared_dir
 
 ROOT = "/data"
 
@@ -46,6 +49,15 @@ def manifest_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.scan_faults(parsed).withColumn("scan", F.lit("strict")).unionByName(m.scan_faults(parsed, strict=False).withColumn("scan", F.lit("lenient")))
 
 
+def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines dealt to five files, written, and read back with their numbers."""
+    path = f"{shared_dir(spark)}/manifest-{uuid.uuid4().hex}"
+    lines = tables.manifest_lines(spark, sf_dir).withColumn("part", F.pmod("ordinal", F.lit(5)))
+    lines.repartition("part").sortWithinPartitions("part", "ordinal").select("part", "value").write.partitionBy("part").text(path)
+    back = m.read_files(spark, path)
+    return back.select(F.regexp_extract("file", "part=([0-9]+)", 1).cast("int").alias("part"), "line", "ordinal", "value")
+
+
 def path_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.faults(m.records(_parsed(spark, sf_dir)), m.path_fault("filename"))
 
@@ -152,7 +164,7 @@ def content_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        manifest_strict, path_rules, roi_rules, category_rules, label_rules, train_normals, manifest_faults, output_paths, aux_paths, train_manifest, test_manifest,
+        manifest_strict, manifest_files, path_rules, roi_rules, category_rules, label_rules, train_normals, manifest_faults, output_paths, aux_paths, train_manifest, test_manifest,
         aux_path_rules, roi_outside, missing_aux_files, manifest_union, dataset_summary, archive_paths, duplicate_paths, missing_files, sample_contract, result_alignment, content_key,
     )
 }
@@ -170,6 +182,7 @@ _OK = _with(REC, ALL_FAULTS, CLEAN)
 _AUX = "CASE WHEN coalesce({0}, '') <> '' THEN concat('annotations/{0}/', " + STEM + r", regexp_extract({0}, '(\.[^./]*)$', 1)) END AS {0}"
 _IMG = "img AS (SELECT p_partkey AS ordinal, concat('part/', p_partkey, '.png') AS path, p_brand AS clsname, 8 * p_size + 8 AS width, 4 * p_size + 16 AS height FROM part)"
 SQL = {
+    "manifest_files": _with(REC) + "SELECT (ordinal % 5)::INT AS part, row_number() OVER (PARTITION BY ordinal % 5 ORDER BY ordinal) - 1 AS line, row_number() OVER (ORDER BY ordinal % 5, ordinal) - 1 AS ordinal, value FROM lines",
     "manifest_strict": _with(REC) + "SELECT ordinal, kind AS rule, 'strict' AS scan FROM kinds WHERE kind <> 'record' UNION ALL SELECT ordinal, kind, 'lenient' FROM kinds WHERE kind NOT IN ('record', 'blank')",
     "path_rules": _faults(PATH_FAULT),
     "roi_rules": _faults(ROI_FAULT),

@@ -1,4 +1,7 @@
-"""Written intermediate tables: the lineage of what follows starts at a file."""
+"""Written intermediate tables, whose readers start at a file, and small files swapped at once.
+
+Files are reached through the file systems that Spark knows.
+"""
 
 from __future__ import annotations
 
@@ -34,3 +37,36 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _place(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """What stands in a folder; nothing if there is none."""
+    where, fs = _place(spark, path)
+    return [x.getPath().getName() for x in fs.listStatus(where)] if fs.exists(where) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where, fs = _place(spark, path)
+    fs.delete(where, True)
+
+
+def swap(spark: SparkSession, path: str, text: str) -> None:
+    """Make ``text`` the content of a file: written beside it, then renamed over it in one step."""
+    where, fs = _place(spark, path)
+    beside, _ = _place(spark, f"{path}-{uuid.uuid4().hex}")
+    out = fs.create(beside, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    jvm = spark._jvm
+    kind = jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename")
+    how = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+    how[0] = jvm.java.lang.Enum.valueOf(kind, "OVERWRITE")
+    qualified = [p.makeQualified(fs.getUri(), fs.getWorkingDirectory()) for p in (beside, where)]
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(*qualified, how)
