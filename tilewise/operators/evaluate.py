@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import pickle
+from collections.abc import Callable, Iterator
+from functools import reduce
+from typing import Protocol
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -54,19 +58,34 @@ def annotation_gates(rows: DataFrame, key: str = "clsname", label: str = "label"
     return per.agg(ready.alias("image_ready"), (ready & F.coalesce(F.bool_and("masked"), F.lit(False))).alias("pixel_ready"))
 
 
-def pixel_pairs(pred: DataFrame, truth: DataFrame) -> DataFrame:
-    """``image, clsname, y, x, pred, gt``: predictions with truth; no mask means all zero."""
+def pixel_pairs(pred: DataFrame, truth: DataFrame, pred_sizes: DataFrame | None = None, truth_sizes: DataFrame | None = None) -> DataFrame:
+    """``image, clsname, y, x, pred, gt``: predictions with truth; no mask means all zero.
+
+    With the sizes of maps and masks (``image, width, height``), an image whose mask has another
+    size than its map fails the job; without them only pixels that masks lack are zero.
+    """
+    if pred_sizes is not None and truth_sizes is not None:
+        other = size_faults(pred_sizes, truth_sizes).select("image", F.concat_ws(" ", F.lit("a mask of"), "truth_size", F.lit("for a map of"), "pred_size").alias("fault"))
+        marked = pred.join(other, "image", "left")
+        sound = F.when(F.col("fault").isNull(), F.col("pred")).otherwise(F.raise_error(F.col("fault")).cast(pred.schema["pred"].dataType))
+        pred = marked.withColumn("pred", sound).drop("fault")
     t = truth.select("image", "y", "x", (F.col("gt") != 0).cast("int").alias("gt"))
     return pred.join(t, ["image", "y", "x"], "left").select("image", "clsname", "y", "x", "pred", F.coalesce("gt", F.lit(0)).alias("gt"))
 
 
+def size_faults(pred_sizes: DataFrame, truth_sizes: DataFrame) -> DataFrame:
+    """``image, pred_size, truth_size`` where the sizes of map and mask differ."""
+    size = lambda t, name: t.select("image", F.concat_ws("x", "width", "height").alias(name))
+    return size(pred_sizes, "pred_size").join(size(truth_sizes, "truth_size"), "image").filter("pred_size <> truth_size")
+
+
 def shape_faults(pred: DataFrame, truth: DataFrame) -> DataFrame:
-    """``image, pred_size, truth_size`` of images whose mask has another size than their map.
+    """``size_faults`` of pixel tables that list every pixel: sizes are read off the pixels.
 
     An image without a mask has none to compare; its truth is all zero.
     """
-    size = lambda t, name: t.groupBy("image").agg(F.concat_ws("x", F.max("x") + 1, F.max("y") + 1).alias(name))
-    return size(pred, "pred_size").join(size(truth, "truth_size"), "image").filter("pred_size <> truth_size")
+    size = lambda t: t.groupBy("image").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
+    return size_faults(size(pred), size(truth))
 
 
 def label_or_mask(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -135,7 +154,10 @@ def metrics_by_category(rows: DataFrame, metrics: dict[str, Metric]) -> DataFram
 
 
 def python_metric(f: Callable[[pd.DataFrame], dict], schema: str) -> Metric:
-    """A user's Python metric of one category's rows, run on the executors."""
+    """A user's Python metric that needs all rows of a category at once, in one task.
+
+    For categories of any size, a metric should be mergeable: see ``mergeable_metric``.
+    """
 
     def per_category(rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([{"clsname": rows["clsname"].iloc[0], **f(rows)}])
@@ -143,6 +165,54 @@ def python_metric(f: Callable[[pd.DataFrame], dict], schema: str) -> Metric:
     return lambda rows: rows.groupBy("clsname").applyInPandas(per_category, f"clsname string, {schema}")
 
 
+#: States of a category that one task merges at a time.
+FAN_IN = 64
+
+
+class Mergeable(Protocol):
+    """A metric as a state that grows by rows and by other states; states are pickled."""
+
+    def update(self, state: object | None, rows: pd.DataFrame) -> object: ...
+
+    def merge(self, a: object, b: object) -> object: ...
+
+    def finish(self, state: object) -> dict: ...
+
+
+def mergeable_metric(metric: Mergeable, schema: str, levels: int = 2) -> Metric:
+    """A user's metric as partial aggregation: no task sees more of a category than its own rows.
+
+    Each task folds its batches into one state per category; states are merged in groups of
+    FAN_IN, level by level, and finished once. What the metric raises fails the job.
+    """
+
+    def updated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        states: dict = {}
+        for b in batches:
+            for name, rows in b.groupby("clsname", dropna=False, sort=False):
+                key = None if pd.isna(name) else name
+                states[key] = metric.update(states.get(key), rows)
+        yield pd.DataFrame({"clsname": pd.Series(list(states), dtype=object), "part": TaskContext.get().partitionId(), "state": [pickle.dumps(s) for s in states.values()]})
+
+    def merged(rows: pd.DataFrame) -> object:
+        return reduce(metric.merge, [pickle.loads(s) for s in rows.sort_values("part")["state"]])
+
+    def some(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([{"clsname": rows["clsname"].iloc[0], "part": int(rows["part"].min()) // FAN_IN, "state": pickle.dumps(merged(rows))}])
+
+    def all_of(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([{"clsname": rows["clsname"].iloc[0], **metric.finish(merged(rows))}])
+
+    def run(rows: DataFrame) -> DataFrame:
+        held = "clsname string, part long, state binary"
+        states = rows.withColumn("clsname", F.col("clsname").cast("string")).mapInPandas(updated, held)
+        for _ in range(levels):
+            states = states.groupBy("clsname", F.floor(F.col("part") / FAN_IN)).applyInPandas(some, held)
+        return states.groupBy("clsname").applyInPandas(all_of, f"clsname string, {schema}")
+
+    return run
+
+
 def report(metrics: DataFrame, key: str = "clsname") -> DataFrame:
     """The categories and a ``mean`` row: unweighted, without threshold columns."""
     means = [(F.lit(None).cast("double") if "threshold" in c else F.avg(c)).alias(c) for c in metrics.columns if c != key]

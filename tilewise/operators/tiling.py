@@ -70,15 +70,16 @@ def enclosing_start(start: Column, size: Column, patch: int, stride: int, factor
     return F.when(size <= big_p, F.lit(0)).otherwise(F.least(first, size - big_p))
 
 
-def with_contexts(main: DataFrame, patch: int, stride: int, factors: tuple[int, ...]) -> DataFrame:
+def with_contexts(main: DataFrame, patch: Pair, stride: Pair, factors: tuple[int, ...]) -> DataFrame:
     """A row per main tile and coarser scale: the enclosing tile ``cx, cy, cw, ch``."""
+    (pw, ph), (sw, sh) = pair(patch), pair(stride)
     rows = main.withColumn("context_scale", F.explode(F.array(*[F.lit(f) for f in factors if f])))
     k = F.pow(F.lit(2), F.col("context_scale")).cast("int")
     return (
-        rows.withColumn("cx", enclosing_start(F.col("x"), F.col("width"), patch, stride, k))
-        .withColumn("cy", enclosing_start(F.col("y"), F.col("height"), patch, stride, k))
-        .withColumn("cw", k * patch)
-        .withColumn("ch", k * patch)
+        rows.withColumn("cx", enclosing_start(F.col("x"), F.col("width"), pw, sw, k))
+        .withColumn("cy", enclosing_start(F.col("y"), F.col("height"), ph, sh, k))
+        .withColumn("cw", k * pw)
+        .withColumn("ch", k * ph)
     )
 
 

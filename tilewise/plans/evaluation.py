@@ -64,6 +64,29 @@ def metrics_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("clsname", F.round("image_auroc", 6).alias("image_auroc"), "image_threshold", "n_images")
 
 
+class Moments:
+    """Mean and variance of scores as a mergeable metric."""
+
+    def update(self, state, rows):
+        own = (len(rows), rows["score"].mean(), ((rows["score"] - rows["score"].mean()) ** 2).sum())
+        return own if state is None else self.merge(state, own)
+
+    def merge(self, a, b):
+        n, apart = a[0] + b[0], b[1] - a[1]
+        return n, a[1] + apart * b[0] / n, a[2] + b[2] + apart**2 * a[0] * b[0] / n
+
+    def finish(self, state):
+        return {"n_images": state[0], "mean_score": state[1], "variance": state[2] / state[0]}
+
+
+def metric_plugin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third-party metric beside a built-in one; scores in thousands."""
+    rows = tables.image_scores(spark, sf_dir).withColumn("score", F.col("score") / 1000)
+    moments = evaluate.mergeable_metric(Moments(), "n_images long, mean_score double, variance double")
+    m = evaluate.metrics_by_category(rows, {"moments": moments, "image": evaluate.image_metrics})
+    return m.select("clsname", "n_images", F.round("mean_score", 6).alias("mean_score"), F.round("variance", 6).alias("variance"), F.round("image_auroc", 6).alias("image_auroc"))
+
+
 def metric_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = evaluate.report(evaluate.image_metrics(tables.image_scores(spark, sf_dir)))
     return r.select("clsname", F.round("image_auroc", 6).alias("image_auroc"), "image_threshold")
@@ -79,7 +102,8 @@ def annotation_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = tables.grid(spark, sf_dir)
-    return evaluate.pixel_pairs(g.select("image", "clsname", "y", "x", "pred"), g.filter("image % 5 <> 0").select("image", "y", "x", "gt"))
+    sizes = tables.maps(spark, sf_dir).select("image", "width", "height")
+    return evaluate.pixel_pairs(g.select("image", "clsname", "y", "x", "pred"), g.filter("image % 5 <> 0").select("image", "y", "x", "gt"), sizes, sizes.filter("image % 5 <> 0"))
 
 
 def shape_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,7 +206,7 @@ def display_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        roc_curve, image_auroc, image_threshold, metrics_by_category, metric_report, annotation_gates, shape_faults, pixel_pairs, label_fallback, pixel_histogram,
+        roc_curve, image_auroc, image_threshold, metrics_by_category, metric_plugin, metric_report, annotation_gates, shape_faults, pixel_pairs, label_fallback, pixel_histogram,
         pixel_curve, pixel_ap, pixel_f1, pixel_histogram_full, pixel_curve_full, pixel_ap_full, pixel_f1_full, mask_regions, pro, pixel_decisions, anomaly_pixels, display_scale,
     )
 }
@@ -195,6 +219,7 @@ SQL = {
     "image_auroc": _with(LBL, CURVE) + f"SELECT clsname, round(image_auroc, 6) AS image_auroc FROM ({AUROC})",
     "image_threshold": _with(LBL, CURVE) + YOUDEN,
     "metrics_by_category": _with(LBL, CURVE) + f"SELECT clsname, round(image_auroc, 6) AS image_auroc, image_threshold, n_images FROM (SELECT clsname, count(*)::BIGINT AS n_images FROM lbl GROUP BY clsname) LEFT JOIN ({AUROC}) USING (clsname) LEFT JOIN ({YOUDEN}) USING (clsname)",
+    "metric_plugin": _with(LBL, CURVE) + f"SELECT clsname, n_images, mean_score, variance, round(image_auroc, 6) AS image_auroc FROM (SELECT clsname, count(*)::BIGINT AS n_images, round(avg(score / 1000), 6) AS mean_score, round(var_pop(score / 1000), 6) AS variance FROM lbl GROUP BY clsname) LEFT JOIN ({AUROC}) USING (clsname)",
     "metric_report": _with(LBL, CURVE, f"m AS (SELECT * FROM ({AUROC}) JOIN ({YOUDEN}) USING (clsname))") + "SELECT clsname, round(image_auroc, 6) AS image_auroc, image_threshold FROM m UNION ALL SELECT 'mean', round(avg(image_auroc), 6), NULL FROM m",
     "annotation_gates": _with(LBL) + " UNION ALL ".join(_GATE.format(by=b, key=k, mask=m) for b, k, m in (("lang", "clsname", "true"), ("source", "source", "true"), ("no masks", "clsname", "false"))),
     "shape_faults": _with(GRID) + "SELECT DISTINCT image, '8x8' AS pred_size, '8x7' AS truth_size FROM grid WHERE image % 5 <> 0 AND image % 7 = 0",

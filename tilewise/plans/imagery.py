@@ -81,6 +81,13 @@ def fair_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.fair_sample(rows, "image_path", "tile_id", 4, 3).select("image_path", "tile_id")
 
 
+def epoch_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two epochs of the fair sample, each in a random order of its own."""
+    rows = tiling.tiles(tables.image_sizes(spark, sf_dir), PATCH)
+    one = lambda e: sampling.epoch_order(sampling.fair_sample(rows, "image_path", "tile_id", 4, e), "image_path", e).select(F.lit(e).alias("epoch"), "image_path", "tile_id", "position")
+    return one(2).unionByName(one(3))
+
+
 def round_robin_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.round_robin(tables.image_sizes(spark, sf_dir), "ordinal", 7).select("ordinal", F.col("bucket").cast("long").alias("bucket"))
 
@@ -225,7 +232,7 @@ def gaussian_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        tiles, tiles_multires, tile_union, context_join, context_index, context_fusion, index_json, fair_sample, round_robin, round_robin_all, roi_crop_own, tile_pixels, tile_pixels_all, overlap_add, coverage_gaps, fuse_max,
+        tiles, tiles_multires, tile_union, context_join, context_index, context_fusion, index_json, fair_sample, epoch_order, round_robin, round_robin_all, roi_crop_own, tile_pixels, tile_pixels_all, overlap_add, coverage_gaps, fuse_max,
         tile_predictions, task_merge, roi_crop, roi_bounds, foreground_mask, resize_nearest, resize_bilinear, upsample_aligned, pixel_normalize, minmax_post, gaussian_smooth,
     )
 }
@@ -279,6 +286,12 @@ SQL = {
     "context_index": _with(IMG, _M, _CTX) + "SELECT image_path, tile_id, context_scale::INT AS context_scale, trunc((x - cx) / cw * 30)::INT AS ix, trunc((y - cy) / cw * 30)::INT AS iy, trunc(w / cw * 30)::INT AS iw, trunc(w / cw * 30)::INT AS ih FROM ctx",
     "index_json": _with(IMG, _T) + """SELECT image_path, tile_id, concat('{"x":', x, ',"y":', y, ',"width":', w, ',"height":', h, '}') AS json, (x + w)::INT AS "right" FROM tl""",
     "fair_sample": _with(IMG, _T) + "SELECT image_path, tile_id FROM (SELECT *, row_number() OVER (PARTITION BY image_path ORDER BY md5(concat('s:', image_path, ':', tile_id)), tile_id) - 1 AS p, count(*) OVER (PARTITION BY image_path) AS n FROM tl) WHERE ((p - 12) % n + n) % n < least(4, n)",
+    "epoch_order": _with(
+        IMG, _T,
+        "p AS (SELECT *, row_number() OVER (PARTITION BY image_path ORDER BY md5(concat('s:', image_path, ':', tile_id)), tile_id) - 1 AS p, count(*) OVER (PARTITION BY image_path) AS n FROM tl)",
+        "e AS (SELECT epoch::INT AS epoch, image_path, tile_id, ((p - 4 * epoch) % n + n) % n AS step, n FROM p, range(2, 4) r(epoch))",
+    )
+    + "SELECT epoch, image_path, tile_id, row_number() OVER (PARTITION BY epoch ORDER BY md5(concat('s:', epoch, ':', image_path)), image_path, step) - 1 AS position FROM e WHERE step < least(4, n)",
     "round_robin_all": _with(IMG) + "SELECT ordinal, ((row_number() OVER (ORDER BY ordinal) - 1) % 7)::BIGINT AS bucket FROM img",
     "roi_crop_own": _with(GRID) + "SELECT image, (y - image % 2)::INT AS y, (x - image % 3)::INT AS x, gt::INT AS v FROM grid WHERE x - image % 3 BETWEEN 0 AND 3 AND y - image % 2 BETWEEN 0 AND image % 4",
     "round_robin": _with(IMG) + "SELECT ordinal, ((row_number() OVER (PARTITION BY clsname ORDER BY ordinal) - 1) % 7)::BIGINT AS bucket FROM img",
