@@ -343,6 +343,51 @@ def test_ngram_join_on_families(spark, monkeypatch, long_list, block):
     same(ngram_join.near_duplicates(d).collect(), [(i, len(sets[i]), part[i]) for i in range(len(rows))])
 
 
+def meet(x, y, frequent, level):
+    """Whether two sets share a signature whose reach lets them link."""
+    (a, p), (b, q) = (ngram_join.signatures(s, frequent, level) for s in (x, y))
+    most = [dict(zip(sig.tolist(), ngram_join.largest_partner(len(s), reach, 75).tolist(), strict=True)) for s, sig, reach in ((x, a, p), (y, b, q))]
+    return any(most[0][k] >= len(y) and most[1][k] >= len(x) for k in most[0].keys() & most[1].keys())
+
+
+def test_linked_sets_of_one_pool_meet():
+    """Sets that share much with many others: the first signature of a linked pair is never out of reach."""
+    rng = np.random.default_rng(18)
+    linked = 0
+    for n in (6, 14, 18, 40, 90, 200):
+        pool = np.unique(rng.integers(1, 1 << 63, n + n // 12).astype(np.uint64))
+        for share in (0.3, 0.9, 1.0):
+            frequent = np.sort(pool[rng.random(len(pool)) < share])
+            level = rng.integers(1, 4, len(frequent))
+            own = lambda k: rng.integers(1, 1 << 63, k).astype(np.uint64)
+            sets = [np.unique(np.concatenate([rng.choice(pool, int(n * rng.uniform(0.88, 1)), replace=False), own(int(rng.integers(n // 9 + 1)))])) for _ in range(25)]
+            for i, x in enumerate(sets):
+                for y in sets[:i]:
+                    both = len(np.intersect1d(x, y))
+                    if 100 * both >= 75 * (len(x) + len(y) - both):
+                        linked += 1
+                        assert meet(x, y, frequent, level), (n, share)
+    assert linked > 500
+
+
+def test_a_family_that_does_not_link_is_not_dealt(spark, monkeypatch):
+    """Pages of one template, too much their own to link: what is dealt grows no faster than they do."""
+    monkeypatch.setattr(ngram_join, "LONG_LIST", 8)
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    template = [f"t{k}" for k in range(84)]
+    dealt = []
+    real = ngram_join._Join.in_blocks
+    monkeypatch.setattr(ngram_join._Join, "in_blocks", lambda self, d, rows: (dealt.append(rows), real(self, d, rows))[1])
+    total = []
+    for n in (150, 300):
+        rows = [(i, " ".join(template + [f"own{i}x{k}" for k in range(16)])) for i in range(n)]
+        d = spark.createDataFrame([*rows, (n, rows[0][1] + " more")], "doc_id long, text string")
+        dealt.clear()
+        same(ngram_join.near_duplicates(d).collect(), [(i, 96 + (i == n), 0 if i == n else i) for i in range(n + 1)])
+        total.append(sum(dealt))
+    assert total[1] <= 2.2 * total[0] + 100
+
+
 def test_signatures_meet_at_the_bound():
     """Sets exactly as similar as wanted always share a signature, whatever counts as frequent."""
     rng = np.random.default_rng(8)
@@ -359,7 +404,7 @@ def test_signatures_meet_at_the_bound():
                     continue
                 y = np.sort(np.concatenate([pick[:both], pick[n : 2 * n - both + extra]]))
                 if 100 * both >= 75 * (len(x) + len(y) - both):
-                    assert set(ngram_join.signatures(x, frequent, level)) & set(ngram_join.signatures(y, frequent, level)), (n, share, extra)
+                    assert meet(x, y, frequent, level), (n, share, extra)
 
 
 def vectors(spark):

@@ -8,7 +8,9 @@ shingles survives the loss of c - 2 of them, so the prefix is extended until the
 together survive every loss that the similarity allows. (With small sets, all are
 indexed alone.)
 
-Sets that share a signature are candidates. Equal sets are one node from the start.
+Sets that share a signature are candidates. Equal sets are one node from the start. A
+signature's place in the order of a set bounds what the set can share with one that it
+first meets there; nodes that this and the sizes rule out leave the list.
 Every node has a small bitmap that bounds the symmetric difference of two sets from below,
 so most candidates are ruled out without their texts. Neighbours in each signature's list
 are verified first, the nearest for each node. In long lists, each node is then compared
@@ -135,8 +137,14 @@ def size_class(n: int) -> int:
     return 0 if n < SMALL else n.bit_length()
 
 
-def signatures(s: np.ndarray, frequent: np.ndarray, level: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Signature hashes of a sorted set; frequent: sorted shingles, level: how frequent each is."""
+def signatures(s: np.ndarray, frequent: np.ndarray, level: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """Signature hashes of a sorted set, and the reach of each.
+
+    ``frequent``: sorted shingles, ``level``: how frequent each is. The reach bounds the
+    intersection of this set with any for which the signature is the first that both have,
+    in the order in which signatures are completed: before its last shingle, common ones
+    are frequent and of different groups, or they would have completed another one.
+    """
     n = len(s)
     at = np.minimum(np.searchsorted(frequent, s), max(len(frequent) - 1, 0))
     is_frequent = frequent[at] == s if len(frequent) else np.zeros(n, bool)
@@ -144,10 +152,11 @@ def signatures(s: np.ndarray, frequent: np.ndarray, level: np.ndarray, percent:
     order = np.lexsort((s, rank))
     s, is_frequent = s[order], is_frequent[order]
     loss = allowed_loss(n, percent)
-    out = []
+    out, reach = [], []
     for cls in {size_class(n), size_class(100 * n // percent)}:
         if not cls:
             out.append(s[: loss + 1])
+            reach.append(n - np.arange(min(loss + 1, n)))
             continue
         parts = np.uint64(max(1, (1 << (cls - 1)) // 8))
         group = np.where(is_frequent, (tk.splitmix(s + tk.U(cls)) % parts).astype(np.int64), -1)
@@ -156,13 +165,29 @@ def signatures(s: np.ndarray, frequent: np.ndarray, level: np.ndarray, percent:
         first[np.unique(group, return_index=True)[1]] = True
         gain = np.cumsum(~is_frequent | ~first)
         stop = int(np.searchsorted(gain, loss + 1)) + 1
-        out.append(s[:stop][~is_frequent[:stop]])
-        f, g = s[:stop][is_frequent[:stop]], group[:stop][is_frequent[:stop]]
-        for k in np.unique(g):
-            t = np.sort(f[g == k])
-            i, j = np.triu_indices(len(t), 1)
-            out.append(tk.splitmix(t[i] * tk.U(3) + tk.splitmix(t[j] + tk.U(cls))))
-    return np.unique(np.concatenate(out)) if out else s
+        opened = first & is_frequent
+        bound = np.cumsum(opened) - opened + n - np.arange(n)  # groups met before a place, and what stands from there on
+        rare = np.nonzero(~is_frequent[:stop])[0]
+        out.append(s[rare])
+        reach.append(bound[rare])
+        for k in np.unique(group[:stop][is_frequent[:stop]]):
+            place = np.nonzero(group[:stop] == k)[0]
+            place = place[np.argsort(s[place])]
+            i, j = np.triu_indices(len(place), 1)
+            out.append(tk.splitmix(s[place[i]] * tk.U(3) + tk.splitmix(s[place[j]] + tk.U(cls))))
+            reach.append(bound[np.maximum(place[i], place[j])])
+    if not out:
+        return s, np.zeros(0, np.int64)
+    sig, reach = np.concatenate(out), np.concatenate(reach)
+    order = np.lexsort((-reach, sig))  # of a signature in both classes the larger reach counts
+    sig, reach = sig[order], reach[order]
+    kept = np.concatenate([[True], sig[1:] != sig[:-1]]) if len(sig) else np.zeros(0, bool)
+    return sig[kept], reach[kept]
+
+
+def largest_partner(n: np.ndarray, reach: np.ndarray, percent: int) -> np.ndarray:
+    """The size of the largest set that one of size n can link with, if they share ``reach`` shingles at most."""
+    return (100 + percent) * reach // percent - n
 
 
 def _signed(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, level: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
@@ -171,17 +196,18 @@ def _signed(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, level: np.n
     for b in batches:
         data, offsets = tk.texts_of(b.column(0))
         for _, _, d, o in tk.runs(data, offsets):
-            sigs, nodes, sizes = [], [], []
+            sigs, nodes, sizes, most = [], [], [], []
             for s in shingle_sets(d, o):
                 if not len(s) or (node := node_of(s)) in sent:
                     continue
                 sent.add(node)
-                got = signatures(s, frequent, level, percent)
+                got, reach = signatures(s, frequent, level, percent)
                 sigs.append(got)
                 nodes.append(np.full(len(got), node))
                 sizes.append(np.full(len(got), len(s), np.int32))
+                most.append(largest_partner(len(s), reach, percent).astype(np.int32))
             if sigs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).astype(np.int64)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sizes))], ["sig", "node", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).astype(np.int64)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(most))], ["sig", "node", "n", "most"])
 
 
 def bitmap(s: np.ndarray) -> bytes:
@@ -379,13 +405,20 @@ class _Join:
         self.level = np.array([int(r[1]).bit_length() for r in often], np.int64)[order]
 
     def lists(self) -> DataFrame:
-        """``sig, node, n, size, before`` of signatures that two nodes or more share."""
-        signed = self.rows.select("text").mapInArrow(partial(_signed, frequent=self.frequent, level=self.level, percent=self.percent), "sig long, node long, n int")
+        """``sig, node, n, most, size, before`` of signatures that two nodes or more share.
+
+        ``most`` is the size of the largest set with which a node can link if they first meet
+        in this list. A node stays in a list only if a set as small as that is there, and one
+        for which the node isn't too large: every pair that links passes where it first meets.
+        """
+        signed = self.rows.select("text").mapInArrow(partial(_signed, frequent=self.frequent, level=self.level, percent=self.percent), "sig long, node long, n int, most int")
         by = W.partitionBy("sig")
         ordered = by.orderBy("node")
-        listed = signed.withColumn("before", F.lag("node").over(ordered)).withColumn("size", F.count("*").over(by)).filter("size > 1")
-        once = listed.filter("before IS NULL OR before <> node")  # a node that several tasks sent
-        return once.withColumn("size", F.count("*").over(by)).filter("size > 1")
+        once = signed.withColumn("before", F.lag("node").over(ordered)).filter("before IS NULL OR before <> node")  # a node that several tasks sent
+        for _ in range(2):
+            met = once.withColumns({"size": F.count("*").over(by), "least_n": F.min("n").over(by), "most_most": F.max("most").over(by)})
+            once = met.filter("size > 1 AND most >= least_n AND n <= most_most").select("sig", "node", "n", "most")
+        return once.withColumn("before", F.lag("node").over(ordered)).withColumn("size", F.count("*").over(by)).filter("size > 1")
 
     def bounded(self, pairs: DataFrame) -> DataFrame:
         """``u, v, apart``: the pairs that sizes and bitmaps don't rule out."""
@@ -457,9 +490,9 @@ class _Join:
                 found = stored(found.unionByName(self.inside_lists(long, salt)), "join-links")
                 lists = self.parted(lists.drop("part"), found)
         short = lists.filter(F.col("size") <= LONG_LIST)
-        a = short.select("sig", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("part").alias("pu"))
-        b = short.select("sig", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("part").alias("pv"))
-        pairs = a.join(b, "sig").filter(f"u < v AND pu <> pv AND 100 * least(nu, nv) >= {self.percent} * greatest(nu, nv)").select("u", "v").distinct()
+        a = short.select("sig", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("part").alias("pu"), F.col("most").alias("mu"))
+        b = short.select("sig", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("part").alias("pv"), F.col("most").alias("mv"))
+        pairs = a.join(b, "sig").filter(f"u < v AND pu <> pv AND nu <= mv AND nv <= mu AND 100 * least(nu, nv) >= {self.percent} * greatest(nu, nv)").select("u", "v").distinct()
         found = found.unionByName(self.verified(stored(self.bounded(pairs), "join-short")))
         long = lists.filter(F.col("size") > LONG_LIST)
         return found.unionByName(self.across_lists(long)) if long.take(1) else found
