@@ -637,3 +637,21 @@ def test_possible_rows_of_a_block_lose_no_link():
                 both = len(np.intersect1d(x, y))
                 if side[i] != 1 and side[j] != 0 and part[i] != part[j] and 100 * both >= 75 * (len(x) + len(y) - both):
                     assert keep[i] and keep[j]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_packing_encodes_like_the_library(name):
+    """Also with a tokenizer that parts texts in another way."""
+    path = public_tokenizers.path(name)
+    library = Tokenizer.from_file(path)
+    for text in ["", "Plain words, and 12 numbers.\nLines", "it's  two spaces ", "żółć 💥", "<|endoftext|> a", "A b\tc", prose(31, 200)]:
+        assert np.frombuffer(packing.encode(text, path), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_counts_of_other_code_are_not_shared(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    now = token_counts.version_digest(path)
+    token_counts.version_digest.cache_clear()
+    monkeypatch.setattr(token_counts.inspect, "getsource", lambda _: "another version")
+    assert token_counts.version_digest(path) != now
+    token_counts.version_digest.cache_clear()

@@ -14,6 +14,7 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -39,10 +40,19 @@ _LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ž"
 _NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
 #: How the tokenizer parts a text of PLAIN characters; each part is encoded apart.
 PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\s{_LETTER}{_NUMBER}]+|\s+(?!\S)|\s+")
-
-
 #: White space other than single spaces and single line ends: its parts depend on what follows.
 UNEVEN = re.compile(r" [ \n]|[\t\r]|\n[ \n]| $")
+#: Fixed value: the pre-tokenizer that parts texts like PARTS.
+BY_PARTS = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+
+
+@lru_cache(maxsize=4)
+def parts_apply(path: str) -> bool:
+    """Whether the tokenizer's own description says that it parts plain texts like PARTS."""
+    d = json.loads(tokenizer(path).to_str())
+    return d["normalizer"] is None and d["pre_tokenizer"] == BY_PARTS
+
+
 class _Memo(dict):
     """Ids of the words met so far, each with ``before`` in front of it; a new word is
     encoded by the library's model."""
@@ -75,10 +85,10 @@ def encode(text: str, path: str) -> bytes:
     """The text's ids as the library gives them, little-endian unsigned 32-bit.
 
     Plain texts fall apart at single spaces and line ends, and each word (with the space
-    before it) is encoded by the library's model once and remembered; other texts are
-    encoded whole.
+    before it) is encoded by the library's model once and remembered; other texts, and all
+    texts of a tokenizer that parts them otherwise, are encoded whole.
     """
-    if any(m in text for m in specials(path)) or not PLAIN.fullmatch(text):
+    if not parts_apply(path) or any(m in text for m in specials(path)) or not PLAIN.fullmatch(text):
         return np.array(tokenizer(path).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
     spaced, bare = _memo(path, " "), _memo(path, "")
     if UNEVEN.search(text):

@@ -13,8 +13,10 @@ a digest; readers take one of the (equal) counts.
 from __future__ import annotations
 
 import hashlib
+import inspect
 import json
 import re
+import sys
 from collections.abc import Iterator
 from functools import lru_cache, partial
 
@@ -61,9 +63,10 @@ def specials(path: str) -> tuple[str, ...]:
 
 @lru_cache(maxsize=4)
 def version_digest(path: str) -> str:
-    """Digest of the tokenizer file: another file never shares counts."""
+    """Digest of the tokenizer file and of this module: counts of another file, or of another
+    version of the counting code, are never shared."""
     with open(path, "rb") as f:
-        return hashlib.sha256(f.read()).hexdigest()
+        return hashlib.sha256(f.read() + inspect.getsource(sys.modules[__name__]).encode()).hexdigest()
 
 
 #: The normalizer and pre-tokenizer of tokenizers that may be counted by words.
