@@ -387,17 +387,56 @@ def _cut_texts(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[
         yield pa.RecordBatch.from_arrays([text if k == at else b.column(k) for k in range(len(names))], names)
 
 
+SEGMENT = "doc long, stamp long, segment long, place long, bytes binary"
+
+
+def _segments(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """The runs of ``length`` bytes or more that the spans of each document cover."""
+    for b in batches:
+        data, offsets = tk.texts_of(b.column(2))
+        out: list[tuple] = []
+        for k, spans in enumerate(b.column(3).to_pylist()):
+            doc, stamp = b.column(0)[k].as_py(), b.column(1)[k].as_py()
+            for first, stop in covered([(s["first"], s["stop"]) for s in spans]):
+                if stop - first >= length:
+                    name = int.from_bytes(hashlib.blake2b(f"{stamp} {first}".encode(), digest_size=8).digest(), "little", signed=True)
+                    out.append((doc, stamp, name, first, data[offsets[k] + first : offsets[k] + stop].tobytes()))
+        cols = list(zip(*out, strict=True)) or [[]] * 5
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.binary())], ["doc", "stamp", "segment", "place", "bytes"])
+
+
+def _longer(rows: DataFrame, shorter: DataFrame, batches: int, length: int) -> DataFrame:
+    """Spans of repeated strings of ``length`` bytes, given those of shorter strings.
+
+    Every shorter string inside a repeated one repeats too, so the longer ones lie in the
+    runs that the shorter ones cover. Only these runs are indexed, as texts of their own.
+    """
+    held = shorter.groupBy("doc", "stamp").agg(F.collect_set(F.struct("first", "stop")).alias("spans"))
+    held = stored(held, "suffix-covered")
+    thin, maybe = marked(rows, "stamp", held, "stamp")
+    met = thin.filter(maybe).join(held, ["doc", "stamp"]).select("doc", "stamp", "text", "spans")
+    segments = stored(met.mapInArrow(partial(_segments, length=length), SEGMENT), "suffix-segments")
+    found = repeated_spans(segments.select("doc", F.col("segment").alias("stamp"), F.col("bytes").alias("text")), batches, length)
+    at = segments.select("doc", "stamp", "segment", "place").distinct()
+    back = found.withColumnRenamed("stamp", "segment").join(at, ["doc", "segment"])
+    return back.select("doc", "stamp", (F.col("place") + F.col("first")).alias("first"), (F.col("place") + F.col("stop")).alias("stop"))
+
+
 def remove_repeats(docs: DataFrame, batches: int = BATCHES, length: int = LENGTH, passage: int = PASSAGE) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage_bytes, kept_text`` of each document.
 
-    ``n_passage_bytes`` counts the bytes covered by strings of ``passage`` bytes that also
-    start elsewhere: passages that repeat, but may be too short to be removed.
+    ``n_passage_bytes`` counts the bytes covered by strings of ``passage`` bytes (at most
+    ``length``) that also start elsewhere: passages that repeat, but may be too short to be
+    removed. They are found first; strings of ``length`` bytes are looked for inside them.
     ``kept_text`` holds the remaining bytes as text; halves of a character that a cut
     leaves behind are dropped from it (not from the digest). It is null where nothing
     repeats: the text stays as it is.
     """
+    if not 0 < passage <= length:
+        raise ValueError("a passage is at most as long as a string that is removed")
     rows = named(docs)
-    both = repeated_spans(rows, batches, length).withColumn("short", F.lit(False)).unionByName(repeated_spans(rows, batches, passage).withColumn("short", F.lit(True)))
+    short = repeated_spans(rows, batches, passage)
+    both = _longer(rows, short, batches, length).withColumn("short", F.lit(False)).unionByName(short.withColumn("short", F.lit(True)))
     span = F.struct("first", "stop")
     spans = stored(both.groupBy("doc", "stamp").agg(F.collect_set(F.when(~F.col("short"), span)).alias("spans"), F.collect_set(F.when(F.col("short"), span)).alias("passages")), "suffix-spans")
     thin, maybe = marked(rows, "stamp", spans, "stamp")
