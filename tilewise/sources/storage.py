@@ -33,9 +33,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back."""
+    """``df`` written to the shared folder and read back; the table goes when the driver ends."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    until_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -44,6 +45,12 @@ def _place(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def until_exit(spark: SparkSession, path: str) -> None:
+    """The path is deleted when the driver's process ends: plans may read it until then."""
+    where, fs = _place(spark, path)
+    fs.deleteOnExit(where)
+
+
 def names(spark: SparkSession, path: str) -> list[str]:
     """What stands in a folder; nothing if there is none."""
     where, fs = _place(spark, path)
