@@ -15,7 +15,7 @@ from contextvars import ContextVar
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewise.sources.storage import shared_dir
+from tilewise.sources.storage import shared_dir, until_exit
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -34,7 +34,7 @@ def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the plan starts anew there.
 
     Inside ``scratch`` the table lasts as long as that, or, if it is to be kept, as long
-    as the next ``scratch`` around.
+    as the next ``scratch`` around; outside, until the driver ends.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
@@ -48,6 +48,7 @@ def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
             spark.conf.unset(SHUFFLES_GO)
         else:
             spark.conf.set(SHUFFLES_GO, before)
+    until_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
