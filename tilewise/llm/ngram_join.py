@@ -59,7 +59,7 @@ COUNT_AT_ONCE = 1 << 20
 #: Sets below this size index all shingles alone.
 SMALL = 16
 #: Lists longer than this are compared block by block.
-LONG_LIST = 12
+LONG_LIST = 48
 #: Nodes, and their shingles, that a task compares with each other at once, about.
 BLOCK = 512
 BLOCK_SHINGLES = 1 << 19
