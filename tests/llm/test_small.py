@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -388,6 +389,46 @@ def test_a_family_that_does_not_link_is_not_dealt(spark, monkeypatch):
     assert total[1] <= 2.2 * total[0] + 100
 
 
+def test_a_shared_passage_gives_few_lists_and_no_pairs(spark, monkeypatch):
+    """Signatures with the same nodes are one list, and unlike documents of a list give no pair."""
+    shared = [[f"s{g}x{k}" for k in range(60)] for g in range(4)]
+    rows = [(i, " ".join(shared[i % 4] + [f"own{i}x{k}" for k in range(80)])) for i in range(40)]
+    d = spark.createDataFrame([*rows, (40, rows[0][1] + " more")], "doc_id long, text string")
+    lists, pairs = [], []
+    real = ngram_join._Join.inside_short
+
+    def short(self, rows):
+        lists.extend(rows.select("sig", "node").collect())
+        pairs.extend((got := real(self, rows)).collect())
+        return got
+
+    monkeypatch.setattr(ngram_join._Join, "inside_short", short)
+    same(ngram_join.near_duplicates(d).collect(), [(i, 136 + (i == 40), i % 40) for i in range(41)])
+    held = {}
+    for sig, node in lists:
+        held.setdefault(sig, set()).add(node)
+    assert held and len(set(map(frozenset, held.values()))) == len(held)
+    assert not pairs
+
+
+def test_lists_over_batches_give_each_pair():
+    """Lists cut by Arrow batches at any place give the pairs that sizes, parts and bitmaps allow."""
+    rng = np.random.default_rng(30)
+    base = [np.unique(rng.integers(1, 1 << 63, 60).astype(np.uint64)) for _ in range(4)]
+    sets = [np.unique(np.concatenate([base[k % 4][int(rng.integers(6)) :], rng.integers(1, 1 << 63, int(rng.integers(1, 9))).astype(np.uint64)])) for k in range(40)]
+    rows = sorted((int(rng.integers(9)), k, int(rng.integers(20))) for k in rng.permutation(40).tolist())
+    columns = [pa.array([r[c] for r in rows]) for c in range(3)] + [pa.array([len(sets[r[1]]) for r in rows])] + [pa.array([100] * len(rows)), pa.array([ngram_join.bitmap(sets[r[1]]) for r in rows])]
+    whole = pa.RecordBatch.from_arrays(columns, ["sig", "node", "part", "n", "most", "bitmap"])
+    linked = {(min(u, v), max(u, v)) for s, u, p in rows for t, v, q in rows if s == t and p != q and 100 * len(x := np.intersect1d(sets[u], sets[v])) >= 75 * (len(sets[u]) + len(sets[v]) - len(x))}
+    found = []
+    for step in (1, 3, 7, 50):
+        batches = [whole.slice(k, step) for k in range(0, len(rows), step)]
+        got = [(u, v) for b in ngram_join._listed(iter(batches), 75) for u, v in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        assert len(got) == len(set(got))
+        found.append(sorted(got))
+    assert linked and linked <= set(found[0]) and found == [found[0]] * 4
+
+
 def test_signatures_meet_at_the_bound():
     """Sets exactly as similar as wanted always share a signature, whatever counts as frequent."""
     rng = np.random.default_rng(8)

@@ -10,14 +10,15 @@ indexed alone.)
 
 Sets that share a signature are candidates. Equal sets are one node from the start. A
 signature's place in the order of a set bounds what the set can share with one that it
-first meets there; nodes that this and the sizes rule out leave the list.
+first meets there; nodes that this and the sizes rule out leave the list. Signatures with
+the same nodes are one list.
 Every node has a small bitmap that bounds the symmetric difference of two sets from below,
 so most candidates are ruled out without their texts. Neighbours in each signature's list
 are verified first, the nearest for each node. In long lists, each node is then compared
 with a block of bounded size of its shortest and of its longest list, inside a task and
 by exact sets. Nodes that links join need no further comparison. What remains are pairs
-of nodes in different components. Lists of few nodes give pairs, which the bitmaps thin
-out before texts are compared. Long lists give no pairs: the nodes outside the largest
+of nodes in different components. Lists of few nodes meet inside tasks and give the pairs
+that the bitmaps don't rule out; the texts of these are compared. Long lists give no pairs: the nodes outside the largest
 component are compared with all others block by block inside tasks, as bitmaps first. A
 block's rows that these don't rule out are compared as sets, and the block returns
 as many links as join its nodes, at most one for each. All verification is exact on
@@ -68,6 +69,8 @@ ROWS_OF_A_TASK = 20_000
 #: A shingle of at most so many sets of a block is counted pair by pair.
 FEW_SETS = 8
 COLUMNS = 2048
+#: Pairs whose sets a task holds at once.
+PAIRS_AT_ONCE = 256
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
@@ -241,17 +244,66 @@ def _bounded(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep), pa.array(apart).filter(keep)], ["u", "v", "apart"])
 
 
+def list_pairs(sig: np.ndarray, part: np.ndarray, n: np.ndarray, most: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places ``i < j`` of rows of one list whose sizes, reaches and parts let them link; rows come sorted by ``sig``."""
+    left, right = [], []
+    for lag in range(1, len(sig)):
+        same = sig[lag:] == sig[:-lag]
+        if not same.any():
+            break
+        i = np.nonzero(same)[0]
+        j = i + lag
+        hit = (part[i] != part[j]) & (n[i] <= most[j]) & (n[j] <= most[i]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+        left.append(i[hit])
+        right.append(j[hit])
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+
+def _listed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """The pairs inside lists of few nodes that the bitmaps don't rule out; rows come sorted by ``sig``."""
+
+    def pairs(t: pa.Table) -> pa.RecordBatch:
+        sig, node, part, n, most = (t.column(c).to_numpy().astype(np.int64) for c in ("sig", "node", "part", "n", "most"))
+        maps = t.column("bitmap").to_pylist()
+        i, j = list_pairs(sig, part, n, most, percent)
+        apart = np.array([_apart(maps[a], maps[b]) for a, b in zip(i.tolist(), j.tolist(), strict=True)], np.int64)
+        both = np.minimum((n[i] + n[j] - apart) // 2, np.minimum(n[i], n[j]))
+        hit = 100 * both >= percent * (n[i] + n[j] - both)
+        u, v = node[i[hit]], node[j[hit]]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        # the last list of a batch may go on in the next one
+        sig = b.column(0).to_numpy()
+        last = int(np.nonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))[0][-1])
+        if held and held[-1].column(0)[-1].as_py() != sig[0]:
+            yield pairs(pa.Table.from_batches(held))
+            held = []
+        if last:
+            yield pairs(pa.Table.from_batches([*held, b.slice(0, last)]))
+            held = []
+        held.append(b.slice(last))
+    if held:
+        yield pairs(pa.Table.from_batches(held))
+
+
 def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """The pairs whose texts reach the similarity."""
-    for b in batches:
-        left = [s for _, _, d, o in tk.runs(*tk.texts_of(b.column(2))) for s in shingle_sets(d, o)]
-        right = [s for _, _, d, o in tk.runs(*tk.texts_of(b.column(3))) for s in shingle_sets(d, o)]
-        keep = []
-        for x, y in zip(left, right, strict=True):
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * both >= percent * (len(x) + len(y) - both))
-        kept = pa.array(keep, pa.bool_())
-        yield pa.RecordBatch.from_arrays([b.column(0).filter(kept), b.column(1).filter(kept)], ["u", "v"])
+    for whole in batches:
+        for first in range(0, whole.num_rows, PAIRS_AT_ONCE):
+            b = whole.slice(first, PAIRS_AT_ONCE)
+            left = [s for _, _, d, o in tk.runs(*tk.texts_of(b.column(2))) for s in shingle_sets(d, o)]
+            right = [s for _, _, d, o in tk.runs(*tk.texts_of(b.column(3))) for s in shingle_sets(d, o)]
+            keep = []
+            for x, y in zip(left, right, strict=True):
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            kept = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(kept), b.column(1).filter(kept)], ["u", "v"])
 
 
 def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -410,6 +462,9 @@ class _Join:
         ``most`` is the size of the largest set with which a node can link if they first meet
         in this list. A node stays in a list only if a set as small as that is there, and one
         for which the node isn't too large: every pair that links passes where it first meets.
+        A passage that the same nodes share gives many signatures with one list: a list is
+        named by what it holds and comes once, with the largest ``most`` of each node. Lists
+        of one name and size that differ would only meet as one.
         """
         signed = self.rows.select("text").mapInArrow(partial(_signed, frequent=self.frequent, level=self.level, percent=self.percent), "sig long, node long, n int, most int")
         by = W.partitionBy("sig")
@@ -418,7 +473,9 @@ class _Join:
         for _ in range(2):
             met = once.withColumns({"size": F.count("*").over(by), "least_n": F.min("n").over(by), "most_most": F.max("most").over(by)})
             once = met.filter("size > 1 AND most >= least_n AND n <= most_most").select("sig", "node", "n", "most")
-        return once.withColumn("before", F.lag("node").over(ordered)).withColumn("size", F.count("*").over(by)).filter("size > 1")
+        held = {"before": F.lag("node").over(ordered), "size": F.count("*").over(by), "held": F.bit_xor(F.xxhash64("node")).over(by)}
+        each = once.withColumns(held).filter("size > 1").groupBy(F.col("held").alias("sig"), "size", "node")
+        return each.agg(F.first("n").alias("n"), F.max("most").alias("most"), F.min("before").alias("before"))
 
     def bounded(self, pairs: DataFrame) -> DataFrame:
         """``u, v, apart``: the pairs that sizes and bitmaps don't rule out."""
@@ -440,6 +497,12 @@ class _Join:
             both = right.join(texts.select(F.col("node").alias("u"), F.col("text").alias("x")), "u")
             return stored(both.select("u", "v", "x", "y").mapInArrow(partial(_linked, percent=self.percent), "u long, v long"), "join-links", keep=True)
 
+    def inside_short(self, short: DataFrame) -> DataFrame:
+        """``u, v``: pairs of lists of few nodes that may link. They meet inside tasks, so what is shuffled grows with the lists' nodes."""
+        with_map = short.select("sig", "node", "part", "n", "most").join(self.nodes.select("node", "bitmap"), "node").select("sig", "node", "part", "n", "most", "bitmap")
+        by_list = with_map.repartition(shuffle_partitions(short.sparkSession), "sig").sortWithinPartitions("sig")
+        return by_list.mapInArrow(partial(_listed, percent=self.percent), "u long, v long")
+
     def in_blocks(self, dealt: DataFrame, rows: int) -> DataFrame:
         """Spanning links of the blocks of ``dealt``: ``a, b, c`` (the block), ``side, node, part``.
 
@@ -490,10 +553,7 @@ class _Join:
                 found = stored(found.unionByName(self.inside_lists(long, salt)), "join-links")
                 lists = self.parted(lists.drop("part"), found)
         short = lists.filter(F.col("size") <= LONG_LIST)
-        a = short.select("sig", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("part").alias("pu"), F.col("most").alias("mu"))
-        b = short.select("sig", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("part").alias("pv"), F.col("most").alias("mv"))
-        pairs = a.join(b, "sig").filter(f"u < v AND pu <> pv AND nu <= mv AND nv <= mu AND 100 * least(nu, nv) >= {self.percent} * greatest(nu, nv)").select("u", "v").distinct()
-        found = found.unionByName(self.verified(stored(self.bounded(pairs), "join-short")))
+        found = found.unionByName(self.verified(stored(self.inside_short(short).distinct(), "join-short")))
         long = lists.filter(F.col("size") > LONG_LIST)
         return found.unionByName(self.across_lists(long)) if long.take(1) else found
 
