@@ -4,6 +4,7 @@ import math
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -174,6 +175,20 @@ def test_audit_of_nothing(spark):
     assert source_audit.audit(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_slices_have_few_groups(monkeypatch):
+    """A term of mixed sources gives a row for each source, however many slices there are."""
+    monkeypatch.setattr(source_audit, "SLICE_BYTES", 60)
+    n = 40
+    b = pa.RecordBatch.from_arrays([pa.array(["en"] * n), pa.array(["a", "b"] * (n // 2)), pa.array(["One two"] * n)], ["lang", "source", "text"])
+    rows = [r for x in source_audit._counted(iter([b])) for r in x.to_pylist()]
+    total = Counter()
+    for r in rows:
+        total[r["source"], r["term"]] += r["n"]
+    assert total == {(s, t): n // 2 for s in "ab" for t in ("one", "two")}
+    slices = -(-n // 8)
+    assert len(rows) <= 2 * (slices + 1)
+
+
 def test_pointers_are_sorted(monkeypatch):
     rng = np.random.default_rng(3)
     terms = [bytes(rng.integers(97, 100, int(n)).astype(np.uint8)) for n in rng.integers(1, 40, 3000)] + [b"q" * 500, b"q" * 500, b"q" * 499 + b"r", b"q" * 64, b"q" * 65] * 3

@@ -55,7 +55,8 @@ COUNTS = "lang string, source string, term string, n long, docs long"
 
 def keys_at(data: np.ndarray, start: np.ndarray, left: np.ndarray) -> np.ndarray:
     """The next eight bytes of each term as a number; beyond its end there are zeros."""
-    key = data[start[:, None] + np.arange(8)].view(">u8")[:, 0].astype(np.uint64)
+    words = np.ndarray(len(data) - 7, ">u8", np.ascontiguousarray(data), strides=1)  # one at every byte
+    key = words[start].astype(np.uint64)
     short = left < 8
     key[short] &= ~np.uint64(0) << (8 * (8 - np.maximum(left[short], 0))).astype(np.uint64)
     return key
@@ -118,7 +119,10 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups = {p: i for i, p in enumerate(dict.fromkeys(pairs))}
         group, known = np.array([groups[p] for p in pairs], np.int64), list(groups)
         langs, sources = pa.array([x for x, _ in known], pa.string()), pa.array([x for _, x in known], pa.string())
-        data, offsets = tk.texts_of(b.column(2))
+        # texts of one group stand together: a slice has few groups, so a term gives few rows
+        order = np.argsort(group, kind="stable")
+        group = group[order]
+        data, offsets = tk.texts_of(b.column(2).cast(pa.large_string()).take(pa.array(order)))
         for i, j, d, o in tk.runs(data, offsets, SLICE_BYTES):
             terms, (t, g, n, docs) = runs_of(d, o, group[i:j], len(known))
             taken = pa.array(terms, pa.binary()).cast(pa.string())
