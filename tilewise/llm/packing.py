@@ -41,7 +41,7 @@ _NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
 #: How the tokenizer parts a text of PLAIN characters; each part is encoded apart.
 PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\s{_LETTER}{_NUMBER}]+|\s+(?!\S)|\s+")
 #: White space other than single spaces and single line ends: its parts depend on what follows.
-UNEVEN = re.compile(r" [ \n]|[\t\r]|\n[ \n]| $")
+UNEVEN = ("  ", " \n", "\t", "\r", "\n\n", "\n ")
 #: Fixed value: the pre-tokenizer that parts texts like PARTS.
 BY_PARTS = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 
@@ -60,6 +60,8 @@ class _Memo(dict):
     def __init__(self, path: str, before: str):
         super().__init__()
         self.model, self.before = tokenizer(path).model, before
+        self.shown = before.translate(LETTERS)
+        self.stops = {x: self.parts(x) for x in STOPS}
 
     def parts(self, text: str) -> bytes:
         ids = [x.id for w in PARTS.findall(text) for x in self.model.tokenize(w.encode().decode("latin-1").translate(LETTERS))]
@@ -68,8 +70,10 @@ class _Memo(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= MEMO_WORDS:
             self.clear()
-        if word[-1:] in STOPS and word[-2:-1].isalpha():
-            ids = self[word[:-1]] + self.parts(word[-1])
+        if word.isascii() and word.isalpha():  # one part, and its bytes stand for themselves
+            ids = array("I", [x.id for x in self.model.tokenize(self.shown + word)]).tobytes()
+        elif word[-1:] in STOPS and word[-2:-1].isalpha():
+            ids = self[word[:-1]] + self.stops[word[-1]]
         else:
             ids = self.parts(self.before + word)
         self[word] = ids
@@ -91,12 +95,12 @@ def encode(text: str, path: str) -> bytes:
     if not parts_apply(path) or any(m in text for m in specials(path)) or not PLAIN.fullmatch(text):
         return np.array(tokenizer(path).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
     spaced, bare = _memo(path, " "), _memo(path, "")
-    if UNEVEN.search(text):
+    if text.endswith(" ") or any(x in text for x in UNEVEN):
         return bare.parts(text)
     lines = []
     for line in text.split("\n"):
         first, *words = line.split(" ")
-        lines.append(bare[first] + b"".join([spaced[w] for w in words]))
+        lines.append(bare[first] + b"".join(map(spaced.__getitem__, words)))
     return bare["\n"].join(lines)
 
 
