@@ -426,6 +426,46 @@ def test_a_shared_passage_gives_few_lists_and_no_pairs(spark, monkeypatch):
     assert not pairs
 
 
+def test_signatures_of_the_upper_class_reach_it(monkeypatch):
+    """In the class above its own a set only has signatures with which a set of that class can link."""
+    rng = np.random.default_rng(8)
+    s = np.unique(rng.integers(1, 1 << 63, 100).astype(np.uint64))
+    sig, reach = ngram_join.signatures(s, s, np.ones(len(s), np.int64))
+    monkeypatch.setattr(ngram_join, "size_class", lambda n: 7)
+    own, _ = ngram_join.signatures(s, s, np.ones(len(s), np.int64))
+    most = ngram_join.largest_partner(len(s), reach, 75)
+    upper = ~np.isin(sig, own)
+    assert upper.any() and most[upper].min() >= 128 and most.min() >= 75
+
+
+def test_lists_hold_nodes_that_may_link_and_one_pair_a_node_is_bounded(spark, monkeypatch):
+    """Lists of two nodes out of each other's reach go, and bitmaps are dealt for one neighbour of each node."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for g in range(30):
+        passages = [[f"p{g}x{k}x{j}" for j in range(6)] for k in range(5)]
+        for _ in range(2):
+            body = [w for q in passages for w in (*q, *(f"own{len(rows)}x{k}x{rng.integers(1 << 30)}" for k in range(int(rng.integers(8, 14)))))]
+            rows.append((len(rows), " ".join(body)))
+    for _ in range(12):
+        w = rows[0][1].split()
+        w[int(rng.integers(len(w)))] = f"new{len(rows)}"
+        rows.append((len(rows), " ".join(w)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    held = {}
+    for r in ngram_join._Join(d, 75).lists().collect():
+        held.setdefault((r["sig"], r["size"]), []).append(r)
+    two = [x for x in held.values() if len(x) == 2]
+    assert two and all(a["n"] <= b["most"] and b["n"] <= a["most"] for a, b in two)
+    asked = []
+    real = ngram_join._Join.bounded
+    monkeypatch.setattr(ngram_join._Join, "bounded", lambda self, pairs: (asked.extend(r["v"] for r in pairs.collect()), real(self, pairs))[1])
+    sets, linked = linked_by_shingles(rows)
+    part = components(range(len(rows)), linked)
+    same(ngram_join.near_duplicates(d).collect(), [(i, len(sets[i]), part[i]) for i in range(len(rows))])
+    assert asked and len(asked) == len(set(asked))
+
+
 def test_lists_over_batches_give_each_pair():
     """Lists cut by Arrow batches at any place give the pairs that sizes, parts and bitmaps allow."""
     rng = np.random.default_rng(30)

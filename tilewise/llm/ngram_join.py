@@ -14,7 +14,7 @@ first meets there; nodes that this and the sizes rule out leave the list. Signat
 the same nodes are one list.
 Every node has a small bitmap that bounds the symmetric difference of two sets from below,
 so most candidates are ruled out without their texts. Neighbours in each signature's list
-are verified first, the nearest for each node. In long lists, each node is then compared
+are verified first, for each node the one with which it shares most signatures. In long lists, each node is then compared
 with a block of bounded size of its shortest and of its longest list, inside a task and
 by exact sets. Nodes that links join need no further comparison. What remains are pairs
 of nodes in different components. Lists of few nodes meet inside tasks and give the pairs
@@ -161,6 +161,9 @@ def signatures(s: np.ndarray, frequent: np.ndarray, level: np.ndarray, percent:
             out.append(s[: loss + 1])
             reach.append(n - np.arange(min(loss + 1, n)))
             continue
+        # two sets meet in the class of the larger one: in the class above its own, a set has larger partners only
+        least = -(-percent * n // 100) if cls == size_class(n) else 1 << (cls - 1)
+        enough = lambda r: largest_partner(n, r, percent) >= least  # noqa: B023, E731
         parts = np.uint64(max(1, (1 << (cls - 1)) // 8))
         group = np.where(is_frequent, (tk.splitmix(s + tk.U(cls)) % parts).astype(np.int64), -1)
         # each rare shingle survives one more loss, a group's first shingle none
@@ -171,12 +174,15 @@ def signatures(s: np.ndarray, frequent: np.ndarray, level: np.ndarray, percent:
         opened = first & is_frequent
         bound = np.cumsum(opened) - opened + n - np.arange(n)  # groups met before a place, and what stands from there on
         rare = np.nonzero(~is_frequent[:stop])[0]
+        rare = rare[enough(bound[rare])]
         out.append(s[rare])
         reach.append(bound[rare])
         for k in np.unique(group[:stop][is_frequent[:stop]]):
             place = np.nonzero(group[:stop] == k)[0]
             place = place[np.argsort(s[place])]
             i, j = np.triu_indices(len(place), 1)
+            some = enough(bound[np.maximum(place[i], place[j])])
+            i, j = i[some], j[some]
             out.append(tk.splitmix(s[place[i]] * tk.U(3) + tk.splitmix(s[place[j]] + tk.U(cls))))
             reach.append(bound[np.maximum(place[i], place[j])])
     if not out:
@@ -214,8 +220,8 @@ def _signed(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, level: np.n
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """The parity of the shingles that fall on each of two to four times their number of bits."""
-    bits = 1 << max(6, (2 * len(s) - 1).bit_length())
+    """The parity of the shingles that fall on each of one to two times their number of bits."""
+    bits = 1 << max(6, (len(s) - 1).bit_length())
     at = (s & tk.U(bits - 1)).astype(np.int64)
     odd = np.bincount(at, minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
@@ -457,25 +463,32 @@ class _Join:
         self.level = np.array([int(r[1]).bit_length() for r in often], np.int64)[order]
 
     def lists(self) -> DataFrame:
-        """``sig, node, n, most, size, before`` of signatures that two nodes or more share.
+        """``sig, node, n, most, size, before, sigs`` of signatures that two nodes or more share.
 
         ``most`` is the size of the largest set with which a node can link if they first meet
-        in this list. A node stays in a list only if a set as small as that is there, and one
-        for which the node isn't too large: every pair that links passes where it first meets.
+        in this list. A node stays in a list only if another one of fitting size is there, and
+        one for which the node isn't too large: every pair that links passes where it first meets.
         A passage that the same nodes share gives many signatures with one list: a list is
-        named by what it holds and comes once, with the largest ``most`` of each node. Lists
+        named by what it holds and comes once, with the largest ``most`` of each node and the
+        number of its signatures, ``sigs``. Lists
         of one name and size that differ would only meet as one.
         """
         signed = self.rows.select("text").mapInArrow(partial(_signed, frequent=self.frequent, level=self.level, percent=self.percent), "sig long, node long, n int, most int")
         by = W.partitionBy("sig")
         ordered = by.orderBy("node")
         once = signed.withColumn("before", F.lag("node").over(ordered)).filter("before IS NULL OR before <> node")  # a node that several tasks sent
+        of_list = {"size": F.count("*").over(by), "least_n": F.min("n").over(by), "most_most": F.max("most").over(by)}
+        once = once.withColumns(of_list).filter("size > 1 AND most >= least_n AND n <= most_most").select("sig", "node", "n", "most")
+        by_size = by.orderBy("n", "node")
+        others = {"smaller": F.lag("n").over(by_size), "larger": F.lead("n").over(by_size), "sum_most": F.sum("most").over(by)}
         for _ in range(2):
-            met = once.withColumns({"size": F.count("*").over(by), "least_n": F.min("n").over(by), "most_most": F.max("most").over(by)})
-            once = met.filter("size > 1 AND most >= least_n AND n <= most_most").select("sig", "node", "n", "most")
+            met = once.withColumns(of_list | others).filter(
+                f"size > 1 AND ((100L * smaller >= {self.percent}L * n AND most >= least_n) OR most >= larger) AND n <= IF(size = 2, sum_most - most, most_most)"
+            )
+            once = met.select("sig", "node", "n", "most")
         held = {"before": F.lag("node").over(ordered), "size": F.count("*").over(by), "held": F.bit_xor(F.xxhash64("node")).over(by)}
         each = once.withColumns(held).filter("size > 1").groupBy(F.col("held").alias("sig"), "size", "node")
-        return each.agg(F.first("n").alias("n"), F.max("most").alias("most"), F.min("before").alias("before"))
+        return each.agg(F.first("n").alias("n"), F.max("most").alias("most"), F.min("before").alias("before"), F.count("*").alias("sigs"))
 
     def bounded(self, pairs: DataFrame) -> DataFrame:
         """``u, v, apart``: the pairs that sizes and bitmaps don't rule out."""
@@ -542,10 +555,11 @@ class _Join:
         lists = stored(self.lists(), "join-lists")
         met = self.sets.join(lists.select("node").distinct(), "node")
         self.nodes = stored(met.groupBy("node").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), F.min(F.struct("doc", "stamp")).alias("r")).select("node", "n", "bitmap", "r.doc", "r.stamp"), "join-bitmaps")
-        near = lists.filter("before IS NOT NULL").select(F.col("before").alias("u"), F.col("node").alias("v")).distinct()
-        # one pair per node, its nearest: the others come again below if they still part components
-        nearest = self.bounded(near).groupBy("v").agg(F.min(F.struct("apart", "u")).alias("b"))
-        found = self.verified(stored(nearest.select("b.u", "v"), "join-near"))
+        near = lists.filter("before IS NOT NULL").groupBy(F.col("before").alias("u"), F.col("node").alias("v")).agg(F.sum("sigs").alias("shared"))
+        # one pair per node, with the neighbour that shares most signatures, so that only its bitmaps are
+        # dealt: the others, and nodes that share one signature only, come again below if they still part components
+        nearest = near.filter("shared > 1").groupBy("v").agg(F.max(F.struct("shared", "u")).alias("b")).select("b.u", "v")
+        found = self.verified(stored(self.bounded(nearest), "join-near"))
         lists = self.parted(lists, found)
         for salt in (0, 1):  # blocks that are dealt anew join the blocks of the first deal
             long = lists.filter(F.col("size") > (BLOCK if salt else LONG_LIST))
