@@ -438,6 +438,25 @@ def test_signatures_of_the_upper_class_reach_it(monkeypatch):
     assert upper.any() and most[upper].min() >= 128 and most.min() >= 75
 
 
+def test_linked_sets_of_two_classes_meet():
+    """Sets on both sides of a power of two meet in the class of the larger one."""
+    rng = np.random.default_rng(21)
+    linked = 0
+    for n in (16, 32, 64, 128, 256):
+        pool = np.unique(rng.integers(1, 1 << 63, n + n // 8).astype(np.uint64))
+        for share in (0.3, 0.9, 1.0):
+            frequent = np.sort(pool[rng.random(len(pool)) < share])
+            level = rng.integers(1, 4, len(frequent))
+            sets = [np.sort(rng.choice(pool, int(n * f), replace=False)) for f in np.linspace(0.82, 1.1, 24)]
+            for i, x in enumerate(sets):
+                for y in sets[:i]:
+                    both = len(np.intersect1d(x, y))
+                    if len(y) < n <= len(x) and 100 * both >= 75 * (len(x) + len(y) - both):
+                        linked += 1
+                        assert meet(x, y, frequent, level), (n, share)
+    assert linked > 200
+
+
 def test_lists_hold_nodes_that_may_link_and_one_pair_a_node_is_bounded(spark, monkeypatch):
     """Lists of two nodes out of each other's reach go, and bitmaps are dealt for one neighbour of each node."""
     rng = np.random.default_rng(12)
